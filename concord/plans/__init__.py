@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "audit_queries",
     "table_queries",
+    "metric_queries",
 )
 
 

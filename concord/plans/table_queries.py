@@ -68,9 +68,8 @@ def s5(spark, d):
     entry = F.array(F.struct("id", "ordinal", "measure", "ord")).alias("rules")
     _parts(spark, d).select(entry).write.json(path)
     schema = "rules array<struct<id:string,ordinal:string,measure:string,ord:int>>"
-    # One document per line here; a single multi-line document reads the same way.
-    df = spark.read.schema(schema).json(path).select(F.explode("rules").alias("r")).select("r.*")
-    return df.where("ordinal = 'SMALL' AND ord = 1").select("id", "measure")
+    rows = files.read_report(spark, path, "rules", schema, multi_line=False, ordinal="SMALL", ord=1)
+    return rows.select("id", "measure")
 
 
 @query("s6_drop_non_numeric_key", with_views("assay", """mixed as (select id, measure from assay

@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-CORRUPT = "_bad"
-
-
 def read_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Delimited text with every column as a string and trimmed header names."""
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=False)
@@ -39,9 +36,13 @@ def read_key_value(spark: SparkSession, path: str, header: str) -> DataFrame:
     )
 
 
-def read_report(spark: SparkSession, path: str, array: str, schema: T.StructType | str, **match) -> DataFrame:
-    """Entries of a JSON report's array whose named fields equal the given values."""
-    df = spark.read.schema(schema).json(path, multiLine=True)
+def read_report(spark: SparkSession, path: str, array: str, schema: T.StructType | str,
+                multi_line: bool = True, **match) -> DataFrame:
+    """Entries of JSON reports' arrays whose named fields equal the given values.
+
+    A report is one document per file, or with ``multi_line=False`` one per line.
+    """
+    df = spark.read.schema(schema).json(path, multiLine=multi_line)
     rows = df.select(F.explode(array).alias("r")).select("r.*")
     for name, value in match.items():
         rows = rows.where(F.col(name) == F.lit(value))
