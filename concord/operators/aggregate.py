@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.functions.tails import t_quantile
+from concord.functions.tails import t_multiplier_95
 from concord.operators.audit import label_summary
 
 
@@ -87,30 +87,17 @@ def summary_stats(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> D
     )
 
 
-def replicate_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str], max_reps: int = 40) -> DataFrame:
-    """Mean, sd and 95% t interval over replicates.
-
-    The t multipliers are a generated table; beyond its end (where t and the
-    next entry differ in the fourth digit) callers raise ``max_reps``.
-    """
-    spark = df.sparkSession
-    quantiles = spark.createDataFrame(
-        [(d, t_quantile(d)) for d in range(1, max_reps)], "_df bigint, _t double"
-    )
+def replicate_summary(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean, sd and 95% t interval of each metric over replicates."""
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_reps"),
         *[x for m in metrics for x in (F.avg(m).alias(f"mean_{m}"), F.stddev_samp(m).alias(f"sd_{m}"),
                                        F.count(m).alias(f"_n_{m}"))],
     )
     for m in metrics:
-        half = F.when(F.col(f"_n_{m}") > 1, F.col("_t") * F.col(f"sd_{m}") / F.sqrt(F.col(f"_n_{m}")))
-        out = (
-            out.withColumn("_df", F.col(f"_n_{m}") - 1)
-            .join(F.broadcast(quantiles), "_df", "left")
-            .withColumn(f"lo_{m}", F.col(f"mean_{m}") - half)
-            .withColumn(f"hi_{m}", F.col(f"mean_{m}") + half)
-            .drop("_df", "_t", f"_n_{m}")
-        )
+        n = F.col(f"_n_{m}")
+        half = F.when(n > 1, t_multiplier_95(n - 1) * F.col(f"sd_{m}") / F.sqrt(n))
+        out = out.withColumns({f"lo_{m}": F.col(f"mean_{m}") - half, f"hi_{m}": F.col(f"mean_{m}") + half}).drop(f"_n_{m}")
     return out
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.columns import hash_hex, hash_uniform, hex_int
-from concord.operators.audit import cell_counts, direction_effect, paired_labels
+from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effect, paired_labels
 from concord.operators.metrics import all_metrics, auc_ap, concordance
 from concord.operators.ranking import hash_rank
 
@@ -45,7 +45,16 @@ def draws(idx: DataFrame, n_boot: int, seed: int, by: Sequence[str] = ()) -> Dat
 def resample(df: DataFrame, keys: Sequence[str], n_boot: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """``df`` once per draw with its ``rep``; aggregate it at once, never store it."""
     idx = indexed(df, keys, by, seed)
-    return draws(idx.select(*by, "idx", "n"), n_boot, seed, by).join(idx.drop("n"), [*by, "idx"]).drop("idx")
+    return _pick(draws(idx.select(*by, "idx", "n"), n_boot, seed, by), idx.drop("n"), [*by, "idx"]).drop("idx")
+
+
+def _pick(drawn: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join draws to rows, always hashing the rows.
+
+    Draws outnumber rows by the replicates, which the size estimate of an
+    exploded table does not know, so the side to build is stated here.
+    """
+    return drawn.join(rows.hint("shuffle_hash"), list(on))
 
 
 def _long_arms(df: DataFrame, by: Sequence[str], arms: Sequence[str], y: str) -> DataFrame:
@@ -237,7 +246,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, n_boot: int,
     weights = draws(clusters.select(*by, "idx", "n"), n_boot, seed, by).groupBy(*by, "rep", "idx").agg(
         F.count(F.lit(1)).alias("_w")
     )
-    drawn = weights.join(clusters.drop("n"), [*by, "idx"]).join(pairs, [*by, cluster])
+    drawn = _pick(weights, clusters.drop("n"), [*by, "idx"]).join(pairs, [*by, cluster])
     small = drawn.groupBy(*by, "rep", a, b).agg(F.sum(F.col("_w") * F.col("_c")).alias("w"))
     per_rep = concordance(small, a, b, [*by, "rep"], "w").where("n >= 3")
     names = ("pearson", "spearman", "mae", "bias")
@@ -276,7 +285,7 @@ def permute_column(df: DataFrame, key: str, value: str, seed: int) -> DataFrame:
 
 # ---- the multiverse of audit rules -----------------------------------------
 
-CELLS = [c for c in cell_counts() if c[2] in ("n01", "n10")]
+CELLS = [(mode, name, m) for mode in MODES for name in FILTERS for m in ("n01", "n10")]
 
 
 def cluster_contributions(a: DataFrame, b: DataFrame, coarse: str, fine: str) -> DataFrame:
@@ -319,37 +328,51 @@ def _rule_rows(counts: DataFrame, keep: Sequence[str]) -> DataFrame:
         "rho", direction_effect("n01", "n10"))
 
 
-def multinomial_totals(rows: DataFrame, count: str, values: Sequence[str], n_boot: int, seed: int, blocks: int = 64) -> DataFrame:
+REPS_PER_CHUNK = 125
+FINE_BLOCKS = 1024
+GROUPS_PER_BLOCK = 2048
+
+
+def multinomial_totals(rows: DataFrame, count: str, values: Sequence[str], n_boot: int, seed: int) -> DataFrame:
     """Sum ``values`` over n draws with replacement from n units, per replicate.
 
     ``rows`` are groups of equal units with their ``count``. Drawing units and
     counting draws per group is a multinomial sample of the groups: block
     totals are sampled first, the same in every task, then each block samples
     its own groups and adds up its vectors. No draw is ever shuffled, and the
-    cost follows the number of distinct groups, not of units.
+    cost follows the number of distinct groups, not of units. The driver sees
+    only the totals of at most ``FINE_BLOCKS`` blocks.
     """
     values = list(values)
-    spread = rows.withColumn("_blk", F.pmod(F.xxhash64(*values), F.lit(blocks)).cast("int"))
-    sizes = {r["_blk"]: int(r["c"]) for r in spread.groupBy("_blk").agg(F.sum(count).alias("c")).collect()}
-    per_block = np.array([sizes.get(i, 0) for i in range(blocks)], dtype=np.int64)
-    total = int(per_block.sum())
+    fine = F.pmod(F.xxhash64(*values), F.lit(FINE_BLOCKS))
+    seen = rows.groupBy(fine.alias("_f")).agg(F.sum(count).alias("c"), F.count(F.lit(1)).alias("g")).collect()
+    blocks = min(FINE_BLOCKS, max(1, -(-sum(r["g"] for r in seen) // GROUPS_PER_BLOCK)))
+    sizes = np.zeros(blocks, dtype=np.int64)
+    for r in seen:
+        sizes[r["_f"] % blocks] += r["c"]
+    total = int(sizes.sum())
+    chunks = -(-n_boot // REPS_PER_CHUNK)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(key[0])
-        pdf = pdf.sort_values(values).reset_index(drop=True)
+        block, wanted = int(key[0]), range(chunks) if key[1] < 0 else [int(key[1])]
+        pdf = pdf.sort_values(values)
         x = pdf[values].to_numpy(dtype=np.float64)
         p = pdf[count].to_numpy(dtype=np.float64)
-        p = p / p.sum()
-        out = np.zeros((n_boot, len(values)))
-        for rep in range(n_boot):
-            share = np.random.default_rng([seed, rep]).multinomial(total, per_block / total)[block]
-            out[rep] = np.random.default_rng([seed, rep, block + 1]).multinomial(share, p) @ x
-        made = pd.DataFrame(out, columns=values)
-        made.insert(0, "rep", np.arange(n_boot))
-        return made
-
+        made = []
+        for chunk in wanted:
+            n = min(REPS_PER_CHUNK, n_boot - chunk * REPS_PER_CHUNK)
+            shares = np.random.default_rng([seed, chunk]).multinomial(total, sizes / total, size=n)[:, block]
+            picked = np.random.default_rng([seed, chunk, block + 1]).multinomial(shares, p / p.sum())
+            out = pd.DataFrame(picked @ x, columns=values)
+            out.insert(0, "rep", chunk * REPS_PER_CHUNK + np.arange(n))
+            made.append(out)
+        return pd.concat(made, ignore_index=True)
+
+    # With few blocks the replicates spread the work, with many the blocks do.
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if blocks < 32 else F.lit(-1)
+    spread = rows.select(count, *values, (fine % blocks).cast("int").alias("_blk")).withColumn("_chunk", chunk)
     schema = "rep int, " + ", ".join(f"`{v}` double" for v in values)
-    parts = spread.select("_blk", count, *values).groupBy("_blk").applyInPandas(run, schema)
+    parts = spread.groupBy("_blk", "_chunk").applyInPandas(run, schema)
     return parts.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
@@ -369,7 +392,7 @@ def multiverse_bootstrap(a: DataFrame, b: DataFrame, coarse: str, fine: str, n_b
         idx = indexed(vectors, ["cluster"], (), seed)
         # Clusters without any discordance add nothing, so their draws need no join partner.
         busy = idx.where(" + ".join(values) + " > 0").drop("cluster", "n")
-        hits = draws(idx.select("idx", "n"), n_boot, seed).join(busy, "idx")
+        hits = _pick(draws(idx.select("idx", "n"), n_boot, seed), busy, ["idx"])
         reps = a.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("rep"))
         sums = reps.join(hits.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values]), "rep", "left").na.fill(0)
     observed = _rule_rows(vectors.groupBy().agg(*[F.sum(v).alias(v) for v in values]), [])

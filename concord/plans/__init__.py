@@ -6,6 +6,8 @@ MODULES = (
     "audit_queries",
     "table_queries",
     "metric_queries",
+    "resample_queries",
+    "provenance_queries",
 )
 
 
