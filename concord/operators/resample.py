@@ -143,8 +143,9 @@ def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, st
     tol = 1e-12
 
     def p_value(c: str, obs: str) -> Column:
+        # Skipped replicates stay in the denominator: they count as no hit.
         hits = F.count_if(F.abs(c) >= F.abs(obs) - tol)
-        return (hits + 1) / (F.count(F.lit(1)) + 1).cast("double")
+        return F.when(F.first(obs).isNotNull(), (hits + 1) / F.lit(n_perm + 1.0))
 
     return joined.groupBy(*by, "arm1", "arm2").agg(
         F.first("_oa").alias("auc_diff"), F.first("_op").alias("ap_diff"),

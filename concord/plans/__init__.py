@@ -8,6 +8,7 @@ MODULES = (
     "metric_queries",
     "resample_queries",
     "provenance_queries",
+    "model_queries",
 )
 
 

@@ -62,8 +62,8 @@ def _perm_sql(extra: str, skip: bool) -> str:
 s as (select view, -1 as rep, gold, A, B, C, false as swap from {extra} union all select * from f),
 l as ({sides}), {curve_sql('l', 'view, arm1, arm2, rep, side')},
 d as (select view, arm1, arm2, rep, max(auc) filter (side = 0) - max(auc) filter (side = 1) as auc, max(ap) filter (side = 0) - max(ap) filter (side = 1) as ap from sc group by 1, 2, 3, 4)
-select d.view, arm1, arm2, o.auc as auc_diff, o.ap as ap_diff, (1 + count(*) filter (abs(d.auc) >= abs(o.auc) - 1e-12)) / (count(*) + 1)::double as auc_p,
-    (1 + count(*) filter (abs(d.ap) >= abs(o.ap) - 1e-12)) / (count(*) + 1)::double as ap_p, count(*) as n_perm
+select d.view, arm1, arm2, o.auc as auc_diff, o.ap as ap_diff, (1 + count(*) filter (abs(d.auc) >= abs(o.auc) - 1e-12)) / ({REPS} + 1)::double as auc_p,
+    (1 + count(*) filter (abs(d.ap) >= abs(o.ap) - 1e-12)) / ({REPS} + 1)::double as ap_p, count(*) as n_perm
 from d join (select * from d where rep = -1) o using (view, arm1, arm2) where d.rep >= 0 {keep} group by all"""
 
 
