@@ -16,6 +16,7 @@ from concord.functions.columns import hash_hex, hash_uniform, hex_int
 from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effect, paired_labels
 from concord.operators.metrics import all_metrics, auc_ap, concordance
 from concord.operators.ranking import hash_rank
+from concord.operators.replicates import bootstrap_weights, permutation_weights, weighted_metrics
 
 DRAWS_PER_HASH = 4
 FLIPS_PER_HASH = 32
@@ -79,16 +80,19 @@ def _quantiles(c: str, qs: Sequence[float]) -> Column:
 
 
 def paired_bootstrap(wide: DataFrame, item: str, arms: Sequence[str], n_boot: int, seed: int,
-                     by: Sequence[str] = (), y: str = "gold") -> DataFrame:
+                     by: Sequence[str] = (), y: str = "gold", sampler: str = "multinomial") -> DataFrame:
     """Median and 95% interval of the AUC and AP differences of all arm pairs.
 
-    A resample is reduced to class weights per distinct score and replicate
-    before any ordering, and one set of draws serves all arms and pairs.
-    Replicates with one class are left out and counted.
+    One set of draws serves all arms and pairs. Replicates with one class are
+    left out and counted. ``sampler`` is ``multinomial`` (weight vectors, the
+    fast way) or ``md5`` (one row per draw, reproducible in plain SQL).
     """
-    sampled = resample(wide, [item], n_boot, seed, by)
-    long = _long_arms(sampled, [*by, "rep"], arms, y)
-    per_rep = auc_ap(long, y, "pred", [*by, "rep", "arm"], buckets=16)
+    if sampler == "multinomial":
+        weights, largest = bootstrap_weights(wide, item, arms, n_boot, seed, by, y)
+        per_rep = weighted_metrics(weights, by, n_boot, largest)
+    else:
+        sampled = resample(wide, [item], n_boot, seed, by)
+        per_rep = auc_ap(_long_arms(sampled, [*by, "rep"], arms, y), y, "pred", [*by, "rep", "arm"], buckets=16)
     diffs = _pair_rows(per_rep, [*by, "rep"], arms, ["auc", "ap"]).where("d_auc IS NOT NULL")
     qs = (0.5, 0.025, 0.975)
     g = diffs.groupBy(*by, "arm1", "arm2").agg(
@@ -102,13 +106,21 @@ def paired_bootstrap(wide: DataFrame, item: str, arms: Sequence[str], n_boot: in
 
 
 def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, str]], n_perm: int, seed: int,
-                       by: Sequence[str] = (), y: str = "gold", skip_degenerate: bool = False) -> DataFrame:
+                       by: Sequence[str] = (), y: str = "gold", skip_degenerate: bool = False,
+                       sampler: str = "random") -> DataFrame:
     """Two-sided p of the AUC and AP differences under random swaps of the arms.
 
     Swaps are per item and replicate, shared by all pairs. Observed values are
-    computed by the same code as replicate -1 with no swap.
+    computed by the same code as a replicate with no swap. ``sampler`` is
+    ``random`` (swap vectors, the fast way) or ``md5`` (reproducible in SQL).
     """
     by = list(by)
+    if sampler == "random" and not skip_degenerate:
+        weights, largest = permutation_weights(wide, item, pairs, n_perm, seed, by, y)
+        m = weighted_metrics(weights, by, n_perm + 1, largest).withColumn("_p", F.split("arm", "\\|"))
+        m = m.select(*by, (F.col("rep") - 1).alias("rep"), F.col("_p")[0].alias("arm1"), F.col("_p")[1].alias("arm2"),
+                     F.col("_p")[2].cast("int").alias("side"), "auc", "ap")
+        return _swap_p(_side_difference(m, by), by, n_perm)
     blocks = F.sequence(F.lit(0), F.lit((n_perm + FLIPS_PER_HASH - 1) // FLIPS_PER_HASH - 1))
     flips = wide.select("*", F.explode(blocks).alias("_block")).withColumn(
         "_h", hash_hex(seed, F.col("_block"), F.col(item))
@@ -131,13 +143,20 @@ def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, st
     long = observed.unionByName(drawn).select(*by, "rep", "swap", y, F.explode(sides).alias("_s")).select(
         *by, "rep", "swap", y, "_s.*"
     )
-    keys = [*by, "arm1", "arm2", "rep"]
-    m = auc_ap(long, y, "pred", [*keys, "side"], buckets=16)
-    wide_m = m.groupBy(*keys).pivot("side", [0, 1]).agg(F.first("auc").alias("auc"), F.first("ap").alias("ap"))
-    d = wide_m.select(*keys, (F.col("0_auc") - F.col("1_auc")).alias("auc"), (F.col("0_ap") - F.col("1_ap")).alias("ap"))
+    d = _side_difference(auc_ap(long, y, "pred", [*by, "arm1", "arm2", "rep", "side"], buckets=16), by)
     if skip_degenerate:
         mixed = drawn.groupBy(*by, "rep").agg((F.min("swap") != F.max("swap")).alias("_ok")).where("_ok").drop("_ok")
         d = d.where("rep = -1").unionByName(d.join(mixed, [*by, "rep"], "left_semi").select(*d.columns))
+    return _swap_p(d, by, n_perm)
+
+
+def _side_difference(m: DataFrame, by: Sequence[str]) -> DataFrame:
+    keys = [*by, "arm1", "arm2", "rep"]
+    first = lambda c: F.max(F.when(F.col("side") == 0, F.col(c))) - F.max(F.when(F.col("side") == 1, F.col(c)))
+    return m.groupBy(*keys).agg(first("auc").alias("auc"), first("ap").alias("ap"))
+
+
+def _swap_p(d: DataFrame, by: Sequence[str], n_perm: int) -> DataFrame:
     seen = d.where("rep = -1").select(*by, "arm1", "arm2", F.col("auc").alias("_oa"), F.col("ap").alias("_op"))
     joined = d.where("rep >= 0").join(seen, [*by, "arm1", "arm2"])
     tol = 1e-12
@@ -162,7 +181,7 @@ METRICS = ("auc", "ap", "brier", "ece")
 
 
 def replicate_metrics(wide: DataFrame, item: str, arms: Sequence[str], n_boot: int, seed: int,
-                      by: Sequence[str] = (), y: str = "gold", redraw: bool = True) -> DataFrame:
+                      by: Sequence[str] = (), y: str = "gold", redraw: bool = True, sampler: str = "multinomial") -> DataFrame:
     """AUC, AP, Brier and ECE per arm and replicate.
 
     With ``redraw`` a tenth more replicates are drawn and the first ``n_boot``
@@ -172,19 +191,23 @@ def replicate_metrics(wide: DataFrame, item: str, arms: Sequence[str], n_boot: i
 
     total = n_boot + max(1, n_boot // 10) if redraw else n_boot
     total += -total % DRAWS_PER_HASH
-    long = _long_arms(resample(wide, [item], total, seed, by), [*by, "rep"], arms, y)
-    # Equal (label, score) rows weigh together; every metric then reads the small table.
-    small = long.groupBy(*by, "rep", "arm", y, "pred").agg(F.count(F.lit(1)).alias("w"))
-    m = all_metrics(small, y, "pred", [*by, "rep", "arm"], "w", buckets=16).where("auc IS NOT NULL")
+    if sampler == "multinomial":
+        weights, largest = bootstrap_weights(wide, item, arms, total, seed, by, y)
+        m = weighted_metrics(weights, by, total, largest).where("auc IS NOT NULL")
+    else:
+        long = _long_arms(resample(wide, [item], total, seed, by), [*by, "rep"], arms, y)
+        # Equal (label, score) rows weigh together; every metric then reads the small table.
+        small = long.groupBy(*by, "rep", "arm", y, "pred").agg(F.count(F.lit(1)).alias("w"))
+        m = all_metrics(small, y, "pred", [*by, "rep", "arm"], "w", buckets=16).where("auc IS NOT NULL")
     order = F.dense_rank().over(W.partitionBy(*by, "arm").orderBy("rep"))
     return m.withColumn("_k", order).where(F.col("_k") <= n_boot).select(*by, "rep", "arm", *METRICS)
 
 
 def bootstrap_metrics(wide: DataFrame, item: str, arms: Sequence[str], baseline: str, n_boot: int, seed: int,
-                      by: Sequence[str] = (), y: str = "gold", redraw: bool = True) -> DataFrame:
+                      by: Sequence[str] = (), y: str = "gold", redraw: bool = True, sampler: str = "multinomial") -> DataFrame:
     """95% intervals of every metric per arm, and of its difference to the baseline."""
     by = list(by)
-    per_rep = replicate_metrics(wide, item, arms, n_boot, seed, by, y, redraw)
+    per_rep = replicate_metrics(wide, item, arms, n_boot, seed, by, y, redraw, sampler)
     long = per_rep.unpivot([*by, "rep", "arm"], list(METRICS), "metric", "value")
     base = long.where(F.col("arm") == baseline).select(*by, "rep", "metric", F.col("value").alias("_b"))
     both = long.join(base, [*by, "rep", "metric"])

@@ -49,7 +49,22 @@ select view, arm1, arm2, count(*) as n_valid, median(auc) as auc_median, quantil
 
 @query("r1_paired_bootstrap", rounded(with_views("wide", R1), "auc_median auc_low auc_high ap_median ap_low ap_high"))
 def r1(spark, d):
-    return tidy(rs.paired_bootstrap(fx.wide_predictions(spark, d), "item_id", fx.ARMS, REPS, 11, ["view"]))
+    return tidy(rs.paired_bootstrap(fx.wide_predictions(spark, d), "item_id", fx.ARMS, REPS, 11, ["view"], sampler="md5"))
+
+
+@query("r1_paired_bootstrap_weights")
+def r1_fast(spark, d):
+    return tidy(rs.paired_bootstrap(fx.wide_predictions(spark, d), "item_id", fx.ARMS, 2000, 42, ["view"]))
+
+
+@query("r2_paired_permutation_weights")
+def r2_fast(spark, d):
+    return tidy(rs.paired_permutation(fx.wide_predictions(spark, d), "item_id", PAIRS, 2000, 42, ["view"]))
+
+
+@query("r4_bootstrap_metrics_weights")
+def r4_fast(spark, d):
+    return tidy(rs.bootstrap_metrics(fx.wide_predictions(spark, d), "item_id", fx.ARMS, "A", 2000, 42, ["view"]))
 
 
 def _perm_sql(extra: str, skip: bool) -> str:
@@ -69,12 +84,12 @@ from d join (select * from d where rep = -1) o using (view, arm1, arm2) where d.
 
 @query("r2_paired_permutation", rounded(with_views("wide", _perm_sql("wide", False)), "auc_diff ap_diff auc_p ap_p"))
 def r2(spark, d):
-    return tidy(rs.paired_permutation(fx.wide_predictions(spark, d), "item_id", PAIRS, REPS, 13, ["view"]))
+    return tidy(rs.paired_permutation(fx.wide_predictions(spark, d), "item_id", PAIRS, REPS, 13, ["view"], sampler="md5"))
 
 
 @query("r3_permutation_skip_degenerate", rounded(with_views("wide", _perm_sql("wide", True)), "auc_diff ap_diff auc_p ap_p"))
 def r3(spark, d):
-    return tidy(rs.paired_permutation(fx.wide_predictions(spark, d), "item_id", PAIRS, REPS, 13, ["view"], skip_degenerate=True))
+    return tidy(rs.paired_permutation(fx.wide_predictions(spark, d), "item_id", PAIRS, REPS, 13, ["view"], skip_degenerate=True, sampler="md5"))
 
 
 def _metrics_sql(source: str, by: str) -> str:
@@ -102,12 +117,12 @@ select view, arm, metric, kind, count(*) as n_valid, quantile_cont(v, 0.025) as
 
 @query("r4_bootstrap_metrics", rounded(with_views("wide", _boot_sql(True)), "low high"))
 def r4(spark, d):
-    return tidy(rs.bootstrap_metrics(fx.wide_predictions(spark, d), "item_id", fx.ARMS, "A", REPS, 17, ["view"]))
+    return tidy(rs.bootstrap_metrics(fx.wide_predictions(spark, d), "item_id", fx.ARMS, "A", REPS, 17, ["view"], sampler="md5"))
 
 
 @query("r5_bootstrap_without_redraw", rounded(with_views("wide", _boot_sql(False)), "low high"))
 def r5(spark, d):
-    return tidy(rs.bootstrap_metrics(fx.wide_predictions(spark, d), "item_id", fx.ARMS, "A", REPS, 17, ["view"], redraw=False))
+    return tidy(rs.bootstrap_metrics(fx.wide_predictions(spark, d), "item_id", fx.ARMS, "A", REPS, 17, ["view"], redraw=False, sampler="md5"))
 
 
 R6 = f"""w as (select view, item_id, gold, list(pred order by seed) filter (arm = 'A') as A, list(pred order by seed) filter (arm = 'B') as B,
