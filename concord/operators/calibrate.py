@@ -11,7 +11,7 @@ from concord.functions.columns import clip, logit, sigmoid
 from concord.functions.tails import student_t_p, t_multiplier_95
 from concord.operators.audit import holm_adjust
 from concord.operators.splits import stratified_folds
-from concord.session import cut_lineage
+from concord.session import cut_lineage, small_table
 
 
 def fit_logistic_1d(df: DataFrame, y: str, x: str, by: Sequence[str] = (), ridge: float = 0.0,
@@ -45,7 +45,7 @@ def fit_logistic_1d(df: DataFrame, y: str, x: str, by: Sequence[str] = (), ridge
         live = [g for g in groups if g not in done]
         if not live:
             break
-        table = spark.createDataFrame([(*g, float(theta[g][0]), float(theta[g][1])) for g in live], schema)
+        table = small_table(spark, [(*g, float(theta[g][0]), float(theta[g][1])) for g in live], schema)
         joined = rows.join(F.broadcast(table), by) if by else rows.withColumns(
             {"_b": F.lit(float(theta[()][0])), "_s": F.lit(float(theta[()][1]))})
         z = F.col("_b") + F.col("_s") * F.col("_x")
@@ -73,10 +73,9 @@ def fit_logistic_1d(df: DataFrame, y: str, x: str, by: Sequence[str] = (), ridge
             theta[g] = t + step[g]
             if np.abs(step[g]).max() < tol * (1 + np.abs(t).max()):
                 done.add(g)
-    out = spark.createDataFrame(
-        [(*g, float(theta[g][0]), float(theta[g][1]), float(counts.get(g, 0.0))) for g in groups],
+    return small_table(
+        spark, [(*g, float(theta[g][0]), float(theta[g][1]), float(counts.get(g, 0.0))) for g in groups],
         schema.replace("_b double, _s double", "intercept double, slope double, n double"))
-    return out
 
 
 def calibration_line(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from concord.functions.columns import hash_hex
 from concord.operators.ranking import value_bucket
@@ -33,24 +33,30 @@ def _seed(seed: int, group: tuple, *more: int) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(repr(group).encode()), *more])
 
 
+WIDTHS = ((1, "<u1"), (2, "<u2"), (4, "<u4"))
+
+
 def _pack(w: np.ndarray) -> list[bytes]:
-    """Rows of counts as bytes, two per count unless one needs four."""
-    kind = "<u2" if w.size == 0 or w.max() < 65536 else "<u4"
+    """Rows of counts as bytes, one per count unless a count needs two or four."""
+    top = int(w.max()) if w.size else 0
+    kind = next(k for width, k in WIDTHS if top < 256**width)
     return [row.tobytes() for row in np.ascontiguousarray(w.astype(kind))]
 
 
 def _unpack(packed: pd.Series, reps: int) -> np.ndarray:
-    if all(len(b) == 2 * reps for b in packed):
-        return np.frombuffer(b"".join(packed), dtype="<u2").reshape(-1, reps).astype(np.float64)
-    return np.stack([np.frombuffer(b, dtype="<u2" if len(b) == 2 * reps else "<u4") for b in packed]).astype(np.float64)
+    kinds = {width * reps: k for width, k in WIDTHS}
+    lengths = {len(b) for b in packed}
+    if len(lengths) == 1:
+        return np.frombuffer(b"".join(packed), dtype=kinds[lengths.pop()]).reshape(-1, reps)
+    return np.stack([np.frombuffer(b, dtype=kinds[len(b)]).astype(np.uint32) for b in packed])
 
 
-def _merged(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Add up the weights of rows with equal score and label."""
+def _merged(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Add up the weights of rows with equal score and label, and count the rows."""
     order = np.lexsort((y, score))
     score, y, w = score[order], y[order], w[order]
     first = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) | (y[1:] != y[:-1])])
-    return score[first], y[first], np.add.reduceat(w, first, axis=0)
+    return score[first], y[first], np.diff(np.r_[first, len(score)]), np.add.reduceat(w, first, axis=0)
 
 
 def _spread(rows: DataFrame, item: str, by: Sequence[str], chunks: int) -> tuple[DataFrame, dict, int]:
@@ -77,7 +83,7 @@ def _plain(group) -> tuple:
 
 def _schema(df: DataFrame, by: Sequence[str]) -> str:
     types = dict(df.dtypes)
-    return "".join(f"`{c}` {types[c]}, " for c in by) + "arm string, chunk int, score double, y int, w binary"
+    return "".join(f"`{c}` {types[c]}, " for c in by) + "arm string, chunk int, score double, y int, copies int, w binary"
 
 
 def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: int, seed: int,
@@ -99,8 +105,8 @@ def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: i
             even = np.full(len(pdf), 1.0 / len(pdf))
             w = _seed(seed, group, chunk, block + 1).multinomial(share, even).T
             for arm in arms:
-                s, label, merged = _merged(pdf[arm].to_numpy(), pdf[y].to_numpy(), w)
-                part = pd.DataFrame({"arm": arm, "chunk": chunk, "score": s, "y": label, "w": _pack(merged)})
+                s, label, copies, merged = _merged(pdf[arm].to_numpy(), pdf[y].to_numpy(), w)
+                part = pd.DataFrame({"arm": arm, "chunk": chunk, "score": s, "y": label, "copies": copies, "w": _pack(merged)})
                 for i, c in enumerate(by):
                     part.insert(i, c, key[i])
                 out.append(part)
@@ -111,9 +117,11 @@ def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: i
 
 def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, str]], n_perm: int, seed: int,
                         by: Sequence[str] = (), y: str = "gold") -> tuple[DataFrame, int]:
-    """Rows of a swap test: arm names are ``a|b|side``; replicate 0 swaps nothing.
+    """Rows of a swap test: arm names are ``a|b``; replicate 0 swaps nothing.
 
     A swapped row counts under the other arm's score, so swaps are weights too.
+    The weights are those of the first side; the second side has the rest of
+    each row's copies.
     """
     by, total = list(by), n_perm + 1
     arms = sorted({x for pair in pairs for x in pair})
@@ -128,46 +136,77 @@ def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, s
         out = []
         for chunk in range(chunks) if only < 0 else [only]:
             n = min(CHUNK, total - chunk * CHUNK)
-            swap = _seed(seed, group, chunk, block).integers(0, 2, size=(len(pdf), n))
+            swap = _seed(seed, group, chunk, block).integers(0, 2, size=(len(pdf), n), dtype=np.int16)
             if chunk == 0:
                 swap[:, 0] = 0
             for a, b in pairs:
-                for side in (0, 1):
-                    s = np.r_[pdf[a].to_numpy(), pdf[b].to_numpy()]
-                    w = np.r_[swap ^ 1, swap] if side == 0 else np.r_[swap, swap ^ 1]
-                    s, lab, merged = _merged(s, label, w)
-                    part = pd.DataFrame({"arm": f"{a}|{b}|{side}", "chunk": chunk, "score": s, "y": lab, "w": _pack(merged)})
-                    for i, c in enumerate(by):
-                        part.insert(i, c, key[i])
-                    out.append(part)
+                scores = np.r_[pdf[a].to_numpy(), pdf[b].to_numpy()]
+                s, lab, copies, merged = _merged(scores, label, np.r_[swap ^ 1, swap])
+                part = pd.DataFrame({"arm": f"{a}|{b}", "chunk": chunk, "score": s, "y": lab, "copies": copies, "w": _pack(merged)})
+                for i, c in enumerate(by):
+                    part.insert(i, c, key[i])
+                out.append(part)
         return pd.concat(out, ignore_index=True)
 
     return spread.groupBy(*by, "_blk", "_chunk").applyInPandas(run, _schema(rows, by)), largest
 
 
-STATS = ["pos", "neg", "wins", "area", "sq", *[f"{k}{i}" for k in ("bn", "bp", "by") for i in range(BINS)]]
+RANKING = ["pos", "neg", "wins", "area"]
+CALIBRATION = ["sq", *[f"{k}{i}" for k in ("bn", "bp", "by") for i in range(BINS)]]
+SCORES_PER_STEP = 1024
 
 
-def _sweep(pdf: pd.DataFrame, n: int, above_pos: np.ndarray, above_neg: np.ndarray) -> np.ndarray:
-    """All sums of one score range for n replicates, as (n, len(STATS))."""
-    pdf = pdf.sort_values(["score", "y"], ascending=False)
-    score, y = pdf["score"].to_numpy(), pdf["y"].to_numpy()
+def _side_weights(pdf: pd.DataFrame, n: int, side: int) -> np.ndarray:
     w = _unpack(pdf["w"], n)
-    first = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-    pos = np.add.reduceat(w * (y == 1)[:, None], first, axis=0)
-    neg = np.add.reduceat(w * (y == 0)[:, None], first, axis=0)
-    tp, fp = np.cumsum(pos, axis=0) + above_pos, np.cumsum(neg, axis=0) + above_neg
-    seen = np.maximum(tp + fp, 1.0)
-    p = np.clip(score, 0.0, 1.0)
-    hot = np.eye(BINS)[np.minimum((p * BINS).astype(int), BINS - 1)]
-    return np.column_stack([
-        pos.sum(0), neg.sum(0), (neg * (tp - pos / 2)).sum(0), (pos * tp / seen).sum(0), w.T @ (p - y) ** 2,
-        w.T @ hot, w.T @ (hot * p[:, None]), w.T @ (hot * y[:, None]),
-    ])
-
-
-def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, largest: int, ranges: int | None = None) -> DataFrame:
-    """AUC, AP, Brier and ECE for every (by, arm, rep) of a weight table.
+    return w if side == 0 else pdf["copies"].to_numpy()[:, None] - w
+
+
+def _sweep(pdf: pd.DataFrame, n: int, side: int, above_pos: np.ndarray, above_neg: np.ndarray, calibration: bool) -> np.ndarray:
+    """All sums of one score range for n replicates, one row per replicate.
+
+    Scores are walked from the top in short steps, so the matrices of a step
+    stay in the processor's cache.
+    """
+    score, y = pdf["score"].to_numpy(), pdf["y"].to_numpy()
+    counts = _side_weights(pdf, n, side)
+    order = np.argsort(-score, kind="stable")
+    score, y, counts = score[order], y[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    ends = np.r_[starts[1:], len(score)]
+    tp, fp = above_pos.copy(), above_neg.copy()
+    wins, area = np.zeros(n), np.zeros(n)
+    for i in range(0, len(starts), SCORES_PER_STEP):
+        own = starts[i:i + SCORES_PER_STEP]
+        rows = slice(own[0], ends[min(i + SCORES_PER_STEP, len(starts)) - 1])
+        w = counts[rows].astype(np.float64)
+        pos = w * (y[rows] == 1)[:, None]
+        neg = w - pos
+        if len(own) < len(w):
+            pos, neg = np.add.reduceat(pos, own - own[0], axis=0), np.add.reduceat(neg, own - own[0], axis=0)
+        run_p, run_n = np.cumsum(pos, axis=0), np.cumsum(neg, axis=0)
+        run_p += tp
+        run_n += fp
+        wins += np.einsum("ij,ij->j", neg, run_p) - 0.5 * np.einsum("ij,ij->j", neg, pos)
+        seen = run_p + run_n
+        np.maximum(seen, 1.0, out=seen)
+        np.divide(run_p, seen, out=seen)
+        area += np.einsum("ij,ij->j", pos, seen)
+        tp, fp = run_p[-1], run_n[-1]
+    out = [tp - above_pos, fp - above_neg, wins, area]
+    if calibration:
+        p = np.clip(score, 0.0, 1.0)
+        hot = np.eye(BINS)[np.minimum((p * BINS).astype(int), BINS - 1)]
+        w = counts.T.astype(np.float64)
+        out += [w @ (p - y) ** 2, w @ hot, w @ (hot * p[:, None]), w @ (hot * y[:, None])]
+    return np.column_stack(out)
+
+
+def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, largest: int, ranges: int | None = None,
+                     sides: int = 1, calibration: bool = True) -> DataFrame:
+    """AUC, AP, Brier and ECE for every (by, arm, side, rep) of a weight table.
+
+    Brier and ECE come only with ``calibration``.
+    Side 0 has the given weights, side 1 what they leave of each row's copies.
 
     Large groups are cut into score ranges: a first pass adds up the class
     weights of each range, a second continues each range from the sums above it.
@@ -175,40 +214,44 @@ def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, largest:
     by = list(by)
     ranges = ranges or min(65536, max(1, -(-largest // ROWS_PER_RANGE)))
     keys = [*by, "arm", "chunk"]
+    stats = RANKING + (CALIBRATION if calibration else [])
     types = dict(weights.dtypes)
     head = "".join(f"`{c}` {types[c]}, " for c in by) + "arm string, "
 
-    def framed(key, chunk: int, sums: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame(sums, columns=STATS)
-        out.insert(0, "rep", chunk * CHUNK + np.arange(len(out)))
+    def framed(key, chunk: int, per_side: list[np.ndarray]) -> pd.DataFrame:
+        out = pd.concat([pd.DataFrame(sums, columns=stats).assign(
+            side=side, rep=chunk * CHUNK + np.arange(len(sums))) for side, sums in enumerate(per_side)])
         for i, c in enumerate([*by, "arm"]):
-            out.insert(i, c, key[i])
-        return out
+            out[c] = key[i]
+        return out[[*by, "arm", "side", "rep", *stats]]
 
     def size(chunk: int) -> int:
         return min(CHUNK, reps - chunk * CHUNK)
 
-    schema = head + "rep int, " + ", ".join(f"`{s}` double" for s in STATS)
+    schema = head + "side int, rep int, " + ", ".join(f"`{s}` double" for s in stats)
     if ranges == 1:
         def whole(key, pdf):
             n = size(int(key[-1]))
-            return framed(key, int(key[-1]), _sweep(pdf, n, np.zeros(n), np.zeros(n)))
+            return framed(key, int(key[-1]), [_sweep(pdf, n, k, np.zeros(n), np.zeros(n), calibration) for k in range(sides)])
 
         parts = weights.groupBy(*keys).applyInPandas(whole, schema)
     else:
         cut = weights.withColumn("_range", value_bucket(F.col("score"), 2 * ranges))
 
         def totals(key, pdf):
-            w = _unpack(pdf["w"], size(int(key[-2])))
             y = pdf["y"].to_numpy()
-            row = {**dict(zip([*keys, "_range"], key)), "p": (w.T @ (y == 1)).tobytes(), "q": (w.T @ (y == 0)).tobytes()}
+            row = dict(zip([*keys, "_range"], key))
+            for k in range(sides):
+                w = _side_weights(pdf, size(int(key[-2])), k).astype(np.float64)
+                row[f"p{k}"], row[f"q{k}"] = (w.T @ (y == 1)).tobytes(), (w.T @ (y == 0)).tobytes()
             return pd.DataFrame([row])
 
-        keyed = head + "chunk int, _range int, p binary, q binary"
+        sums_of = [f"{c}{k}" for k in range(sides) for c in "pq"]
+        keyed = head + "chunk int, _range int, " + ", ".join(f"{c} binary" for c in sums_of)
 
         def above(key, pdf):
             pdf = pdf.sort_values("_range", ascending=False).reset_index(drop=True)
-            for c in ("p", "q"):
+            for c in sums_of:
                 m = np.stack([np.frombuffer(b) for b in pdf[c]])
                 pdf[c] = [row.tobytes() for row in np.cumsum(m, axis=0) - m]
             return pdf
@@ -219,23 +262,24 @@ def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, largest:
         def part(key, left, right):
             n = size(int(key[-2]))
             if left.empty:
-                return pd.DataFrame(columns=[*by, "arm", "rep", *STATS])
-            return framed(key, int(key[-2]), _sweep(left, n, np.frombuffer(right["p"].iloc[0]), np.frombuffer(right["q"].iloc[0])))
+                return pd.DataFrame(columns=[*by, "arm", "side", "rep", *stats])
+            return framed(key, int(key[-2]), [
+                _sweep(left, n, k, np.frombuffer(right[f"p{k}"].iloc[0]), np.frombuffer(right[f"q{k}"].iloc[0]), calibration)
+                for k in range(sides)])
 
         parts = cut.groupBy(*keys, "_range").cogroup(offsets.groupBy(*keys, "_range")).applyInPandas(part, schema)
-    summed = parts.groupBy(*by, "arm", "rep").agg(*[F.sum(s).alias(s) for s in STATS])
+    summed = parts.groupBy(*by, "arm", "side", "rep").agg(*[F.sum(s).alias(s) for s in stats])
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    n = F.col("pos") + F.col("neg")
-
-    def gap(i: int) -> Column:
-        return F.abs(F.col(f"bp{i}") - F.col(f"by{i}"))
-
-    total_gap = gap(0)
-    for i in range(1, BINS):
-        total_gap = total_gap + gap(i)
-    return summed.select(
-        *by, "arm", "rep",
+    out = [
+        *by, "arm", "side", "rep",
         F.when(both, F.try_divide(F.col("wins"), F.col("pos") * F.col("neg"))).alias("auc"),
         F.when(both, F.try_divide(F.col("area"), F.col("pos"))).alias("ap"),
-        F.try_divide(F.col("sq"), n).alias("brier"), F.try_divide(total_gap, n).alias("ece"),
-    )
+    ]
+    if calibration:
+        n = F.col("pos") + F.col("neg")
+        gaps = F.array(*[F.abs(F.col(f"bp{i}") - F.col(f"by{i}")) for i in range(BINS)])
+        out += [
+            F.try_divide(F.col("sq"), n).alias("brier"),
+            F.try_divide(F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g), n).alias("ece"),
+        ]
+    return summed.select(*out)

@@ -16,6 +16,7 @@ from concord.functions.columns import hash_hex, hash_uniform, hex_int
 from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effect, paired_labels
 from concord.operators.metrics import all_metrics, auc_ap, concordance
 from concord.operators.ranking import hash_rank
+from concord.session import cut_lineage
 from concord.operators.replicates import bootstrap_weights, permutation_weights, weighted_metrics
 
 DRAWS_PER_HASH = 4
@@ -89,7 +90,7 @@ def paired_bootstrap(wide: DataFrame, item: str, arms: Sequence[str], n_boot: in
     """
     if sampler == "multinomial":
         weights, largest = bootstrap_weights(wide, item, arms, n_boot, seed, by, y)
-        per_rep = weighted_metrics(weights, by, n_boot, largest)
+        per_rep = weighted_metrics(weights, by, n_boot, largest, calibration=False)
     else:
         sampled = resample(wide, [item], n_boot, seed, by)
         per_rep = auc_ap(_long_arms(sampled, [*by, "rep"], arms, y), y, "pred", [*by, "rep", "arm"], buckets=16)
@@ -117,9 +118,9 @@ def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, st
     by = list(by)
     if sampler == "random" and not skip_degenerate:
         weights, largest = permutation_weights(wide, item, pairs, n_perm, seed, by, y)
-        m = weighted_metrics(weights, by, n_perm + 1, largest).withColumn("_p", F.split("arm", "\\|"))
+        m = weighted_metrics(weights, by, n_perm + 1, largest, sides=2, calibration=False).withColumn("_p", F.split("arm", "\\|"))
         m = m.select(*by, (F.col("rep") - 1).alias("rep"), F.col("_p")[0].alias("arm1"), F.col("_p")[1].alias("arm2"),
-                     F.col("_p")[2].cast("int").alias("side"), "auc", "ap")
+                     "side", "auc", "ap")
         return _swap_p(_side_difference(m, by), by, n_perm)
     blocks = F.sequence(F.lit(0), F.lit((n_perm + FLIPS_PER_HASH - 1) // FLIPS_PER_HASH - 1))
     flips = wide.select("*", F.explode(blocks).alias("_block")).withColumn(
@@ -410,16 +411,19 @@ def multiverse_bootstrap(a: DataFrame, b: DataFrame, coarse: str, fine: str, n_b
     vectors = cluster_contributions(a, b, coarse, fine)
     values = [f"x{i}" for i in range(2 * len(CELLS))]
     if sampler == "multinomial":
-        groups = vectors.groupBy(*values).agg(F.count(F.lit(1)).alias("_c"))
+        groups = cut_lineage(vectors.groupBy(*values).agg(F.count(F.lit(1)).alias("_c")))
         sums = multinomial_totals(groups, "_c", values, n_boot, seed)
+        totals = groups.agg(*[F.sum(F.col(v) * F.col("_c")).alias(v) for v in values])
     else:
+        vectors = cut_lineage(vectors)
         idx = indexed(vectors, ["cluster"], (), seed)
         # Clusters without any discordance add nothing, so their draws need no join partner.
         busy = idx.where(" + ".join(values) + " > 0").drop("cluster", "n")
         hits = _pick(draws(idx.select("idx", "n"), n_boot, seed), busy, ["idx"])
         reps = a.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("rep"))
         sums = reps.join(hits.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values]), "rep", "left").na.fill(0)
-    observed = _rule_rows(vectors.groupBy().agg(*[F.sum(v).alias(v) for v in values]), [])
+        totals = vectors.agg(*[F.sum(v).alias(v) for v in values])
+    observed = _rule_rows(totals, [])
     keys = ["identity", "mode", "filter"]
     boot = _rule_rows(sums, ["rep"]).where("rho IS NOT NULL").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_valid"), F.avg("rho").alias("mean_rho"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.columns import clip, sigmoid
 from concord.operators.calibrate import fit_logistic_1d
-from concord.session import cut_lineage
+from concord.session import cut_lineage, small_table
 
 
 def vote_mean(votes: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -55,61 +55,53 @@ def vote_patterns(votes: DataFrame, values: DataFrame | None = None) -> tuple[Da
     return per.select("item", "pid"), long
 
 
-def _log_odds(sens: Column, spec: Column, label: Column) -> Column:
-    return F.when(label == 1, F.ln(sens) - F.ln(1.0 - spec)).otherwise(F.ln(1.0 - sens) - F.ln(spec))
-
-
 def dawid_skene(votes: DataFrame, beta: float = 1.0, max_iter: int = 100, tol: float = 1e-7) -> tuple[DataFrame, DataFrame]:
     """Two-class EM over sources' sensitivity and specificity, smoothed by ``beta``.
 
     The posterior depends only on the source table of the previous round, so a
-    round is one job over the vote patterns and nothing but that table (one
-    row per source) moves between rounds. ``beta=2`` gives the MAP variant.
-    Returns (item, score) and (source, sensitivity, specificity).
+    round is one aggregation over the vote patterns, and only that table (one
+    entry per source, looked up by position) moves between rounds. ``beta=2``
+    gives the MAP variant. Returns (item, score) and (source, sensitivity,
+    specificity).
     """
     spark = votes.sparkSession
-    members, long = vote_patterns(votes)
-    members, long = cut_lineage(members), cut_lineage(long)
-    table = {r["source"]: (0.75, 0.75) for r in long.select("source").distinct().collect()}
-    source_type = dict(votes.dtypes)["source"]
-
-    def params(t: dict, p: str) -> DataFrame:
-        return spark.createDataFrame(
-            [(s, a, b) for s, (a, b) in t.items()], f"source {source_type}, {p}_sens double, {p}_spec double")
-
-    def posterior(new: dict, old: dict | None) -> DataFrame:
-        # Patterns repeat over sources: the join side is one row per source.
-        joined = long.join(params(new, "new"), "source")
-        sums = [F.sum(_log_odds(F.col("new_sens"), F.col("new_spec"), F.col("label"))).alias("_new")]
-        if old is not None:
-            joined = joined.join(params(old, "old"), "source")
-            sums.append(F.sum(_log_odds(F.col("old_sens"), F.col("old_spec"), F.col("label"))).alias("_old"))
-        else:
-            sums.append(F.avg("label").alias("_mean"))
-        q = joined.groupBy("pid").agg(*sums)
-        before = sigmoid("_old") if old is not None else clip("_mean", 0.05, 0.95)
-        return q.select("pid", sigmoid("_new").alias("q"), before.alias("q_old"))
-
-    previous = None
+    names = sorted(r["source"] for r in votes.select("source").distinct().collect())
+    kind = dict(votes.dtypes)["source"]
+    index = small_table(spark, [(n, i) for i, n in enumerate(names)], f"source {kind}, s int")
+    placed = votes.join(F.broadcast(index), "source").select("item", "s", F.col("label").cast("int").alias("label"))
+    rows = F.sort_array(F.collect_list(F.struct("s", "label")))
+    per = cut_lineage(placed.groupBy("item").agg(rows.alias("votes")))
+    patterns = cut_lineage(per.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("cnt")))
+
+    def posterior(sens: list[float], spec: list[float]) -> Column:
+        yes = F.lit([math.log(a) - math.log(1 - b) for a, b in zip(sens, spec)])
+        no = F.lit([math.log(1 - a) - math.log(b) for a, b in zip(sens, spec)])
+        return sigmoid(F.aggregate("votes", F.lit(0.0), lambda t, v: t + F.when(
+            v["label"] == 1, F.element_at(yes, v["s"] + 1)).otherwise(F.element_at(no, v["s"] + 1))))
+
+    size = F.size("votes").cast("double")
+    before = clip(F.aggregate("votes", F.lit(0.0), lambda t, v: t + v["label"]) / size, 0.05, 0.95)
+    sens, spec = [0.75] * len(names), [0.75] * len(names)
     for _ in range(max_iter):
-        q = posterior(table, previous)
-        z, w = F.col("label").cast("double"), F.col("cnt").cast("double")
-        sums = long.join(q, "pid").groupBy("source").agg(
+        q = posterior(sens, spec)
+        scored = patterns.select("votes", "cnt", q.alias("q"), F.abs(q - before).alias("moved"))
+        z, w = F.col("v.label").cast("double"), F.col("cnt")
+        sums = scored.select("cnt", "q", "moved", F.explode("votes").alias("v")).groupBy("v.s").agg(
             F.sum(w * z * F.col("q")).alias("hit"), F.sum(w * F.col("q")).alias("pos"),
             F.sum(w * (1 - z) * (1 - F.col("q"))).alias("rej"), F.sum(w * (1 - F.col("q"))).alias("neg"),
-            F.max(F.abs(F.col("q") - F.col("q_old"))).alias("moved"),
+            F.max("moved").alias("moved"),
         ).collect()
-        previous, bound = table, lambda x: min(max(x, 1e-4), 1 - 1e-4)
-        table = {
-            r["source"]: (bound((r["hit"] + beta) / (r["pos"] + 2 * beta)), bound((r["rej"] + beta) / (r["neg"] + 2 * beta)))
-            for r in sums
-        }
+        before = q
+        bound = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+        for r in sums:
+            sens[r["s"]] = bound((r["hit"] + beta) / (r["pos"] + 2 * beta))
+            spec[r["s"]] = bound((r["rej"] + beta) / (r["neg"] + 2 * beta))
         if max(r["moved"] for r in sums) < tol:
             break
-    final = posterior(previous, None).select("pid", F.col("q").alias("score"))
-    sources = params(table, "s").select(
-        "source", F.col("s_sens").alias("sensitivity"), F.col("s_spec").alias("specificity"))
-    return members.join(final, "pid").select("item", "score"), sources
+    sources = small_table(
+        spark, list(zip(names, sens, spec)), f"source {kind}, sensitivity double, specificity double")
+    # The scores are those of the last E-step, before the last source update.
+    return per.select("item", before.alias("score")), sources
 
 
 def fit_latent_multi(votes: DataFrame, values: DataFrame | None = None, rounds: int = 15) -> tuple[DataFrame, DataFrame]:

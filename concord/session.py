@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def local_session(cores: str = "8", app: str = "concord", partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short parameter table as part of the plan itself, so reading it runs no job."""
+    fields = T.StructType.fromDDL(schema)
+    cols = [
+        F.lit([r[i] for r in rows]).cast(T.ArrayType(f.dataType)).alias(f.name) for i, f in enumerate(fields)
+    ]
+    zipped = spark.sql("SELECT 1 AS one").select(F.explode(F.arrays_zip(*cols)).alias("r"))
+    return zipped.select("r.*")
