@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.columns import clip
-from concord.operators.ranking import average_ranks, hash_rank, ordered_running, running_sums, value_bucket
+from concord.operators.ranking import average_ranks, exact_quantiles, ordered_running, running_sums, value_bucket
 
 
 def _weight(weight: str | None) -> Column:
@@ -109,6 +109,8 @@ def ece(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
 def all_metrics(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
                 weight: str | None = None, buckets: int = 256) -> DataFrame:
     by = list(by)
+    if not by:
+        return all_metrics(df.withColumn("_all", F.lit(0)), y, p, ["_all"], weight, buckets).drop("_all")
     return (
         moments(df, y, p, by, weight).join(auc_ap(df, y, p, by, weight, buckets), by)
         .join(ece(df, y, p, by, weight), by)
@@ -233,6 +235,8 @@ def aurc(df: DataFrame, u: str, item: str, y: str = "gold", p: str = "pred", by:
     half the end risks, so no neighbour lookup is needed.
     """
     by = list(by)
+    if not by:
+        return aurc(df.withColumn("_all", F.lit(0)), u, item, y, p, ["_all"]).drop("_all")
     scored = df.withColumn("_err", _wrong(y, p))
     run = ordered_running(scored, u, [item], ["_err"], by)
     risk = F.col("cum__err") / F.col("rank").cast("double")
@@ -282,10 +286,11 @@ def abstain_summary(df: DataFrame, u: str, tau: float, y: str = "gold", p: str =
 def quantile_calibration(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """Calibration by equal-frequency bins whose repeated edges are merged."""
     by = list(by)
-    cuts = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(p), cuts)).alias("_edges"))
-    joined = df.join(edges, by) if by else df.withColumn("_edges", edges.scalar())
+    if not by:
+        return quantile_calibration(df.withColumn("_all", F.lit(0)), y, p, ["_all"], bins).drop("_all")
+    edges = exact_quantiles(df, p, [i / bins for i in range(bins + 1)], by).select(
+        *by, F.array_distinct("edges").alias("_edges"))
     above = F.size(F.filter("_edges", lambda e: e < F.col(p)))
-    return joined.groupBy(*by, F.greatest(above, F.lit(1)).alias("bin")).agg(
+    return df.join(edges, by).groupBy(*by, F.greatest(above, F.lit(1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg(y).alias("observed")
     )

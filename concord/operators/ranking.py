@@ -116,3 +116,27 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     )
     return packed.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (),
+                    buckets: int = 4096) -> DataFrame:
+    """Linearly interpolated quantiles per group as array ``edges``.
+
+    Positions are looked up in running counts of distinct values, so no task
+    holds a group's values.
+    """
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    g = g.withColumn("_bucket", value_bucket(F.col(value).cast("double"), buckets))
+    run = running_sums(g, [F.col(value)], ["c"], by)
+    first, last = F.col("cum_c") - F.col("c"), F.col("cum_c")
+    spots = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(end).alias("end"),
+                 (F.floor if end == 0 else F.ceil)((F.col("all_c") - 1) * F.lit(float(q))).alias("at"),
+                 ((F.col("all_c") - 1) * F.lit(float(q)) % 1.0).alias("part"))
+        for i, q in enumerate(shares) for end in (0, 1)
+    ])
+    hits = run.select(*by, value, F.explode(F.filter(spots, lambda s: (s["at"] >= first) & (s["at"] < last))).alias("s"))
+    at = lambda i, end: F.max(F.when((F.col("s.i") == i) & (F.col("s.end") == end), F.col(value)))
+    part = lambda i: F.max(F.when(F.col("s.i") == i, F.col("s.part")))
+    edges = [at(i, 0) + (at(i, 1) - at(i, 0)) * part(i) for i in range(len(shares))]
+    return hits.groupBy(*by).agg(F.array(*edges).alias("edges"))

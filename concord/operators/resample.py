@@ -285,6 +285,8 @@ def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, n_boot: int,
 
 def prevalence_check(df: DataFrame, item: str, p: str, y: str, reps: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Does the observed positive rate sit inside what the probabilities predict?"""
+    if not by:
+        return prevalence_check(df.withColumn("_all", F.lit(0)), item, p, y, reps, seed, ["_all"]).drop("_all")
     blocks = F.sequence(F.lit(0), F.lit(reps // DRAWS_PER_HASH - 1))
     hashed = df.select(*by, p, F.explode(blocks).alias("_block"), item).withColumn(
         "_h", hash_hex(seed, F.col("_block"), F.col(item)))
