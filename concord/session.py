@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: The application that has been sent the package.
+_SHIPPED: dict[str, object] = {}
+
 
 def local_session(cores: str = "8", app: str = "concord", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -53,3 +58,27 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     ]
     zipped = spark.sql("SELECT 1 AS one").select(F.explode(F.arrays_zip(*cols)).alias("r"))
     return zipped.select("r.*")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once per application.
+
+    Spark carries the archive itself, so executors need no folder in common with
+    the driver. Workers import the package by name in every pandas function.
+    """
+    context = spark.sparkContext
+    if _SHIPPED.get("application") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    sources = [p for p in root.rglob("*.py")]
+    top = root.parent / "corpus_pipeline.py"
+    # Executors fetch the archive when they start, so its folder stays until the driver ends.
+    folder = tempfile.TemporaryDirectory(prefix="package-")
+    archive = Path(folder.name) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sources:
+            out.write(p, p.relative_to(root.parent))
+        if top.exists():
+            out.write(top, top.name)
+    context.addPyFile(str(archive))
+    _SHIPPED.update(application=context.applicationId, folder=folder)
