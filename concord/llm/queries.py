@@ -6,7 +6,7 @@ from importlib import import_module
 
 from concord.llm.registry import ORACLES, QUERIES
 
-MODULES = ("toxicity_query",)
+MODULES = ("toxicity_query", "packing_query")
 
 for _name in MODULES:
     import_module(f"concord.llm.{_name}")
