@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.llm.text import steps
+from concord.session import small_table
 
 LETTERS = 40
 SPAN = 5
@@ -284,23 +285,26 @@ def _choose_landmarks(texts: list[str], y: np.ndarray, count: int) -> tuple[str,
     return tuple(picked)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label",
         per_class: int = 2000, landmarks: int = 64, ridge: float = 1.0) -> ToxicityModel:
-    """Train on at most ``per_class`` labelled rows of each class, those with the smallest hashes of ``order``.
+    """Train on at most ``per_class`` documents of each class, those whose ids have the smallest hashes.
 
-    The sample is the documented bound of what reaches the driver. Class shares
-    are counted over all labelled rows.
+    ``labels`` has one row (key, label 0 or 1) per document. The sample is the
+    documented bound of what reaches the driver: ids first, without texts, then
+    the texts of these ids alone. Class shares are counted over all labels.
     """
-    known = labelled.where(F.col(label).isin(0, 1))
+    known = labels.where(F.col(label).isin(0, 1)).join(docs.select(key), key, "left_semi")
     shares = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    total = sum(shares.values())
     if len(shares) < 2:
-        base = float(shares.get(1, 0) > 0)
-        return ToxicityModel((), np.empty(0), 0.0, (0.0, 0.0, 0.0), base)
-    rows = []
+        return ToxicityModel((), np.empty(0), 0.0, (0.0, 0.0, 0.0), float(shares.get(1, 0) > 0))
+    picked = []
     for value in (0, 1):
-        part = known.where(F.col(label) == value).orderBy(F.xxhash64(F.col(order)), F.col(order)).limit(per_class)
-        rows += part.select(F.col(text), F.col(label)).collect()
+        part = known.where(F.col(label) == value).select(key, label)
+        picked += part.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(per_class).collect()
+    kind = docs.schema[key].dataType.simpleString()
+    chosen = small_table(docs.sparkSession, [tuple(r) for r in picked], f"{key} {kind}, {label} int")
+    # At most 2 * per_class rows.
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, label).collect()
     return fit_rows([r[0] or "" for r in rows], np.array([int(r[1]) for r in rows]), shares, landmarks, ridge)
 
 

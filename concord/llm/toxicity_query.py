@@ -8,9 +8,16 @@ from concord.llm import toxicity
 from concord.llm.registry import id_remainder, query, table
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a label; toxic if any of its labels says so."""
-    marks = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+def document_labels(labels: DataFrame) -> DataFrame:
+    """One label per document: toxic if any of its labels says so."""
+    return labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = document_labels(table(spark, sf_dir, "labels")).where(id_remainder("doc_id", 5) != 0)
+    model = toxicity.fit(docs, known)
     return docs.select("doc_id", "text").join(marks, "doc_id")
 
 
