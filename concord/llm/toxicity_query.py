@@ -18,14 +18,6 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = document_labels(table(spark, sf_dir, "labels")).where(id_remainder("doc_id", 5) != 0)
     model = toxicity.fit(docs, known)
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
-@query("op1_toxicity")
-def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    learn = labelled(docs, table(spark, sf_dir, "labels")).where(id_remainder("doc_id", 5) != 0)
-    model = toxicity.fit(learn)
     return docs.select(
         "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"),
         toxicity.score(F.col("text"), model).alias("score"),
