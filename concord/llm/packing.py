@@ -33,7 +33,7 @@ from concord.session import cut_lineage, small_table
 MAX_LENGTH = 1024
 END_ID = 2
 #: Rows that share one window when ranks are counted.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 #: Way in which byte-level vocabularies split a text before merging (a fixed pattern of theirs).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

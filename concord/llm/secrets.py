@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from concord.llm.rows import row_key
 from concord.session import cut_lineage
 
 SCOPE = 200
@@ -56,8 +57,7 @@ def parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     body = F.coalesce(F.col(text), F.lit(""))
     patterns = [p for _, p in BASE] + [p for _, p, _ in WEAK]
     return docs.select(
-        F.unhex(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.length(body).cast("string"), body))).alias("row"),
-        F.col(key).alias("key"),
+        row_key(key, text).alias("row"), F.col(key).alias("key"),
         F.array_compact(F.array(*[_found(body, i, p) for i, p in enumerate(patterns)])).alias("found"))
 
 
