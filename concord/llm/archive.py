@@ -27,7 +27,8 @@ from concord.session import shared_folder
 END = "\r\n"
 LEAST = 1000
 DATE = "2020-01-01T00:00:00Z"
-DIGEST = ["sha256", "sha1", "n_bytes"]
+#: Stands for a null id where rows are dealt out and joined.
+NO_PAGE = -(1 << 63)
 
 
 def _line(name: str, value: Column) -> Column:
@@ -38,11 +39,16 @@ def _urn(page: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
 
 
+def digest_of(payload: Column) -> Column:
+    """SHA-256, SHA-1 and length of a payload, as one binary value."""
+    return F.concat(F.unhex(F.sha2(payload, 256)), F.unhex(F.sha1(payload)),
+                    F.octet_length(payload).cast("string").cast("binary"))
+
+
 def keyed(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     payload = F.coalesce(F.col(body).cast("binary"), F.lit("").cast("binary"))
     return pages.select(
-        F.col(key).alias("page"), F.col(url).alias("url"), payload.alias("payload"),
-        F.sha2(payload, 256).alias("sha256"), F.sha1(payload).alias("sha1"),
+        F.col(key).alias("page"), F.col(url).alias("url"), payload.alias("payload"), digest_of(payload).alias("digest"),
         F.octet_length(payload).cast("long").alias("n_bytes"))
 
 
@@ -51,12 +57,11 @@ def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Write one record per row of ``pages`` to ``folder``/headers and ``folder``/payloads."""
     rows = keyed(pages, key, url, body)
     bare = rows.drop("payload")
-    owners = bare.groupBy(*DIGEST).agg(F.max("page").alias("owner"))
+    owners = bare.groupBy("digest").agg(F.max("page").alias("owner"))
     # Digest and id together spread the copies of one payload over many tasks.
-    owned = owners.withColumnRenamed("owner", "held_by").withColumnsRenamed({c: f"o_{c}" for c in DIGEST})
-    held = rows.join(
-        owned, [F.col(c) == F.col(f"o_{c}") for c in DIGEST] + [F.col("page").eqNullSafe(F.col("held_by"))]
-    ).dropDuplicates([*DIGEST, "page"]).select(*DIGEST, "payload")
+    owned = owners.select("digest", F.coalesce("owner", F.lit(NO_PAGE)).alias("dealt"))
+    held = rows.withColumn("dealt", F.coalesce("page", F.lit(NO_PAGE))).select("digest", "dealt", "payload").join(
+        owned, ["digest", "dealt"]).dropDuplicates(["digest", "dealt"]).select("digest", "payload")
     held.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     revisit = (F.col("n_bytes") >= least) & ~F.col("page").eqNullSafe(F.col("owner"))
@@ -67,14 +72,14 @@ def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str
         _line("WARC-Record-ID", _urn(F.col("page"))),
         _line("WARC-Date", F.lit(date)),
         F.when(F.col("url").isNull(), "").otherwise(_line("WARC-Target-URI", target)),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.lower(F.hex(F.substring("digest", 33, 20))))),
         F.when(revisit, F.concat(
             _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             _line("WARC-Refers-To", _urn(F.col("owner"))))).otherwise(""),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
         F.lit(END)).cast("binary")
-    bare.join(owners, DIGEST).select(*DIGEST, head.alias("head")).write.option(
+    bare.join(owners, "digest").select("digest", head.alias("head")).write.option(
         "compression", "zstd").parquet(f"{folder}/headers")
 
 
@@ -83,14 +88,12 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
     A revisit's record has no block; its payload is that of the response it names.
     """
-    joined = spark.read.parquet(f"{folder}/headers").join(spark.read.parquet(f"{folder}/payloads"), DIGEST)
+    joined = spark.read.parquet(f"{folder}/headers").join(spark.read.parquet(f"{folder}/payloads"), "digest")
     text = F.col("head").cast("string")
     block = F.when(_field(text, "Content-Length") == "0", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    sound = ((F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("sha1"))
-             & (F.octet_length("payload") == F.col("n_bytes")))
     return joined.select(
         text.alias("head"), F.concat("head", block, F.lit(END + END).cast("binary")).alias("record"), "payload",
-        sound.alias("sound"))
+        (digest_of(F.col("payload")) == F.col("digest")).alias("sound"))
 
 
 def _field(head: Column, name: str) -> Column:
