@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from concord.llm.graph import components
 from concord.llm.text import mix, shingle_set, steps, words
@@ -202,10 +202,6 @@ def _meet(batch: pa.Table) -> pa.Table:
         left.append(i)
         right.append(i + gap)
     large = np.flatnonzero(length > GROUP)
-    for g in large:
-        member = np.arange(start[g] + 1, start[g] + length[g])
-        left.append(np.full(len(member), start[g]))
-        right.append(member)
     out = []
     if left:
         i, j = np.concatenate(left), np.concatenate(right)
@@ -240,8 +236,7 @@ def _meet(batch: pa.Table) -> pa.Table:
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose sets are alike, by whole sets."""
     ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    hint = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.join(hint, docs["doc_id"] == ids["id"], "left_semi")
+    wanted = _of(docs, ids, "id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,30 +275,91 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
             often.select(F.col("cls").alias(side), "band", F.col("large").alias(f"large_{side}")), [side, "band"], "left")
     enough = shared.where(
         F.col("c") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= F.col("need"))
-    low = classes.select("cls", "rep")
-    pairs = enough.join(low.withColumnsRenamed({"cls": "a", "rep": "x"}), "a").join(
-        low.withColumnsRenamed({"cls": "b", "rep": "y"}), "b")
-    pairs = cut_lineage(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-    first = cut_lineage(_verify(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    known = components(first)
-
-    def placed(df: DataFrame, column: str, name: str) -> DataFrame:
-        k = known.select(F.col("id").alias(column), F.col("component").alias(name))
-        return df.join(k, column, "left").withColumn(name, F.coalesce(name, column))
-
-    rest = placed(placed(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    # Sets with so many large groups that these may be all they share with an alike set.
-    busy = large.join(often.where("large >= lim").select("cls", "band"), ["cls", "band"], "left_semi")
-    busy = placed(busy.join(low, "cls"), "rep", "part").select("key", "rep", "part")
-    mixed = busy.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    busy = cut_lineage(busy.join(mixed, "key"))
-    main = busy.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", "count").alias("main"))
-    others = busy.join(main, "key").where("part <> main").select("key", F.col("rep").alias("o"), F.col("part").alias("op"))
-    across = others.join(busy, "key").where("op <> part").select(
-        F.least("o", "rep").alias("a"), F.greatest("o", "rep").alias("b"))
-    second = _verify(docs, cut_lineage(rest.union(across).distinct()))
-    return cut_lineage(first.union(second))
+    low = classes.select("cls", "rep", F.col("n_shingles").alias("n"))
+    # A large group is first linked to that member which is in most large groups, as an original among its edits is.
+    member = cut_lineage(large.join(often.select("cls", "band", "large"), ["cls", "band"]).join(low, "cls"))
+    star = member.join(_center(member, "key"), "key").where(
+        "rep <> center AND 5 * least(n, center_n) >= 4 * greatest(n, center_n)")
+    star = star.groupBy("rep", "center").count()
+    first = star.groupBy("rep").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
+    pairs = enough.select("a", "b").distinct().join(low.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(
+        low.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    pairs = cut_lineage(_ordered(pairs.union(star.select("rep", "center")), "x", "y"))
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = cut_lineage(_verify(docs, _ordered(nearest.union(first.select("rep", "center")), "a", "b")))
+
+    # What the first links have not connected: the other pairs, and sets with so many
+    # large groups that these may be all they share with an alike set.
+    known = components(links)
+    rest = _placed(_placed(pairs, known, "a", "pa"), known, "b", "pb").where("pa <> pb").select("a", "b")
+    busy = _mixed(member.where("large >= lim").select("key", "rep", "n"), known).select("rep").distinct()
+    rare = _mixed(_rare_shingles(docs, cut_lineage(busy)), known)
+    others = rare.join(_main_part(rare), "key").where("part <> main").select(
+        "key", F.col("rep").alias("o"), F.col("part").alias("op"), F.col("n").alias("o_n"), F.col("place").alias("o_place"))
+    # At the first shingle that two sets share, what follows in both must hold enough for them to be alike.
+    across = others.join(rare, "key").where(
+        "op <> part AND 9 * (least(n - place, o_n - o_place) + 1) >= 4 * (n + o_n)").select(
+        F.col("o").alias("a"), F.col("rep").alias("b"))
+    return cut_lineage(links.union(_verify(docs, cut_lineage(_ordered(rest.union(across), "a", "b")))))
+
+
+def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, rep, n, place): the rarest shingles of some documents, as many as an alike set must share one of.
+
+    Sets of n shingles that are 80 % alike share at least 80 % of n; leaving out
+    one fewer than that many of the most frequent, they still share one.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in steps(batch["text"].tolist()):
+                sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in batch["text"].iloc[a:b]]
+                size = [len(s) for s in sets]
+                yield pd.DataFrame({"rep": np.repeat(batch["doc_id"].to_numpy()[a:b], size),
+                                    "n": np.repeat(np.array(size, np.int64), size),
+                                    "key": np.concatenate(sets) if sets else np.empty(0, np.int64)})
+
+    one = _of(docs, ids, "rep").mapInPandas(run, f"rep {kind}, n long, key long")
+    one = cut_lineage(one)
+    often = one.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    order = W.partitionBy("rep", "n").orderBy(F.coalesce("often", F.lit(1)), "key")
+    ranked = one.join(often, "key", "left").withColumn("place", F.row_number().over(order))
+    return ranked.where("often > 1 AND place <= n - ceil(0.8 * n) + 1").select("key", "rep", "n", "place")
+
+
+def _of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Documents with these ids; few ids are broadcast, after they have been counted."""
+    hint = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(hint, docs["doc_id"] == ids[column], "left_semi")
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+
+
+def _placed(df: DataFrame, known: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the component of ``column``, itself if it has none."""
+    k = known.select(F.col("id").alias(column), F.col("component").alias(name))
+    return df.join(k, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _center(member: DataFrame, by: str) -> DataFrame:
+    top = F.max(F.struct("large", "rep", "n")).alias("top")
+    return member.groupBy(by).agg(top).select(by, F.col("top.rep").alias("center"), F.col("top.n").alias("center_n"))
+
+
+def _mixed(member: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of those groups that lie in more than one component."""
+    placed = _placed(member, known, "rep", "part")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    return cut_lineage(placed.join(mixed, "key"))
+
+
+def _main_part(member: DataFrame) -> DataFrame:
+    """The component with most members in each group."""
+    return member.groupBy("key", "part").count().groupBy("key").agg(
+        F.max_by("part", F.struct("count", "part")).alias("main"))
 
 
 def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -316,7 +372,7 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = cut_lineage(_classes(docs))
-    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     # The first eight bytes are the class number of the keys.
     number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     reps = cut_lineage(reps.withColumn("cls", number))
