@@ -153,5 +153,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the texts that hold a benchmark item."""
-    gone = overlaps(docs, items, key, text, **how).select(F.col("row").alias("_gone")).distinct()
+    gone = cut_lineage(overlaps(docs, items, key, text, **how).select(F.col("row").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     return docs.join(gone, row_key(key, text) == F.col("_gone"), "left_anti")
