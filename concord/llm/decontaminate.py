@@ -156,4 +156,4 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     gone = cut_lineage(overlaps(docs, items, key, text, **how).select(F.col("row").alias("_gone")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, row_key(key, text) == F.col("_gone"), "left_anti")
+    return docs.join(gone, row_key(key, text) == gone["_gone"], "left_anti")

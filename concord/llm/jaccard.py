@@ -87,10 +87,12 @@ def _sketch_keys(sets: list[np.ndarray], size: np.ndarray, band: np.ndarray):
     empty = p - np.bincount(owner, minlength=len(sets))
     differ = (size + np.minimum(high, 5 * size // 4)) // 9
     # A set with so many empty places that they alone could be what it shares also goes by them.
+    owners, keys = [owner], [key]
     for i in np.flatnonzero(empty >= p - differ):
         gone = np.setdiff1d(np.arange(p[i], dtype=np.uint64), place[owner == i])
-        owner = np.append(owner, np.full(len(gone), i))
-        key = np.append(key, mix(_EMPTY + gone * _PLACE + np.uint64(band[i]) * _BAND))
+        owners.append(np.full(len(gone), i))
+        keys.append(mix(_EMPTY + gone * _PLACE + band[i:i + 1].astype(np.uint64) * _BAND))
+    owner, key = np.concatenate(owners), np.concatenate(keys)
     return owner, (key & ~np.uint64(63)) | band[owner].astype(np.uint64), empty
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from concord.llm.rows import row_key
+from concord.llm.rows import fresh, row_key
 from concord.session import cut_lineage
 
 EVERY = 4
@@ -107,27 +107,28 @@ def same_bytes(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the line ranges ``gone``, with the columns n_lines and n_removed."""
+    """``docs`` without the line ranges ``gone``, with the columns n_lines and n_removed (longer if these are taken)."""
     earlier = W.partitionBy("row").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.max("e").over(earlier), F.lit(-1)) + 1
     kept = gone.withColumn("start", start).groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("s") > F.col("start"), F.struct(
             F.col("start").alias("at"), (F.col("s") - F.col("start")).alias("n"))))).alias("slices"),
         F.max("e").alias("past"))
-    kept = kept.withColumnsRenamed({"row": "_row", "slices": "_slices", "past": "_past"})
-    whole = docs.withColumn("_key", row_key(key, text))
-    joined = whole.join(kept, F.col("_key") == F.col("_row"), "left")
-    line = _lines(F.col(text))
+    # The columns of the input travel as one, so that their names cannot clash with those used here.
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(key, text).alias("row"),
+        _lines(F.col(text)).alias("line"))
+    joined = whole.join(kept, "row", "left")
     rest = F.concat(
-        F.flatten(F.transform("_slices", lambda x: F.slice(line, x["at"] + 1, x["n"]))),
-        F.slice(line, F.col("_past") + 2, F.size(line)))
-    joined = joined.withColumn("_rest", F.when(F.col("_past").isNotNull(), rest))
-    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(line))
+        F.flatten(F.transform("slices", lambda x: F.slice("line", x["at"] + 1, x["n"]))),
+        F.slice("line", F.col("past") + 2, F.size("line")))
+    joined = joined.withColumn("rest", F.when(F.col("past").isNotNull(), rest))
+    total = F.when(F.col("line").isNull(), 0).otherwise(F.size("line"))
+    old = {c: F.col("doc").getField(c) for c in docs.columns}
+    old[text] = F.when(F.col("past").isNull(), old[text]).otherwise(F.array_join("rest", "\n"))
     return joined.select(
-        *[F.when(F.col("_past").isNull(), F.col(text)).otherwise(F.array_join("_rest", "\n")).alias(text)
-          if c == text else F.col(f"`{c}`") for c in docs.columns],
-        total.alias("n_lines"),
-        F.when(F.col("_past").isNull(), 0).otherwise(total - F.size("_rest")).alias("n_removed"))
+        *[old[c].alias(c) for c in docs.columns], total.alias(fresh(docs, "n_lines")),
+        F.when(F.col("past").isNull(), 0).otherwise(total - F.size("rest")).alias(fresh(docs, "n_removed")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG,

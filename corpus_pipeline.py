@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from concord.llm import decontaminate, jaccard, lines, packing, toxicity
 from concord.llm.registry import table
+from concord.llm.rows import fresh
 from concord.llm.toxicity_query import document_labels
 from concord.session import cut_lineage, shared_folder
 
@@ -47,10 +48,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = lines.remove_repeats(docs)
-    changed = F.col("n_removed") > 0
+    changed = F.col(fresh(docs, "n_removed")) > 0
     kept = found.where(~changed | (F.trim("text") != ""))
-    return kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(
-        *docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    single = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    n = fresh(docs, "n")
+    single = kept.join(repeated, "doc_id", "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(single.select(*docs.columns))
 
 
