@@ -1,13 +1,14 @@
 """Repeated passages removed as content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines ends a chunk wherever it
-is a multiple of ``EVERY``, so equal passages are cut at equal lines wherever
-they stand. A line of ``LONG`` words or more is a wrapped paragraph and a chunk
-of its own. Chunks of several lines, and those paragraphs, that occur more than
-once anywhere are removed but for the first occurrence in the order of (id,
-line). Chunk ends that fall outside a passage are made good: an occurrence
-grows over up to ``REACH`` lines on either side as long as they equal those of
-the first one. What is removed has been compared byte by byte.
+A rolling hash over each two neighbouring lines marks a chunk boundary wherever
+it is a multiple of ``EVERY``, so equal passages have equal boundaries wherever
+they stand. A chunk goes by the two lines that close it; a line of ``LONG``
+words or more is a wrapped paragraph and a chunk of its own. Where such closing
+lines occur again anywhere, the later occurrence grows on both sides, over up
+to ``REACH`` lines, as long as its lines equal those of the first one: that is
+the repeated chunk, whole, and with what of its neighbours is repeated too.
+Chunks of at least ``LEAST`` words are removed after byte comparison, but for
+the first occurrence in the order of (id, line).
 
 Defined results: a null text stays null; an empty text is one empty line;
 repeated rows (same id and text) are one document, and all of them get its
@@ -22,9 +23,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from concord.llm.rows import fresh, row_key
 from concord.session import cut_lineage
 
-EVERY = 4
+EVERY = 2
 LONG = 20
-REACH = 8
+REACH = 6
+LEAST = 12
 
 
 def _lines(text: Column) -> Column:
@@ -33,7 +35,7 @@ def _lines(text: Column) -> Column:
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG,
            reach: int = REACH) -> DataFrame:
-    """Chunks that may be removed: row, id, first and last line, two hashes, and the hashes of nearby lines."""
+    """Closing lines of chunks: row, id, first and last line, two hashes, and the hashes of the lines around."""
     line = docs.where(F.col(text).isNotNull()).select(
         row_key(key, text).alias("row"), F.col(key).alias("id"), F.posexplode(_lines(F.col(text))))
     words = F.char_length("col") - F.char_length(F.replace("col", F.lit(" "))) + 1
@@ -41,22 +43,17 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int
     # From here on everything stays where its row is.
     line = line.repartition("row").dropDuplicates(["row", "pos"])
     order = W.partitionBy("row").orderBy("pos")
-    rolling = F.col("h").bitwiseXOR(F.shiftleft(F.coalesce(F.lag("h").over(order), F.lit(0)), 1))
-    ends = F.col("long") | F.coalesce(F.lead("long").over(order), F.lit(False)) | (
-        F.pmod(F.xxhash64(rolling), F.lit(every)) == 0)
-    line = line.withColumn("ends", ends)
     line = line.withColumns({
-        "chunk": F.sum(F.col("ends").cast("int")).over(order) - F.col("ends").cast("int"),
-        "before": F.reverse(F.collect_list("h").over(order.rowsBetween(-reach, -1))),
+        "other": F.lag("h").over(order),
+        "before": F.reverse(F.collect_list("h").over(order.rowsBetween(-reach - 1, -1))),
         "after": F.collect_list("h").over(order.rowsBetween(1, reach))})
-    found = line.groupBy("row", "id", "chunk").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("long").alias("long"),
-        F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("held"),
-        F.min_by("before", "pos").alias("before"), F.max_by("after", "pos").alias("after"))
-    content = F.transform("held", lambda x: x["h"])
-    return found.where(F.col("long") | (F.col("last") > F.col("first"))).select(
-        "row", "id", "first", "last", F.xxhash64(content).alias("k1"), F.xxhash64(F.lit("second"), content).alias("k2"),
-        "before", "after")
+    rolling = F.col("h").bitwiseXOR(F.shiftleft("other", 1))
+    closes = ~F.col("long") & (F.pmod(F.xxhash64(rolling), F.lit(every)) == 0) & F.col("other").isNotNull()
+    size = F.when(F.col("long"), 1).otherwise(2)
+    content = F.when(F.col("long"), F.array("h")).otherwise(F.array("other", "h"))
+    return line.where(F.col("long") | closes).select(
+        "row", "id", (F.col("pos") - size + 1).alias("first"), F.col("pos").alias("last"), F.xxhash64(content).alias("k1"),
+        F.xxhash64(F.lit("second"), content).alias("k2"), F.slice("before", size, reach).alias("before"), "after")
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -89,7 +86,7 @@ def repeats(found: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def same_bytes(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def same_bytes(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Those of the repeats whose lines equal the first occurrence's byte by byte: row, s, e."""
     pairs = cut_lineage(pairs)
     wanted = pairs.select("row", "s", "e").union(pairs.select("o_row", "o_s", "o_e")).distinct()
@@ -103,7 +100,9 @@ def same_bytes(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str
     read = read.select("row", "x.s", "x.e", "x.part").dropDuplicates(["row", "s", "e"])
     mine = pairs.join(read, ["row", "s", "e"])
     owner = read.toDF("o_row", "o_s", "o_e", "o_part")
-    return mine.join(owner, ["o_row", "o_s", "o_e"]).where("part = o_part").select("row", "s", "e").distinct()
+    words = F.char_length("part") - F.char_length(F.replace("part", F.lit(" "))) + F.col("e") - F.col("s") + 1
+    return mine.join(owner, ["o_row", "o_s", "o_e"]).where((F.col("part") == F.col("o_part")) & (words >= least)).select(
+        "row", "s", "e").distinct()
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +131,7 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG,
-                   reach: int = REACH) -> DataFrame:
+                   reach: int = REACH, least: int = LEAST) -> DataFrame:
     """``docs`` with repeated passages removed but for their first occurrence, and n_lines and n_removed."""
     found = repeats(chunks(docs, key, text, every, long, reach))
-    return without(docs, cut_lineage(same_bytes(docs, found, key, text)), key, text)
+    return without(docs, cut_lineage(same_bytes(docs, found, key, text, least)), key, text)
