@@ -14,6 +14,10 @@ word is linked to its smallest member first. Two sets that meet in such groups
 only have many of them, which the sets' own counts show; those few are compared
 in a second round, wherever the first has not connected them already.
 
+Candidates are tested by a second sketch of one size for all sets, in which each
+shingle flips one bit: no more bits can differ than shingles do. Only what
+passes is compared by whole sets.
+
 The joins' keys travel as packed arrays, one row for each input step and
 bucket; a bucket's keys are sorted by one task. Copies of a text are one class
 from the start, so that a third of all rows being one text costs one row for
@@ -50,8 +54,11 @@ SMALL_BAND = 63
 GROUP = 16
 #: Members of a larger group in one row.
 CHUNK = 4096
+#: Numbers of 64 bits in the small sketch that candidate pairs are tested by.
+SMALL_SKETCH = 16
 #: Ids up to this many may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+SKETCH = [f"z{i}" for i in range(SMALL_SKETCH)]
 _PLACE, _BAND, _EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -133,21 +140,40 @@ def _class_of(found: list[bytes]) -> bytes:
     return hashlib.md5(b" ".join(found)).digest()
 
 
+def small_sketch(h: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes: whether an odd number of them has it."""
+    odd = np.bincount((h % np.uint64(64 * SMALL_SKETCH)).astype(np.int64), minlength=64 * SMALL_SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words (null without words) and set size of every row."""
+    """doc_id, digest of the words (null without words), set size and small sketch of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            digest, size = [], []
-            for t in texts:
+            digest, size, sketch = [], [], []
+            for t in batch["text"].tolist():
                 found = words(t)
+                own = shingle_set(t, SHINGLE)
                 digest.append(_class_of(found) if found else None)
-                size.append(len(shingle_set(t, SHINGLE)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digest, "n_shingles": size})
+                size.append(len(own))
+                sketch.append(small_sketch(own))
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "digest": digest, "n_shingles": size})
+            bits = np.array(sketch, np.int64).reshape(-1, SMALL_SKETCH)
+            yield pd.concat([out.reset_index(drop=True), pd.DataFrame(bits, columns=SKETCH)], axis=1)
 
-    return docs.mapInPandas(run, f"doc_id {kind}, digest binary, n_shingles long")
+    return docs.mapInPandas(run, f"doc_id {kind}, digest binary, n_shingles long, " + ", ".join(f"{z} long" for z in SKETCH))
+
+
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of ids whose small sketches differ in no more bits than alike sets may."""
+    one = classes.select("rep", F.col("n_shingles").alias("n"), *SKETCH)
+    for side in ("a", "b"):
+        pairs = pairs.join(one.withColumnsRenamed({"rep": side} | {c: f"{side}_{c}" for c in ("n", *SKETCH)}), side)
+    bits = sum((F.bit_count(F.col(f"a_{z}").bitwiseXOR(F.col(f"b_{z}"))) for z in SKETCH), F.lit(0))
+    fit = (F.lit(9) * bits <= F.col("a_n") + F.col("b_n")) & F.expr("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
+    return pairs.where(fit).drop(*[f"{s}_{c}" for s in "ab" for c in ("n", *SKETCH)]).distinct()
 
 
 def _packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
@@ -242,10 +268,19 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "held": [shingle_set(t, SHINGLE).tobytes() for t in batch["text"]]})
-
-    sets = wanted.mapInPandas(run, f"id {kind}, held binary").dropDuplicates(["id", "held"])
+            ids, held = [], []
+            for k, t in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                # Repeated rows of one task are sent once.
+                mark = (k, _class_of(words(t)))
+                if mark not in seen:
+                    seen.add(mark)
+                    ids.append(k)
+                    held.append(shingle_set(t, SHINGLE).tobytes())
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["doc_id"].dtype), "held": held})
+
+    sets = wanted.mapInPandas(run, f"id {kind}, held binary")
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -258,9 +293,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
             out.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out, dtype=bool)
 
-    one = pairs.join(sets.withColumnsRenamed({"id": "a", "held": "held_a"}), "a")
-    two = one.join(sets.withColumnsRenamed({"id": "b", "held": "held_b"}), "b")
-    return two.where(alike("held_a", "held_b")).select("a", "b")
+    # Many pairs may share their first id, so the sets of the second ids travel there.
+    one = pairs.join(sets.withColumnsRenamed({"id": "b", "held": "held_b"}), "b")
+    two = one.join(sets.withColumnsRenamed({"id": "a", "held": "held_a"}), "a")
+    return two.where(alike("held_a", "held_b")).select("a", "b").distinct()
 
 
 def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
@@ -280,13 +316,13 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
     low = classes.select("cls", "rep", F.col("n_shingles").alias("n"))
     # A large group is first linked to that member which is in most large groups, as an original among its edits is.
     member = cut_lineage(large.join(often.select("cls", "band", "large"), ["cls", "band"]).join(low, "cls"))
-    star = member.join(_center(member, "key"), "key").where(
-        "rep <> center AND 5 * least(n, center_n) >= 4 * greatest(n, center_n)")
-    star = star.groupBy("rep", "center").count()
+    star = member.join(_center(member, "key"), "key").where("rep <> center")
+    star = star.groupBy(F.col("rep").alias("a"), F.col("center").alias("b")).count()
+    star = cut_lineage(_close(star, classes).withColumnsRenamed({"a": "rep", "b": "center"}))
     first = star.groupBy("rep").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
     pairs = enough.select("a", "b").distinct().join(low.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(
         low.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    pairs = cut_lineage(_ordered(pairs.union(star.select("rep", "center")), "x", "y"))
+    pairs = cut_lineage(_close(_ordered(pairs, "x", "y"), classes).union(_ordered(star, "rep", "center")).distinct())
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut_lineage(_verify(docs, _ordered(nearest.union(first.select("rep", "center")), "a", "b")))
 
@@ -302,7 +338,8 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
     across = others.join(rare, "key").where(
         "op <> part AND 9 * (least(n - place, o_n - o_place) + 1) >= 4 * (n + o_n)").select(
         F.col("o").alias("a"), F.col("rep").alias("b"))
-    return cut_lineage(links.union(_verify(docs, cut_lineage(_ordered(rest.union(across), "a", "b")))))
+    more = cut_lineage(_close(_ordered(rest.union(across), "a", "b"), classes))
+    return cut_lineage(links.union(_verify(docs, more)))
 
 
 def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -347,8 +384,7 @@ def _placed(df: DataFrame, known: DataFrame, column: str, name: str) -> DataFram
 
 
 def _center(member: DataFrame, by: str) -> DataFrame:
-    top = F.max(F.struct("large", "rep", "n")).alias("top")
-    return member.groupBy(by).agg(top).select(by, F.col("top.rep").alias("center"), F.col("top.n").alias("center_n"))
+    return member.groupBy(by).agg(F.max_by("rep", F.struct("large", "rep")).alias("center"))
 
 
 def _mixed(member: DataFrame, known: DataFrame) -> DataFrame:
@@ -374,12 +410,13 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = cut_lineage(_classes(docs))
-    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"),
+        *[F.max(z).alias(z) for z in SKETCH])
     # The first eight bytes are the class number of the keys.
     number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     reps = cut_lineage(reps.withColumn("cls", number))
     links = near_links(docs, reps, buckets)
-    owned = rows.join(reps.select("digest", "rep"), "digest", "left")
+    owned = rows.select("doc_id", "digest", "n_shingles").join(reps.select("digest", "rep"), "digest", "left")
     # Rows of one id are one document.
     spread = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     same = spread.join(owned.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b")
