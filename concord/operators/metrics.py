@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.columns import clip
-from concord.operators.ranking import average_ranks, exact_quantiles, ordered_running, running_sums, value_bucket
+from concord.operators.ranking import average_ranks, exact_quantiles, ordered_running, running_sums, spread_buckets
 
 
 def _weight(weight: str | None) -> Column:
@@ -25,26 +25,26 @@ def _usable(df: DataFrame, y: str, p: str) -> DataFrame:
 # ---- ranking metrics -------------------------------------------------------
 
 def score_curve(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
-                weight: str | None = None, buckets: int = 256) -> DataFrame:
+                weight: str | None = None) -> DataFrame:
     """One row per distinct score with cumulative counts from the highest score down."""
     w = _weight(weight)
     g = _usable(df, y, p).groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"),
         F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("neg"),
     )
-    g = g.withColumn("_bucket", value_bucket(F.col("score").cast("double"), buckets))
+    g = spread_buckets(g, "score", by)
     return running_sums(g, [F.col("score").desc()], ["pos", "neg"], by, descending=True).drop("_bucket")
 
 
 def auc_ap(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
-           weight: str | None = None, buckets: int = 256) -> DataFrame:
+           weight: str | None = None) -> DataFrame:
     """Tie-correct ROC AUC and average precision; null where one class is missing."""
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     wins = F.sum(F.col("neg") * (tp - F.col("pos") / 2.0))
     area = F.sum(F.try_divide(F.col("pos") * tp, tp + fp))
     pos, neg = F.sum("pos"), F.sum("neg")
     both = (pos > 0) & (neg > 0)
-    return score_curve(df, y, p, by, weight, buckets).groupBy(*by).agg(
+    return score_curve(df, y, p, by, weight).groupBy(*by).agg(
         F.when(both, F.try_divide(wins, pos * neg)).alias("auc"),
         F.when(both, F.try_divide(area, pos)).alias("ap"),
     )
@@ -107,12 +107,12 @@ def ece(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
 
 
 def all_metrics(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
-                weight: str | None = None, buckets: int = 256) -> DataFrame:
+                weight: str | None = None) -> DataFrame:
     by = list(by)
     if not by:
-        return all_metrics(df.withColumn("_all", F.lit(0)), y, p, ["_all"], weight, buckets).drop("_all")
+        return all_metrics(df.withColumn("_all", F.lit(0)), y, p, ["_all"], weight).drop("_all")
     return (
-        moments(df, y, p, by, weight).join(auc_ap(df, y, p, by, weight, buckets), by)
+        moments(df, y, p, by, weight).join(auc_ap(df, y, p, by, weight), by)
         .join(ece(df, y, p, by, weight), by)
     )
 

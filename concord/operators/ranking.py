@@ -14,10 +14,69 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from concord.functions.columns import hash_hex
 
 
-def value_bucket(value: Column, buckets: int) -> Column:
-    """A bucket number that never falls as ``value`` rises, for any real value."""
-    squashed = value / (F.lit(1.0) + F.abs(value))
-    return F.least(F.floor((squashed + 1.0) * (buckets / 2)), F.lit(buckets - 1)).cast("int")
+#: Rows (or distinct values) that one bucket is meant to hold.
+BUCKET_ROWS = 16384
+FIRST_BUCKETS = 4096
+SECOND_BUCKETS = 1 << 20
+
+
+def _squashed(value: Column) -> Column:
+    """Any real value, infinite ones too, within -1 and 1 and in the same order.
+
+    Repeated square roots, which never change the order, draw apart what lies
+    close to zero on many scales.
+    """
+    v = value.cast("double")
+    size = F.when(F.abs(v) == float("inf"), F.lit(1.0)).otherwise(F.abs(v) / (F.lit(1.0) + F.abs(v)))
+    for _ in range(4):
+        size = F.sqrt(size)
+    return F.signum(v) * size
+
+
+def _place(low: str, high: str, count: str, most: int, rows: int) -> Column:
+    """Bucket of ``_v`` between the smallest and largest value, as many as the count asks for."""
+    buckets = F.least(F.ceil(F.col(count) / F.lit(float(rows))), F.lit(most))
+    share = (F.col("_v") - F.col(low)) / (F.col(high) - F.col(low))
+    inside = F.least(F.floor(share * buckets), buckets - 1)
+    return F.when(F.col(high) > F.col(low), F.greatest(inside, F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+
+def bucket_spans(df: DataFrame, value: str, by: Sequence[str] = (), rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """Two small tables from which ``with_bucket`` cuts a column of each group into buckets of about ``rows`` rows.
+
+    Buckets follow the data: first the group's own range of values is split,
+    then every part of it by its own range, so scores packed into a narrow
+    range or around many powers of ten still spread.
+    """
+    by = list(by)
+    ready = df.select(*by, _squashed(F.col(value)).alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    ends = [F.min("_v"), F.max("_v"), F.count(F.lit(1))]
+    first = ready.groupBy(*by).agg(*[e.alias(n) for e, n in zip(ends, ("_lo", "_hi", "_n"))])
+    if not by:
+        first, ready = first.withColumn("_all", F.lit(0)), ready.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    one = ready.join(first, keys).withColumn("_b1", _place("_lo", "_hi", "_n", FIRST_BUCKETS, rows))
+    second = one.groupBy(*keys, "_b1").agg(*[e.alias(n) for e, n in zip(ends, ("_lo2", "_hi2", "_n2"))])
+    return first, second, rows
+
+
+def with_bucket(df: DataFrame, spans: tuple[DataFrame, DataFrame, int], value: str, by: Sequence[str] = (),
+                name: str = "_bucket") -> DataFrame:
+    """``df`` with a bucket number that never falls as ``value`` rises; missing values share the highest one."""
+    by = list(by)
+    first, second, rows = spans
+    keys = by or ["_all"]
+    ready = df.withColumn("_v", _squashed(F.col(value)))
+    ready = ready if by else ready.withColumn("_all", F.lit(0))
+    one = ready.join(first, keys, "left").withColumn("_b1", _place("_lo", "_hi", "_n", FIRST_BUCKETS, rows))
+    two = one.join(second, [*keys, "_b1"], "left")
+    number = F.col("_b1") * SECOND_BUCKETS + _place("_lo2", "_hi2", "_n2", SECOND_BUCKETS, rows)
+    missing = F.col("_v").isNull() | F.isnan("_v")
+    return two.select(*df.columns, F.when(missing, F.lit(1 << 62)).otherwise(number).alias(name))
+
+
+def spread_buckets(df: DataFrame, value: str, by: Sequence[str] = (), rows: int = BUCKET_ROWS) -> DataFrame:
+    return with_bucket(df, bucket_spans(df, value, by, rows), value, by)
 
 
 def _offsets(totals: DataFrame, by: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
@@ -53,7 +112,7 @@ def running_sums(
 
 
 def ordered_running(df: DataFrame, value: str, tie: Sequence[str], sums: Sequence[str] = (),
-                    by: Sequence[str] = (), descending: bool = False, buckets: int = 4096) -> DataFrame:
+                    by: Sequence[str] = (), descending: bool = False, rows: int = BUCKET_ROWS) -> DataFrame:
     """Rank rows by ``value`` and add ``rank``, ``n`` and ``cum_<c>`` / ``all_<c>``.
 
     Equal values are ordered by the md5 of their ``tie`` columns. That order
@@ -64,7 +123,7 @@ def ordered_running(df: DataFrame, value: str, tie: Sequence[str], sums: Sequenc
     by, sums = list(by), ["_one", *sums]
     ready = df.withColumn("_one", F.lit(1))
     per_value = ready.groupBy(*by, value).agg(*[F.sum(c).alias(c) for c in sums])
-    per_value = per_value.withColumn("_bucket", value_bucket(F.col(value).cast("double"), buckets))
+    per_value = spread_buckets(per_value, value, by, rows)
     first = F.col(value).desc() if descending else F.col(value).asc()
     outer = running_sums(per_value, [first], sums, by, descending).select(
         *by, value,
@@ -97,14 +156,14 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str] =
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None,
-                  buckets: int = 256) -> DataFrame:
+                  rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per distinct value with its tie-averaged rank (``rank_avg``).
 
     With weights a row counts as that many copies.
     """
     w = F.col(weight) if weight else F.lit(1)
     g = df.groupBy(*by, value).agg(F.sum(w).cast("double").alias("w"))
-    g = g.withColumn("_bucket", value_bucket(F.col(value).cast("double"), buckets))
+    g = spread_buckets(g, value, by, rows)
     out = running_sums(g, [F.col(value)], ["w"], by)
     return out.select(*by, value, (F.col("cum_w") - (F.col("w") - 1.0) / 2.0).alias("rank_avg"))
 
@@ -119,14 +178,14 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = 4096) -> DataFrame:
+                    rows: int = BUCKET_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per group as array ``edges``.
 
     Positions are looked up in running counts of distinct values, so no task
     holds a group's values.
     """
     g = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    g = g.withColumn("_bucket", value_bucket(F.col(value).cast("double"), buckets))
+    g = spread_buckets(g, value, by, rows)
     run = running_sums(g, [F.col(value)], ["c"], by)
     first, last = F.col("cum_c") - F.col("c"), F.col("cum_c")
     spots = F.array(*[

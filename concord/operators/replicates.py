@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from concord.functions.columns import hash_hex
-from concord.operators.ranking import value_bucket
+from concord.operators.ranking import BUCKET_ROWS, bucket_spans, with_bucket
 
 CHUNK = 125
 ROWS_PER_BLOCK = 4096
-MAX_BLOCKS = 1024
-ROWS_PER_RANGE = 16384
+#: Blocks whose totals are drawn together.
+RUN = 512
 BINS = 10
 
 
@@ -59,22 +59,37 @@ def _merged(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return score[first], y[first], np.diff(np.r_[first, len(score)]), np.add.reduceat(w, first, axis=0)
 
 
-def _spread(rows: DataFrame, item: str, by: Sequence[str], chunks: int) -> tuple[DataFrame, dict, int]:
-    """Assign hash blocks and chunks; also the block sizes per group, which are few."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).collect()
-    largest = max((r["c"] for r in sizes), default=1)
-    blocks = min(MAX_BLOCKS, max(1, -(-largest // ROWS_PER_BLOCK)))
-    blk = (F.conv(F.substring(hash_hex(0, item), 1, 6), 16, 10).cast("int") % blocks).cast("int")
-    marked = rows.withColumn("_blk", blk)
+def complete(wide: DataFrame, keep: Sequence[str], arms: Sequence[str], y: str) -> DataFrame:
+    """Rows with a label of 0 or 1 and finite scores of all arms."""
+    rows = wide.where(F.col(y).isin(0, 1)).select(
+        *keep, F.col(y).cast("int").alias(y), *[F.col(a).cast("double").alias(a) for a in arms])
+    for a in arms:
+        rows = rows.where(F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
+    return rows
+
+
+def _spread(rows: DataFrame, item: str, by: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Assign hash blocks, and count each group's blocks: one number for 4096 rows."""
+    by = list(by)
+    one = rows if by else rows.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    blocks = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(ROWS_PER_BLOCK))).alias("_blocks"))
+    hashed = F.conv(F.substring(hash_hex(0, item), 1, 12), 16, 10).cast("long")
+    marked = one.join(blocks, keys).withColumn("_blk", (hashed % F.col("_blocks")).cast("int"))
     per: dict[tuple, np.ndarray] = {}
-    if blocks == 1:
-        per = {tuple(r[c] for c in by): np.array([r["c"]]) for r in sizes}
-    else:
-        for r in marked.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("c")).collect():
-            per.setdefault(tuple(r[c] for c in by), np.zeros(blocks, dtype=np.int64))[r["_blk"]] = r["c"]
-    # With few blocks the chunks spread the work, with many the blocks do.
-    chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if blocks * len(sizes) < 64 else F.lit(-1)
-    return marked.withColumn("_chunk", chunk), per, largest
+    for r in marked.groupBy(*keys, "_blocks", "_blk").agg(F.count(F.lit(1)).alias("c")).collect():
+        group = tuple(r[c] for c in by)
+        per.setdefault(group, np.zeros(r["_blocks"], dtype=np.int64))[r["_blk"]] = r["c"]
+    return marked.select(*rows.columns, "_blk"), per
+
+
+def _block_share(total: np.ndarray, block: int, n: int, *seed) -> np.ndarray:
+    """How many of all rows each of ``n`` replicates draws from one block, the same in every task."""
+    runs = np.add.reduceat(total, np.arange(0, len(total), RUN))
+    run = block // RUN
+    own = total[run * RUN:(run + 1) * RUN]
+    share = _seed(*seed).multinomial(total.sum(), runs / total.sum(), size=n)[:, run]
+    return _seed(*seed, run + 1).multinomial(share, own / own.sum())[:, block % RUN]
 
 
 def _plain(group) -> tuple:
@@ -86,24 +101,34 @@ def _schema(df: DataFrame, by: Sequence[str]) -> str:
     return "".join(f"`{c}` {types[c]}, " for c in by) + "arm string, chunk int, score double, y int, copies int, w binary"
 
 
+def _score_spans(rows: DataFrame, by: Sequence[str], sides: Sequence[tuple[str, Sequence[str]]], size: int) -> tuple:
+    """Score buckets of each arm (or of both arms of a pair) from the rows themselves."""
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("arm"), F.col(a).alias("score")) for name, own in sides for a in own]))
+    return bucket_spans(rows.select(*by, long.alias("_s")).select(*by, "_s.*"), "score", [*by, "arm"], size)
+
+
 def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: int, seed: int,
-                      by: Sequence[str] = (), y: str = "gold") -> tuple[DataFrame, int]:
-    """Rows (by, arm, chunk, score, y, w) of a bootstrap, and the largest group's size."""
+                      by: Sequence[str] = (), y: str = "gold", first: int = 0,
+                      range_rows: int = BUCKET_ROWS) -> tuple[DataFrame, tuple]:
+    """Rows (by, arm, chunk, score, y, w) of a bootstrap, and the scores' buckets.
+
+    ``first`` leaves out the chunks before it: later ones continue the same series of draws.
+    """
     by, arms = list(by), list(arms)
     chunks = -(-n_boot // CHUNK)
-    rows = wide.where(F.col(y).isin(0, 1)).select(*by, item, F.col(y).cast("int").alias(y), *[F.col(a).cast("double").alias(a) for a in arms])
-    spread, sizes, largest = _spread(rows, item, by, chunks)
+    rows = complete(wide, [*by, item], arms, y)
+    spread, sizes = _spread(rows, item, by)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        group, block, only = _plain(key[:-2]), int(key[-2]), int(key[-1])
+        group, block = _plain(key[:-1]), int(key[-1])
         pdf = pdf.sort_values(item)
         total = sizes[group]
+        even = np.full(len(pdf), 1.0 / len(pdf))
         out = []
-        for chunk in range(chunks) if only < 0 else [only]:
+        for chunk in range(first, chunks):
             n = min(CHUNK, n_boot - chunk * CHUNK)
-            share = _seed(seed, group, chunk).multinomial(total.sum(), total / total.sum(), size=n)[:, block]
-            even = np.full(len(pdf), 1.0 / len(pdf))
-            w = _seed(seed, group, chunk, block + 1).multinomial(share, even).T
+            share = _block_share(total, block, n, seed, group, chunk)
+            w = _seed(seed, group, chunk, 0, block + 1).multinomial(share, even).T
             for arm in arms:
                 s, label, copies, merged = _merged(pdf[arm].to_numpy(), pdf[y].to_numpy(), w)
                 part = pd.DataFrame({"arm": arm, "chunk": chunk, "score": s, "y": label, "copies": copies, "w": _pack(merged)})
@@ -112,11 +137,13 @@ def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: i
                 out.append(part)
         return pd.concat(out, ignore_index=True)
 
-    return spread.groupBy(*by, "_blk", "_chunk").applyInPandas(run, _schema(rows, by)), largest
+    weights = spread.groupBy(*by, "_blk").applyInPandas(run, _schema(rows, by))
+    return weights, _score_spans(rows, by, [(a, [a]) for a in arms], range_rows)
 
 
 def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, str]], n_perm: int, seed: int,
-                        by: Sequence[str] = (), y: str = "gold") -> tuple[DataFrame, int]:
+                        by: Sequence[str] = (), y: str = "gold",
+                        range_rows: int = BUCKET_ROWS) -> tuple[DataFrame, tuple]:
     """Rows of a swap test: arm names are ``a|b``; replicate 0 swaps nothing.
 
     A swapped row counts under the other arm's score, so swaps are weights too.
@@ -126,15 +153,15 @@ def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, s
     by, total = list(by), n_perm + 1
     arms = sorted({x for pair in pairs for x in pair})
     chunks = -(-total // CHUNK)
-    rows = wide.where(F.col(y).isin(0, 1)).select(*by, item, F.col(y).cast("int").alias(y), *[F.col(a).cast("double").alias(a) for a in arms])
-    spread, _, largest = _spread(rows, item, by, chunks)
+    rows = complete(wide, [*by, item], arms, y)
+    spread, _ = _spread(rows, item, by)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        group, block, only = _plain(key[:-2]), int(key[-2]), int(key[-1])
+        group, block = _plain(key[:-1]), int(key[-1])
         pdf = pdf.sort_values(item)
         label = np.tile(pdf[y].to_numpy(), 2)
         out = []
-        for chunk in range(chunks) if only < 0 else [only]:
+        for chunk in range(chunks):
             n = min(CHUNK, total - chunk * CHUNK)
             swap = _seed(seed, group, chunk, block).integers(0, 2, size=(len(pdf), n), dtype=np.int16)
             if chunk == 0:
@@ -148,7 +175,8 @@ def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, s
                 out.append(part)
         return pd.concat(out, ignore_index=True)
 
-    return spread.groupBy(*by, "_blk", "_chunk").applyInPandas(run, _schema(rows, by)), largest
+    weights = spread.groupBy(*by, "_blk").applyInPandas(run, _schema(rows, by))
+    return weights, _score_spans(rows, by, [(f"{a}|{b}", (a, b)) for a, b in pairs], range_rows)
 
 
 RANKING = ["pos", "neg", "wins", "area"]
@@ -201,18 +229,18 @@ def _sweep(pdf: pd.DataFrame, n: int, side: int, above_pos: np.ndarray, above_ne
     return np.column_stack(out)
 
 
-def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, largest: int, ranges: int | None = None,
-                     sides: int = 1, calibration: bool = True) -> DataFrame:
+def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, spans: tuple, sides: int = 1,
+                     calibration: bool = True) -> DataFrame:
     """AUC, AP, Brier and ECE for every (by, arm, side, rep) of a weight table.
 
     Brier and ECE come only with ``calibration``.
     Side 0 has the given weights, side 1 what they leave of each row's copies.
 
-    Large groups are cut into score ranges: a first pass adds up the class
-    weights of each range, a second continues each range from the sums above it.
+    Groups are cut into score ranges that follow their data (``spans``): a first
+    pass adds up the class weights of each range, a second continues each range
+    from the sums above it.
     """
     by = list(by)
-    ranges = ranges or min(65536, max(1, -(-largest // ROWS_PER_RANGE)))
     keys = [*by, "arm", "chunk"]
     stats = RANKING + (CALIBRATION if calibration else [])
     types = dict(weights.dtypes)
@@ -229,45 +257,38 @@ def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, largest:
         return min(CHUNK, reps - chunk * CHUNK)
 
     schema = head + "side int, rep int, " + ", ".join(f"`{s}` double" for s in stats)
-    if ranges == 1:
-        def whole(key, pdf):
-            n = size(int(key[-1]))
-            return framed(key, int(key[-1]), [_sweep(pdf, n, k, np.zeros(n), np.zeros(n), calibration) for k in range(sides)])
-
-        parts = weights.groupBy(*keys).applyInPandas(whole, schema)
-    else:
-        cut = weights.withColumn("_range", value_bucket(F.col("score"), 2 * ranges))
-
-        def totals(key, pdf):
-            y = pdf["y"].to_numpy()
-            row = dict(zip([*keys, "_range"], key))
-            for k in range(sides):
-                w = _side_weights(pdf, size(int(key[-2])), k).astype(np.float64)
-                row[f"p{k}"], row[f"q{k}"] = (w.T @ (y == 1)).tobytes(), (w.T @ (y == 0)).tobytes()
-            return pd.DataFrame([row])
-
-        sums_of = [f"{c}{k}" for k in range(sides) for c in "pq"]
-        keyed = head + "chunk int, _range int, " + ", ".join(f"{c} binary" for c in sums_of)
-
-        def above(key, pdf):
-            pdf = pdf.sort_values("_range", ascending=False).reset_index(drop=True)
-            for c in sums_of:
-                m = np.stack([np.frombuffer(b) for b in pdf[c]])
-                pdf[c] = [row.tobytes() for row in np.cumsum(m, axis=0) - m]
-            return pdf
-
-        sums = cut.groupBy(*keys, "_range").applyInPandas(totals, keyed)
-        offsets = sums.groupBy(*keys).applyInPandas(above, keyed)
-
-        def part(key, left, right):
-            n = size(int(key[-2]))
-            if left.empty:
-                return pd.DataFrame(columns=[*by, "arm", "side", "rep", *stats])
-            return framed(key, int(key[-2]), [
-                _sweep(left, n, k, np.frombuffer(right[f"p{k}"].iloc[0]), np.frombuffer(right[f"q{k}"].iloc[0]), calibration)
-                for k in range(sides)])
-
-        parts = cut.groupBy(*keys, "_range").cogroup(offsets.groupBy(*keys, "_range")).applyInPandas(part, schema)
+    cut = with_bucket(weights, spans, "score", [*by, "arm"], "_range")
+
+    def totals(key, pdf):
+        y = pdf["y"].to_numpy()
+        row = dict(zip([*keys, "_range"], key))
+        for k in range(sides):
+            w = _side_weights(pdf, size(int(key[-2])), k).astype(np.float64)
+            row[f"p{k}"], row[f"q{k}"] = (w.T @ (y == 1)).tobytes(), (w.T @ (y == 0)).tobytes()
+        return pd.DataFrame([row])
+
+    sums_of = [f"{c}{k}" for k in range(sides) for c in "pq"]
+    keyed = head + "chunk int, _range long, " + ", ".join(f"{c} binary" for c in sums_of)
+
+    def above(key, pdf):
+        pdf = pdf.sort_values("_range", ascending=False).reset_index(drop=True)
+        for c in sums_of:
+            m = np.stack([np.frombuffer(b) for b in pdf[c]])
+            pdf[c] = [row.tobytes() for row in np.cumsum(m, axis=0) - m]
+        return pdf
+
+    sums = cut.groupBy(*keys, "_range").applyInPandas(totals, keyed)
+    offsets = sums.groupBy(*keys).applyInPandas(above, keyed)
+
+    def part(key, left, right):
+        n = size(int(key[-2]))
+        if left.empty:
+            return pd.DataFrame(columns=[*by, "arm", "side", "rep", *stats])
+        return framed(key, int(key[-2]), [
+            _sweep(left, n, k, np.frombuffer(right[f"p{k}"].iloc[0]), np.frombuffer(right[f"q{k}"].iloc[0]), calibration)
+            for k in range(sides)])
+
+    parts = cut.groupBy(*keys, "_range").cogroup(offsets.groupBy(*keys, "_range")).applyInPandas(part, schema)
     summed = parts.groupBy(*by, "arm", "side", "rep").agg(*[F.sum(s).alias(s) for s in stats])
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     out = [

@@ -17,7 +17,7 @@ from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effec
 from concord.operators.metrics import all_metrics, auc_ap, concordance
 from concord.operators.ranking import hash_rank
 from concord.session import cut_lineage
-from concord.operators.replicates import bootstrap_weights, permutation_weights, weighted_metrics
+from concord.operators.replicates import CHUNK, bootstrap_weights, complete, permutation_weights, weighted_metrics
 
 DRAWS_PER_HASH = 4
 FLIPS_PER_HASH = 32
@@ -85,15 +85,15 @@ def paired_bootstrap(wide: DataFrame, item: str, arms: Sequence[str], n_boot: in
     """Median and 95% interval of the AUC and AP differences of all arm pairs.
 
     One set of draws serves all arms and pairs. Replicates with one class are
-    left out and counted. ``sampler`` is ``multinomial`` (weight vectors, the
+    left out and counted. Rows count where all arms have a finite score. ``sampler`` is ``multinomial`` (weight vectors, the
     fast way) or ``md5`` (one row per draw, reproducible in plain SQL).
     """
     if sampler == "multinomial":
-        weights, largest = bootstrap_weights(wide, item, arms, n_boot, seed, by, y)
-        per_rep = weighted_metrics(weights, by, n_boot, largest, calibration=False)
+        weights, spans = bootstrap_weights(wide, item, arms, n_boot, seed, by, y)
+        per_rep = weighted_metrics(weights, by, n_boot, spans, calibration=False)
     else:
-        sampled = resample(wide, [item], n_boot, seed, by)
-        per_rep = auc_ap(_long_arms(sampled, [*by, "rep"], arms, y), y, "pred", [*by, "rep", "arm"], buckets=16)
+        sampled = resample(complete(wide, [*by, item], arms, y), [item], n_boot, seed, by)
+        per_rep = auc_ap(_long_arms(sampled, [*by, "rep"], arms, y), y, "pred", [*by, "rep", "arm"])
     diffs = _pair_rows(per_rep, [*by, "rep"], arms, ["auc", "ap"]).where("d_auc IS NOT NULL")
     qs = (0.5, 0.025, 0.975)
     g = diffs.groupBy(*by, "arm1", "arm2").agg(
@@ -117,11 +117,14 @@ def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, st
     """
     by = list(by)
     if sampler == "random" and not skip_degenerate:
-        weights, largest = permutation_weights(wide, item, pairs, n_perm, seed, by, y)
-        m = weighted_metrics(weights, by, n_perm + 1, largest, sides=2, calibration=False).withColumn("_p", F.split("arm", "\\|"))
+        weights, spans = permutation_weights(wide, item, pairs, n_perm, seed, by, y)
+        m = weighted_metrics(weights, by, n_perm + 1, spans, sides=2, calibration=False).withColumn("_p", F.split("arm", "\\|"))
         m = m.select(*by, (F.col("rep") - 1).alias("rep"), F.col("_p")[0].alias("arm1"), F.col("_p")[1].alias("arm2"),
                      "side", "auc", "ap")
         return _swap_p(_side_difference(m, by), by, n_perm)
+    if sampler == "random":
+        raise ValueError("swaps that must not all agree are drawn by the md5 sampler: pass sampler='md5'")
+    wide = complete(wide, [*by, item], _arms_of(pairs), y)
     blocks = F.sequence(F.lit(0), F.lit((n_perm + FLIPS_PER_HASH - 1) // FLIPS_PER_HASH - 1))
     flips = wide.select("*", F.explode(blocks).alias("_block")).withColumn(
         "_h", hash_hex(seed, F.col("_block"), F.col(item))
@@ -144,7 +147,7 @@ def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, st
     long = observed.unionByName(drawn).select(*by, "rep", "swap", y, F.explode(sides).alias("_s")).select(
         *by, "rep", "swap", y, "_s.*"
     )
-    d = _side_difference(auc_ap(long, y, "pred", [*by, "arm1", "arm2", "rep", "side"], buckets=16), by)
+    d = _side_difference(auc_ap(long, y, "pred", [*by, "arm1", "arm2", "rep", "side"]), by)
     if skip_degenerate:
         mixed = drawn.groupBy(*by, "rep").agg((F.min("swap") != F.max("swap")).alias("_ok")).where("_ok").drop("_ok")
         d = d.where("rep = -1").unionByName(d.join(mixed, [*by, "rep"], "left_semi").select(*d.columns))
@@ -183,25 +186,46 @@ METRICS = ("auc", "ap", "brier", "ece")
 
 def replicate_metrics(wide: DataFrame, item: str, arms: Sequence[str], n_boot: int, seed: int,
                       by: Sequence[str] = (), y: str = "gold", redraw: bool = True, sampler: str = "multinomial") -> DataFrame:
-    """AUC, AP, Brier and ECE per arm and replicate.
+    """AUC, AP, Brier and ECE per arm and replicate, on rows with finite scores of all arms.
 
-    With ``redraw`` a tenth more replicates are drawn and the first ``n_boot``
-    with both classes kept; without it one-class replicates are only dropped.
+    With ``redraw`` one-class replicates are replaced by further draws until
+    every group has ``n_boot`` of them; a group with one class alone raises.
+    Without it they are only dropped.
     """
     from pyspark.sql import Window as W
 
-    total = n_boot + max(1, n_boot // 10) if redraw else n_boot
-    total += -total % DRAWS_PER_HASH
-    if sampler == "multinomial":
-        weights, largest = bootstrap_weights(wide, item, arms, total, seed, by, y)
-        m = weighted_metrics(weights, by, total, largest).where("auc IS NOT NULL")
-    else:
-        long = _long_arms(resample(wide, [item], total, seed, by), [*by, "rep"], arms, y)
-        # Equal (label, score) rows weigh together; every metric then reads the small table.
-        small = long.groupBy(*by, "rep", "arm", y, "pred").agg(F.count(F.lit(1)).alias("w"))
-        m = all_metrics(small, y, "pred", [*by, "rep", "arm"], "w", buckets=16).where("auc IS NOT NULL")
+    by = list(by)
+    rows = complete(wide, [*by, item], arms, y)
+    if redraw:
+        flat = rows.groupBy(*by).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi")).where("_lo = _hi").limit(1).collect()
+        if flat:
+            raise ValueError(f"a group has labels of one class alone, no replicate can be valid: {flat[0]}")
+    kept, first, total = None, 0, n_boot + (max(1, n_boot // 10) if redraw else 0)
+    while True:
+        total += -total % DRAWS_PER_HASH
+        if sampler == "multinomial":
+            weights, spans = bootstrap_weights(rows, item, arms, total, seed, by, y, first)
+            m = weighted_metrics(weights, by, total, spans)
+        else:
+            long = _long_arms(resample(rows, [item], total, seed, by), [*by, "rep"], arms, y)
+            # Equal (label, score) rows weigh together; every metric then reads the small table.
+            small = long.groupBy(*by, "rep", "arm", y, "pred").agg(F.count(F.lit(1)).alias("w"))
+            m = all_metrics(small, y, "pred", [*by, "rep", "arm"], "w")
+        m = m.where("auc IS NOT NULL").select(*by, "rep", "arm", *METRICS)
+        if not redraw:
+            return m
+        m = cut_lineage(m)
+        # The weight sampler continues where it stopped; a last chunk that was cut short is drawn again.
+        kept = m if kept is None else cut_lineage(kept.where(F.col("rep") < first * CHUNK).union(m)) if first else m
+        found = kept.groupBy(*by, "arm").count().agg(F.min("count"), F.count("*")).first()
+        wanted = rows.select(*by).distinct().count() * len(arms) if by else len(arms)
+        if found[1] == wanted and found[0] >= n_boot:
+            break
+        done = total
+        total *= 2
+        first = done // CHUNK if sampler == "multinomial" else 0
     order = F.dense_rank().over(W.partitionBy(*by, "arm").orderBy("rep"))
-    return m.withColumn("_k", order).where(F.col("_k") <= n_boot).select(*by, "rep", "arm", *METRICS)
+    return kept.withColumn("_k", order).where(F.col("_k") <= n_boot).select(*by, "rep", "arm", *METRICS)
 
 
 def bootstrap_metrics(wide: DataFrame, item: str, arms: Sequence[str], baseline: str, n_boot: int, seed: int,
@@ -247,7 +271,7 @@ def block_bootstrap(seeded: DataFrame, item: str, seed_col: str, arms: Sequence[
     flat = sampled.select(*by, "rep", y, *[F.round(F.col(f"_{a}"), 12).alias(a) for a in arms])
     long = _long_arms(flat, [*by, "rep"], arms, y)
     small = long.groupBy(*by, "rep", "arm", y, "pred").agg(F.count(F.lit(1)).alias("w"))
-    m = all_metrics(small, y, "pred", [*by, "rep", "arm"], "w", buckets=16).where("auc IS NOT NULL")
+    m = all_metrics(small, y, "pred", [*by, "rep", "arm"], "w").where("auc IS NOT NULL")
     tall = m.unpivot([*by, "rep", "arm"], list(METRICS), "metric", "value")
     base = tall.where(F.col("arm") == baseline).select(*by, "rep", "metric", F.col("value").alias("_b"))
     d = tall.where(F.col("arm") != baseline).join(base, [*by, "rep", "metric"]).withColumn("d", F.col("value") - F.col("_b"))
@@ -287,14 +311,16 @@ def prevalence_check(df: DataFrame, item: str, p: str, y: str, reps: int, seed:
     """Does the observed positive rate sit inside what the probabilities predict?"""
     if not by:
         return prevalence_check(df.withColumn("_all", F.lit(0)), item, p, y, reps, seed, ["_all"]).drop("_all")
-    blocks = F.sequence(F.lit(0), F.lit(reps // DRAWS_PER_HASH - 1))
+    blocks = F.sequence(F.lit(0), F.lit(-(-reps // DRAWS_PER_HASH) - 1))
     hashed = df.select(*by, p, F.explode(blocks).alias("_block"), item).withColumn(
         "_h", hash_hex(seed, F.col("_block"), F.col(item)))
     sums = hashed.groupBy(*by, "_block").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(hex_int(F.col("_h"), k) / F.lit(4294967296.0) < F.col(p)).alias(f"_s{k}") for k in range(DRAWS_PER_HASH)],
     )
-    rates = sums.select(*by, F.explode(F.array(*[F.col(f"_s{k}") / F.col("_n").cast("double") for k in range(DRAWS_PER_HASH)])).alias("rate"))
+    each = F.array(*[F.struct((F.col("_block") * DRAWS_PER_HASH + k).alias("rep"),
+                              (F.col(f"_s{k}") / F.col("_n").cast("double")).alias("rate")) for k in range(DRAWS_PER_HASH)])
+    rates = sums.select(*by, F.explode(each).alias("_e")).select(*by, "_e.*").where(F.col("rep") < reps)
     g = rates.groupBy(*by).agg(F.avg("rate").alias("replicated"), _quantiles("rate", (0.025, 0.975)).alias("_q"))
     seen = df.groupBy(*by).agg(F.avg(y).alias("observed"))
     return g.join(seen, list(by)).select(

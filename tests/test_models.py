@@ -148,13 +148,13 @@ def test_crossfit_keeps_folds_apart(spark, sf):
     assert all(r["n_train"] + r["n_test"] == n for r in params.collect())
 
 
-@pytest.mark.parametrize("ranges", [1, 8])
-def test_replicate_metrics_equal_weighted_metrics(spark, sf, ranges):
+@pytest.mark.parametrize("size", [16384, 40])
+def test_replicate_metrics_equal_weighted_metrics(spark, sf, size):
     """The packed weights, unfolded to rows, give the same numbers through plain SQL operators."""
     wide = fx.wide_predictions(spark, sf)
-    weights, largest = rp.bootstrap_weights(wide, "item_id", fx.ARMS, 130, 3, ["view"])
+    weights, spans = rp.bootstrap_weights(wide, "item_id", fx.ARMS, 130, 3, ["view"], range_rows=size)
     weights = weights.cache()
-    got = {(r["view"], r["arm"], r["rep"]): r for r in rp.weighted_metrics(weights, ["view"], 130, largest, ranges=ranges).collect()}
+    got = {(r["view"], r["arm"], r["rep"]): r for r in rp.weighted_metrics(weights, ["view"], 130, spans).collect()}
     assert len(got) == 3 * 3 * 130
     rows = []
     for r in weights.where("chunk = 1 AND view = 0").collect():
@@ -196,3 +196,51 @@ def test_multinomial_totals_are_whole(spark):
     total = sum(i % 7 + 1 for i in range(5000))
     assert len(got) == 130 and (got["one"] == total).all()
     assert got["x"].mean() == pytest.approx(sum(i * (i % 7 + 1) for i in range(5000)), rel=0.01)
+
+
+def test_missing_scores_drop_the_row_for_all_arms(spark, sf):
+    wide = fx.wide_predictions(spark, sf)
+    holes = wide.withColumn("B", F.when(F.col("item_id") % 5 == 0, F.lit(None)).when(F.col("item_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("B")))
+    whole = wide.where("item_id % 5 <> 0 AND item_id % 7 <> 0")
+    for sampler in ("multinomial", "md5"):
+        a = rs.paired_bootstrap(holes, "item_id", ["A", "B"], 60, 5, ["view"], sampler=sampler).collect()
+        assert sorted(a) == sorted(rs.paired_bootstrap(whole, "item_id", ["A", "B"], 60, 5, ["view"], sampler=sampler).collect())
+    a = rs.paired_permutation(holes, "item_id", [("A", "B")], 40, 5, ["view"]).collect()
+    assert sorted(a) == sorted(rs.paired_permutation(whole, "item_id", [("A", "B")], 40, 5, ["view"]).collect())
+
+
+def test_a_group_keeps_its_draws_when_another_grows(spark, sf):
+    wide = fx.wide_predictions(spark, sf)
+    grown = wide.union(wide.where("view = 1").withColumn("item_id", F.col("item_id") + 10**6))
+    for _ in range(4):
+        grown = grown.union(grown.where("view = 1").withColumn("item_id", F.col("item_id") * 3 + 1))
+    alone = rs.paired_bootstrap(wide.where("view = 0"), "item_id", ["A", "B"], 50, 5, ["view"]).collect()
+    assert rs.paired_bootstrap(grown, "item_id", ["A", "B"], 50, 5, ["view"]).where("view = 0").collect() == alone
+
+
+def test_redraw_goes_on_until_every_replicate_counts(spark):
+    rows = spark.range(400).select(F.col("id").alias("item_id"), (F.col("id") == 7).cast("int").alias("gold"),
+                                   F.rand(1).alias("A"), F.rand(2).alias("B"))
+    for sampler in ("multinomial", "md5"):
+        got = rs.replicate_metrics(rows, "item_id", ["A", "B"], 30, 3, sampler=sampler).groupBy("arm").count().collect()
+        assert sorted(got) == [("A", 30), ("B", 30)]
+    with pytest.raises(ValueError):
+        rs.replicate_metrics(rows.where("gold = 0"), "item_id", ["A"], 30, 3)
+
+
+def test_prevalence_uses_the_replicates_asked_for(spark, sf):
+    df = fx.predictions(spark, sf).where("arm = 'A'")
+    one = rs.prevalence_check(df, "item_id", "pred", "gold", 1, 3).first()
+    assert one["low"] == one["high"] == one["replicated"]
+
+
+def test_score_buckets_follow_the_data(spark):
+    from concord.operators.ranking import spread_buckets
+    df = spark.range(20000).select((F.pow(F.rand(1), 8) * 0.001).alias("score"), F.lit(1).alias("g")).union(
+        spark.range(2000).select(F.lit(0.5), F.lit(2)))
+    got = spread_buckets(df, "score", ["g"], 500).groupBy("g", "_bucket").agg(
+        F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("g", "lo").collect()
+    one = [r for r in got if r["g"] == 1]
+    assert len(one) > 40 and max(r["n"] for r in one) < 3000 and len(got) == len(one) + 1
+    assert [r["_bucket"] for r in one] == sorted(r["_bucket"] for r in one)
+    assert all(a["hi"] <= b["lo"] for a, b in zip(one, one[1:]))
