@@ -25,8 +25,10 @@ from concord.session import cut_lineage
 
 EVERY = 2
 LONG = 20
-REACH = 6
+REACH = 4
 LEAST = 12
+#: Texts up to this many may be named by a broadcast, after they have been counted.
+BROADCAST_ROWS = 500_000
 
 
 def _lines(text: Column) -> Column:
@@ -43,17 +45,17 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int
     # From here on everything stays where its row is.
     line = line.repartition("row").dropDuplicates(["row", "pos"])
     order = W.partitionBy("row").orderBy("pos")
-    line = line.withColumns({
-        "other": F.lag("h").over(order),
-        "before": F.reverse(F.collect_list("h").over(order.rowsBetween(-reach - 1, -1))),
-        "after": F.collect_list("h").over(order.rowsBetween(1, reach))})
+    line = line.withColumns({"other": F.lag("h").over(order)} | {
+        f"b{i}": F.lag("h", i).over(order) for i in range(1, reach + 2)} | {
+        f"a{i}": F.lead("h", i).over(order) for i in range(1, reach + 1)})
     rolling = F.col("h").bitwiseXOR(F.shiftleft("other", 1))
     closes = ~F.col("long") & (F.pmod(F.xxhash64(rolling), F.lit(every)) == 0) & F.col("other").isNotNull()
     size = F.when(F.col("long"), 1).otherwise(2)
     content = F.when(F.col("long"), F.array("h")).otherwise(F.array("other", "h"))
     return line.where(F.col("long") | closes).select(
         "row", "id", (F.col("pos") - size + 1).alias("first"), F.col("pos").alias("last"), F.xxhash64(content).alias("k1"),
-        F.xxhash64(F.lit("second"), content).alias("k2"), F.slice("before", size, reach).alias("before"), "after")
+        F.xxhash64(F.lit("second"), content).alias("k2"), F.slice(F.array(*[f"b{i}" for i in range(1, reach + 2)]), size, reach).alias("before"),
+        F.array(*[f"a{i}" for i in range(1, reach + 1)]).alias("after"))
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -68,7 +70,7 @@ def _equal_run(a: Column, b: Column) -> Column:
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """Every occurrence but the first of a repeated chunk, grown on both sides: row, s, e and the first one's row, s, e."""
+    """Ranges that copy an earlier one, from every later occurrence of a chunk grown on both sides: row, s, e, o_row, o_s, o_e."""
     found = cut_lineage(found)
     first = found.groupBy("k1", "k2").agg(
         F.count("*").alias("n"), F.min(F.struct("id", "row", "first", "last", "before", "after")).alias("o")).where("n > 1")
@@ -80,58 +82,73 @@ def repeats(found: DataFrame) -> DataFrame:
     room = F.when(F.col("row") == F.col("o.row"), F.col("first") - F.col("o.last") - 1).otherwise(F.lit(1 << 30))
     up = F.least("up", F.greatest(room, F.lit(0)))
     down = F.least("down", F.greatest(room - up, F.lit(0)))
-    return pair.select(
-        "row", (F.col("first") - up).alias("s"), (F.col("last") + down).alias("e"),
-        F.col("o.row").alias("o_row"), (F.col("o.first") - up).alias("o_s"), (F.col("o.last") + down).alias("o_e")
-    ).distinct()
+    grown = pair.select(
+        "row", (F.col("first") - up).alias("s"), (F.col("last") + down).alias("e"), F.col("o.row").alias("o_row"),
+        (F.col("first") - F.col("o.first")).alias("shift"))
+    # Ranges that copy one text at one distance and touch are one range.
+    so_far = F.max("e").over(W.partitionBy("row", "o_row", "shift").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
+    grown = grown.withColumn("opens", F.coalesce(F.col("s") > so_far + 1, F.lit(True)).cast("int")).withColumn(
+        "island", F.sum("opens").over(W.partitionBy("row", "o_row", "shift").orderBy("s", "e").rowsBetween(W.unboundedPreceding, 0)))
+    merged = grown.groupBy("row", "o_row", "shift", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.select("row", "s", "e", "o_row", (F.col("s") - F.col("shift")).alias("o_s"), (F.col("e") - F.col("shift")).alias("o_e"))
 
 
-def same_bytes(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """Those of the repeats whose lines equal the first occurrence's byte by byte: row, s, e."""
+def _part(line: Column, s: Column, e: Column) -> Column:
+    return F.array_join(F.slice(line, s + 1, e - s + 1), "\n")
+
+
+def claims(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row the ranges that may be repeated, with the bytes of their first occurrence."""
     pairs = cut_lineage(pairs)
-    wanted = pairs.select("row", "s", "e").union(pairs.select("o_row", "o_s", "o_e")).distinct()
-    spans = wanted.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    bodies = docs.where(F.col(text).isNotNull()).select(row_key(key, text).alias("row"), F.col(text).alias("body"))
+    owners = pairs.select("o_row", "o_s", "o_e").distinct()
+    named = cut_lineage(owners.select("o_row").distinct())
+    few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    bodies = docs.where(F.col(text).isNotNull()).select(row_key(key, text).alias("o_row"), F.col(text).alias("body"))
+    bodies = bodies.join(few, "o_row", "left_semi").dropDuplicates(["o_row"])
+    ranges = owners.groupBy("o_row").agg(F.collect_list(F.struct("o_s", "o_e")).alias("ranges"))
     line = _lines(F.col("body"))
-    read = bodies.join(spans, "row").select("row", F.explode(F.transform("spans", lambda x: F.struct(
-        x["s"].alias("s"), x["e"].alias("e"),
-        F.array_join(F.slice(line, x["s"] + 1, x["e"] - x["s"] + 1), "\n").alias("part")))).alias("x"))
-    # Repeated rows have given their parts more than once.
-    read = read.select("row", "x.s", "x.e", "x.part").dropDuplicates(["row", "s", "e"])
-    mine = pairs.join(read, ["row", "s", "e"])
-    owner = read.toDF("o_row", "o_s", "o_e", "o_part")
-    words = F.char_length("part") - F.char_length(F.replace("part", F.lit(" "))) + F.col("e") - F.col("s") + 1
-    return mine.join(owner, ["o_row", "o_s", "o_e"]).where((F.col("part") == F.col("o_part")) & (words >= least)).select(
-        "row", "s", "e").distinct()
-
-
-def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the line ranges ``gone``, with the columns n_lines and n_removed (longer if these are taken)."""
-    earlier = W.partitionBy("row").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.max("e").over(earlier), F.lit(-1)) + 1
-    kept = gone.withColumn("start", start).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("s") > F.col("start"), F.struct(
-            F.col("start").alias("at"), (F.col("s") - F.col("start")).alias("n"))))).alias("slices"),
-        F.max("e").alias("past"))
+    read = bodies.join(ranges, "o_row").select("o_row", F.explode(F.transform("ranges", lambda x: F.struct(
+        x["o_s"].alias("o_s"), x["o_e"].alias("o_e"), _part(line, x["o_s"], x["o_e"]).alias("part")))).alias("x"))
+    read = read.select("o_row", "x.o_s", "x.o_e", "x.part")
+    return pairs.join(read, ["o_row", "o_s", "o_e"]).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("s", "e", "part"))).alias("claims"))
+
+
+def without(docs: DataFrame, claimed: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` without the claimed ranges that hold the very bytes claimed, with n_lines and n_removed (longer if taken)."""
     # The columns of the input travel as one, so that their names cannot clash with those used here.
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(key, text).alias("row"),
-        _lines(F.col(text)).alias("line"))
-    joined = whole.join(kept, "row", "left")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(key, text).alias("row"))
+    joined = whole.join(claimed, "row", "left").withColumn("line", _lines(F.col("doc").getField(text)))
+
+    def words(part: Column) -> Column:
+        return F.char_length(part) - F.char_length(F.replace(part, F.lit(" "))) + 1
+
+    sound = F.filter("claims", lambda x: (_part(F.col("line"), x["s"], x["e"]) == x["part"])
+                     & (words(x["part"]) + x["e"] - x["s"] >= least))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        slice_ = F.array(F.struct(acc["at"].alias("at"), (x["s"] - acc["at"]).alias("n")))
+        return F.struct(
+            F.greatest(acc["at"], x["e"] + 1).alias("at"),
+            F.when(x["s"] > acc["at"], F.concat(acc["kept"], slice_)).otherwise(acc["kept"]).alias("kept"))
+
+    joined = joined.withColumn("sound", sound).withColumn(
+        "walk", F.when(F.size("sound") > 0, F.aggregate("sound", begin, step)))
     rest = F.concat(
-        F.flatten(F.transform("slices", lambda x: F.slice("line", x["at"] + 1, x["n"]))),
-        F.slice("line", F.col("past") + 2, F.size("line")))
-    joined = joined.withColumn("rest", F.when(F.col("past").isNotNull(), rest))
+        F.flatten(F.transform(F.col("walk")["kept"], lambda x: F.slice("line", x["at"] + 1, x["n"]))),
+        F.slice("line", F.col("walk")["at"] + 1, F.size("line")))
+    joined = joined.withColumn("rest", F.when(F.col("walk").isNotNull(), rest))
     total = F.when(F.col("line").isNull(), 0).otherwise(F.size("line"))
     old = {c: F.col("doc").getField(c) for c in docs.columns}
-    old[text] = F.when(F.col("past").isNull(), old[text]).otherwise(F.array_join("rest", "\n"))
+    old[text] = F.when(F.col("walk").isNull(), old[text]).otherwise(F.array_join("rest", "\n"))
     return joined.select(
         *[old[c].alias(c) for c in docs.columns], total.alias(fresh(docs, "n_lines")),
-        F.when(F.col("past").isNull(), 0).otherwise(total - F.size("rest")).alias(fresh(docs, "n_removed")))
+        F.when(F.col("walk").isNull(), 0).otherwise(total - F.size("rest")).alias(fresh(docs, "n_removed")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG,
                    reach: int = REACH, least: int = LEAST) -> DataFrame:
     """``docs`` with repeated passages removed but for their first occurrence, and n_lines and n_removed."""
     found = repeats(chunks(docs, key, text, every, long, reach))
-    return without(docs, cut_lineage(same_bytes(docs, found, key, text, least)), key, text)
+    return without(docs, claims(docs, found, key, text), key, text, least)
