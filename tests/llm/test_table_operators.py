@@ -135,7 +135,7 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert [status[(1, k)] for k in "abcdefghxyws"] == ["ok"] * 3 + ["invalid"] * 5 + ["cyclic"] * 4
     assert [out[(1, k)].level for k in "abc"] == [0, 1, 2] and out[(1, "x")].level is None
     assert status[(2, "a")] == "ok" and out[(2, "a")].copies == 2 and status[(2, "b")] == "unanswered" and out[(2, "b")].level == 1
-    assert status[(5, "lost")] == "orphan" and status[(4, "nan")] == "invalid" and len(out) == 17
+    assert status[(5, "lost")] == "orphan" and status[(4, "nan")] == "invalid" and len(out) == 16
     assert out[(1, "h")].errors == ["n: not integer", "z: unknown", "refs: unknown zz"]
     assert out[(1, "a")].json == '{"arguments":{"n":3,"query":"é"},"id":"a","name":"search","result":"ra","status":"ok"}'
     assert json.loads(out[(2, "a")].json)["result"] is None
