@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions.columns import hash_uniform
+from concord.functions.keys import word_set
 
 # Total order within an order key; (l_orderkey, l_linenumber) alone is not unique.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -107,11 +108,10 @@ def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a fine and a coarse text key and their optional labels."""
     tidy = F.lower(F.regexp_replace(F.trim("text"), "[ \\t\\n\\r\\f]+", " "))
-    letters = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 40)
     keyed = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", "text",
         F.md5(tidy.cast("binary")).alias("canon_key"),
-        F.nullif(letters, F.lit("")).alias("parent_key"),
+        word_set(F.col("text")).alias("parent_key"),
     )
     return keyed.join(table(spark, sf_dir, "labels"), "doc_id", "left")
 

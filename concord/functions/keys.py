@@ -14,19 +14,23 @@ def identity_keys(df: DataFrame, text: str, fine: Column, coarse: Column) -> Dat
 
 
 def identity_keys_with(df: DataFrame, text: str, keys: Callable[[str], tuple[str | None, str | None]]) -> DataFrame:
-    """Attach both keys from a user function, called once per distinct text."""
+    """Attach both keys from a user function, called once per distinct text.
+
+    A text for which the function fails gets null keys and the error's name in ``key_error``.
+    """
     def run(batches):
         for batch in batches:
             made = []
             for value in batch[text]:
                 try:
-                    made.append(keys(value))
-                except Exception:
-                    made.append((None, None))
-            yield pd.DataFrame({text: batch[text], "fine_key": [m[0] for m in made], "coarse_key": [m[1] for m in made]})
+                    made.append((*keys(value), None))
+                except Exception as e:
+                    made.append((None, None, type(e).__name__))
+            yield pd.DataFrame({text: batch[text]} | {
+                name: [m[i] for m in made] for i, name in enumerate(("fine_key", "coarse_key", "key_error"))})
 
     distinct = df.select(text).where(F.col(text).isNotNull()).distinct()
-    made = distinct.mapInPandas(run, f"`{text}` string, fine_key string, coarse_key string")
+    made = distinct.mapInPandas(run, f"`{text}` string, fine_key string, coarse_key string, key_error string")
     return df.join(made, text, "left")
 
 
@@ -39,12 +43,18 @@ def key_ladder(text: str) -> dict[str, Column]:
         "folded": F.md5(F.lower(t).cast("binary")),
         "spaceless": F.md5(F.regexp_replace(F.lower(t), "[ \\t\\n\\r\\f]+", "").cast("binary")),
         "letters": F.md5(letters.cast("binary")),
-        "prefix": F.substring(letters, 1, 40),
+        "words": word_set(t),
         "multi_part": F.contains(F.trim(t), F.lit("\n")),
         "ok": letters.isNotNull(),
     }
 
 
+def word_set(text: Column) -> Column:
+    """Loose key of a whole text: the digest of its sorted distinct words; null without a letter a-z."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))))
+    return F.when(F.size(words) > 0, F.md5(F.array_join(words, " ").cast("binary")))
+
+
 def group_key(expr: Column) -> Column:
     return F.coalesce(expr, F.lit("INVALID"))
 
@@ -86,13 +96,18 @@ def mean_pool(df: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
 
 
 def hashed_features(df: DataFrame, text: str, n: int = 2048, width: int = 4) -> DataFrame:
-    """Binary hashed shingle vector of the text, as an ``ml`` vector column ``features``."""
+    """Binary hashed shingle vector of the text, as an ``ml`` vector column ``features``.
+
+    The text is split into characters once and neighbours are joined, so the
+    work grows with its length alone.
+    """
     from pyspark.ml.feature import HashingTF
 
     tidy = F.lower(F.regexp_replace(F.trim(F.col(text)), "[ \\t\\n\\r\\f]+", " "))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_tidy") - (width - 1), F.lit(1)))
-    shingled = df.withColumn("_tidy", tidy).withColumn(
-        "_shingles", F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_tidy"), i, F.lit(width))))
+    letters = F.split(F.col("_tidy"), "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_letters") - (width - 1), F.lit(1)))
+    shingled = df.withColumn("_tidy", tidy).withColumn("_letters", letters).withColumn(
+        "_shingles", F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_letters", i, width), "")))
     )
     made = HashingTF(inputCol="_shingles", outputCol="features", numFeatures=n, binary=True).transform(shingled)
-    return made.drop("_tidy", "_shingles")
+    return made.drop("_tidy", "_letters", "_shingles")

@@ -33,19 +33,26 @@ def merge_channels(a: DataFrame, b: DataFrame, key: str, text: str | None = None
     return m
 
 
-def join_many_to_one(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Left join that adds ``right_rows``, so a repeated right key shows itself.
+def join_many_to_one(left: DataFrame, right: DataFrame, on: str, repeated: str = "fail") -> DataFrame:
+    """Left join to a table that must have each key once.
 
-    The right side is reduced to one row per key with its row count, so a
-    repeated key can neither multiply left rows nor pass unseen.
+    With ``repeated="fail"`` a repeated right key ends the job with an error as
+    soon as it meets a left row. ``"first"`` takes the smallest right row and
+    goes on. Either way ``right_rows`` tells how many right rows there were, and
+    a repeated key never multiplies left rows.
     """
+    if repeated not in ("fail", "first"):
+        raise ValueError(f"repeated: {repeated}")
     rest = [c for c in right.columns if c != on]
     one = right.groupBy(on).agg(
         F.min(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("right_rows")
     )
+    rows = F.coalesce("right_rows", F.lit(0))
+    if repeated == "fail":
+        message = F.concat(F.lit("more than one right row for key "), F.col(on).cast("string"))
+        rows = F.when(rows > 1, F.raise_error(message).cast("long")).otherwise(rows)
     return left.join(one, on, "left").select(
-        *left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest],
-        F.coalesce("right_rows", F.lit(0)).alias("right_rows"),
+        *left.columns, *[F.col(f"_row.{c}").alias(c) for c in rest], rows.alias("right_rows"),
     )
 
 

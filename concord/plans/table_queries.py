@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -15,17 +14,15 @@ from concord.operators.ranking import first_rows
 from concord.plans.common import rounded, tidy
 from concord.plans.registry import query
 from concord.plans.views import with_views
+from concord.session import shared_folder
 from concord.sources import files
 
 # ---- sources and sinks -----------------------------------------------------
 
 
 def _scratch(spark) -> str:
-    """A fresh folder every executor can reach: beside the checkpoints on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/run-{os.urandom(6).hex()}"
-    return os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "t")
+    """A fresh folder that driver and executors share."""
+    return f"{shared_folder(spark)}/run-{os.urandom(6).hex()}"
 
 
 def _parts(spark, d):
@@ -251,46 +248,54 @@ def p12(spark, d):
 # ---- keys ------------------------------------------------------------------
 
 @query("k1_identity_keys", """select doc_id, md5(lower(regexp_replace(trim(text, ' '), '[ \\t\\n\\r\\f]+', ' ', 'g'))) as fine_key,
-    nullif(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 40), '') as coarse_key from documents""")
+    md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) as coarse_key from documents""")
 def k1(spark, d):
     fine = F.md5(F.lower(F.regexp_replace(F.trim("text"), "[ \\t\\n\\r\\f]+", " ")).cast("binary"))
-    coarse = F.nullif(F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 40), F.lit(""))
-    df = keys.identity_keys(fx.table(spark, d, "documents"), "text", fine, coarse)
+    df = keys.identity_keys(fx.table(spark, d, "documents"), "text", fine, keys.word_set(F.col("text")))
     return df.select("doc_id", "fine_key", "coarse_key")
 
 
 def _word_keys(text: str):
+    """Words in the order of their first place, and a checksum that no built-in function has."""
     words = text.lower().split()
     if not words:
         raise ValueError("no words")
-    return " ".join(words), words[0]
+    total = 7
+    for w in words:
+        total = (total * 31 + len(w)) % 1000003
+    return " ".join(words), str(total)
 
 
-@query("k1_identity_keys_user_function")
+@query("k1_identity_keys_user_function", """with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as ws from documents)
+    select doc_id, array_to_string(ws, ' ') as fine_key,
+    cast(list_reduce(list_prepend(7::bigint, list_transform(ws, lambda x: length(x)::bigint)), lambda a, b: (a * 31 + b) % 1000003) as varchar) as coarse_key from w""")
 def k1_user(spark, d):
     return keys.identity_keys_with(fx.table(spark, d, "documents"), "text", _word_keys).select("doc_id", "fine_key", "coarse_key")
 
 
-@query("k2_quarantine", """with keyed as (select doc_id, nullif(regexp_replace(substr(lower(text), 1, 1), '[^a-z]', '', 'g'), '') as k from documents)
+def _plain_key():
+    """A key that fails for texts with a digit anywhere."""
+    return F.when(~F.col("text").rlike("[0-9]"), keys.word_set(F.col("text")))
+
+
+@query("k2_quarantine", """with keyed as (select doc_id, case when regexp_matches(text, '[0-9]') then null else md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) end as k from documents)
     select doc_id, 'documents' as source, 'key failed' as reason from keyed where k is null""")
 def k2(spark, d):
-    first = F.nullif(F.regexp_replace(F.substring(F.lower("text"), 1, 1), "[^a-z]", ""), F.lit(""))
-    keyed = fx.table(spark, d, "documents").select("doc_id", F.lit("documents").alias("source"), first.alias("k"))
+    keyed = fx.table(spark, d, "documents").select("doc_id", F.lit("documents").alias("source"), _plain_key().alias("k"))
     return con.quarantine(keyed, "k", "key failed")[1].drop("k")
 
 
 @query("k3_parse_rate", rounded("""select 'documents' as source, count(k) as parsed, count(*) as total, count(k) / count(*)::double as rate
-    from (select nullif(regexp_replace(substr(lower(text), 1, 1), '[^a-z]', '', 'g'), '') as k from documents)
+    from (select case when regexp_matches(text, '[0-9]') then null else md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) end as k from documents)
     union all select 'benchmark', count(k), count(*), count(k) / count(*)::double
-    from (select nullif(regexp_replace(substr(lower(text), 1, 1), '[^a-z]', '', 'g'), '') as k from benchmark)""", "rate"))
+    from (select case when regexp_matches(text, '[0-9]') then null else md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) end as k from benchmark)""", "rate"))
 def k3(spark, d):
-    first = F.nullif(F.regexp_replace(F.substring(F.lower("text"), 1, 1), "[^a-z]", ""), F.lit("")).alias("k")
-    return tidy(con.parse_rate({t: (fx.table(spark, d, t).select(first), "k") for t in ("documents", "benchmark")}))
+    return tidy(con.parse_rate({t: (fx.table(spark, d, t).select(_plain_key().alias("k")), "k") for t in ("documents", "benchmark")}))
 
 
 @query("k4_key_ladder", """with l as (select *, nullif(regexp_replace(lower(text), '[^a-z]', '', 'g'), '') as le from documents)
     select doc_id, md5(text) as exact, md5(lower(text)) as folded,
-    md5(regexp_replace(lower(text), '[ \\t\\n\\r\\f]+', '', 'g')) as spaceless, md5(le) as letters, substr(le, 1, 40) as prefix,
+    md5(regexp_replace(lower(text), '[ \\t\\n\\r\\f]+', '', 'g')) as spaceless, md5(le) as letters, md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) as words,
     contains(trim(text, ' '), chr(10)) as multi_part, le is not null as ok from l""")
 def k4(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", *[e.alias(n) for n, e in keys.key_ladder("text").items()])
@@ -304,10 +309,9 @@ def k5(spark, d):
     return df.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x).alias("bits_set"))
 
 
-@query("k6_group_key", """select doc_id, coalesce(nullif(regexp_extract(lower(text), '^[a-z]+'), ''), 'INVALID') as grp from documents""")
+@query("k6_group_key", """select doc_id, coalesce(k, 'INVALID') as grp from (select doc_id, case when regexp_matches(text, '[0-9]') then null else md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) end as k from documents)""")
 def k6(spark, d):
-    word = F.nullif(F.regexp_extract(F.lower("text"), "^[a-z]+", 0), F.lit(""))
-    return fx.table(spark, d, "documents").select("doc_id", keys.group_key(word).alias("grp"))
+    return fx.table(spark, d, "documents").select("doc_id", keys.group_key(_plain_key()).alias("grp"))
 
 
 VOCAB = """v as (select 'lang' as "column", lang as value, row_number() over (order by lang) as slot
@@ -375,7 +379,7 @@ def j3(spark, d):
     from lineitem left join (select id, n, m[1] as ordinal, m[2] as measure from one) on id = cast(l_partkey as varchar)"""))
 def j4(spark, d):
     left = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("id"))
-    return joins.join_many_to_one(left, fx.assay(spark, d).select("id", "ordinal", "measure"), "id")
+    return joins.join_many_to_one(left, fx.assay(spark, d).select("id", "ordinal", "measure"), "id", repeated="first")
 
 
 @query("j5_tiered_match", with_views("docs", """l as (select * from docs where lang = 'en'), r as (select * from docs where quality is not null),
@@ -393,7 +397,7 @@ def j5(spark, d):
 LADDER = """k as (select doc_id, source, md5(text) as exact, md5(lower(text)) as folded,
     md5(regexp_replace(lower(text), '[ \\t\\n\\r\\f]+', '', 'g')) as spaceless,
     md5(nullif(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) as letters,
-    substr(nullif(regexp_replace(lower(text), '[^a-z]', '', 'g'), ''), 1, 40) as prefix,
+    md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), ' '), '')) as words,
     contains(trim(text, ' '), chr(10)) as multi_part from documents),
 l as (select * from k where source in ('src0', 'src1', 'src2', 'src3')), r as (select * from k where source not in ('src0', 'src1', 'src2', 'src3'))"""
 
@@ -409,21 +413,21 @@ def _ladder_sides(spark, d):
     coalesce(folded in (select folded from r where folded is not null), false) as o_folded,
     coalesce(spaceless in (select spaceless from r where spaceless is not null), false) as o_spaceless,
     coalesce(letters in (select letters from r where letters is not null), false) as o_letters,
-    coalesce(prefix in (select prefix from r where prefix is not null), false) as o_prefix from l)
-    select doc_id, o_exact, o_folded, o_spaceless, o_letters, o_prefix, o_prefix and not o_exact and multi_part as coarse_only_fragments,
-    o_prefix and not o_exact and not multi_part as coarse_only_single from f""")
+    coalesce(words in (select words from r where words is not null), false) as o_words from l)
+    select doc_id, o_exact, o_folded, o_spaceless, o_letters, o_words, o_words and not o_exact and multi_part as coarse_only_fragments,
+    o_words and not o_exact and not multi_part as coarse_only_single from f""")
 def j6(spark, d):
     left, right = _ladder_sides(spark, d)
-    names = ("exact", "folded", "spaceless", "letters", "prefix")
+    names = ("exact", "folded", "spaceless", "letters", "words")
     out = joins.overlap_flags(left, {f"o_{n}": (right, n) for n in names})
-    out = out.withColumns(joins.derived_overlap("o_prefix", "o_exact", F.col("multi_part")))
+    out = out.withColumns(joins.derived_overlap("o_words", "o_exact", F.col("multi_part")))
     return out.select("doc_id", *[f"o_{n}" for n in names], "coarse_only_fragments", "coarse_only_single")
 
 
-@query("j7_exclude_seen", f"with {LADDER} select doc_id, prefix from l where prefix is null or prefix not in (select prefix from r where prefix is not null)")
+@query("j7_exclude_seen", f"with {LADDER} select doc_id, words from l where words is null or words not in (select words from r where words is not null)")
 def j7(spark, d):
     left, right = _ladder_sides(spark, d)
-    return joins.exclude_seen(left, right, "prefix").select("doc_id", "prefix")
+    return joins.exclude_seen(left, right, "words").select("doc_id", "words")
 
 
 @query("j8_lookup", """select l_orderkey, l_linenumber, l_partkey, coalesce(p_brand, 'unknown') as p_brand from lineitem

@@ -34,7 +34,7 @@ VIEWS = {
         where substr(md5(cast(p_partkey as varchar)), 1, 2) < '03')""",
     "docs": """select d.doc_id, d.source, d.lang, d.text,
         md5(lower(regexp_replace(trim(d.text, ' '), '[ \\t\\n\\r\\f]+', ' ', 'g'))) as canon_key,
-        nullif(substr(regexp_replace(lower(d.text), '[^a-z]', '', 'g'), 1, 40), '') as parent_key,
+        md5(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(d.text), '[a-z]+'))), ' '), '')) as parent_key,
         l.quality, l.toxic from documents d left join labels l using (doc_id)""",
 }
 NEEDS = {

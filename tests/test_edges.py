@@ -6,9 +6,9 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions import columns as c
+from concord.functions import columns as c, keys
 from concord.functions.tails import student_t_p, t_multiplier_95
-from concord.operators import audit, metrics as mt, ranking, resample as rs, splits
+from concord.operators import audit, joins, metrics as mt, ranking, resample as rs, splits
 
 OBS = "ck string, fk string, ord int, label int"
 
@@ -119,3 +119,17 @@ def test_hot_coarse_key_counts_everything(spark):
     b = spark.createDataFrame([(k, f, o, 1 - l) for k, f, o, l in rows], OBS)
     r = audit.conflict_audit(a, b, {"coarse": "ck"}).where("mode = 'first' AND filter = 'all'").first()
     assert r["total_overlap"] == 301 and r["discordant"] == 301
+
+
+def test_many_to_one_fails_on_a_repeated_key(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (3, "c")], "k int, v string")
+    assert joins.join_many_to_one(left, right, "k").where("v = 'a' AND right_rows = 1").count() == 1
+    with pytest.raises(Exception, match="more than one right row for key 3"):
+        joins.join_many_to_one(left.union(spark.createDataFrame([(3,)], "k int")), right, "k").collect()
+    assert joins.join_many_to_one(left.union(spark.createDataFrame([(3,)], "k int")), right, "k", "first").count() == 4
+
+
+def test_failed_user_keys_say_why(spark):
+    got = keys.identity_keys_with(spark.createDataFrame([("a b",), ("",)], "text string"), "text", lambda t: (t, t.split()[0]))
+    assert {r["text"]: (r["coarse_key"], r["key_error"]) for r in got.collect()} == {"a b": ("a", None), "": (None, "IndexError")}
