@@ -403,11 +403,11 @@ def _main_part(member: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
-    ``buckets`` defaults to twice the session's shuffle partitions, so that what
-    one task sorts keeps its size as the input grows.
+    ``buckets`` defaults to eight times the session's shuffle partitions, so that
+    tasks get even shares and what one sorts keeps its size as the input grows.
     """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = cut_lineage(_classes(docs))
     reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"),
