@@ -11,12 +11,16 @@ from concord.operators.calibrate import fit_logistic_1d
 from concord.session import cut_lineage, small_table
 
 
+def _of_all(scored: DataFrame, items: DataFrame | None) -> DataFrame:
+    """Scores of all ``items``; one that nobody voted on gets a half."""
+    if items is None:
+        return scored
+    return items.select("item").distinct().join(scored, "item", "left").select("item", F.coalesce("score", F.lit(0.5)).alias("score"))
+
+
 def vote_mean(votes: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Mean vote per item; an item nobody voted on gets a half."""
-    out = votes.groupBy("item").agg(F.avg("label").alias("score"))
-    if items is None:
-        return out
-    return items.select("item").join(out, "item", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
+    return _of_all(votes.groupBy("item").agg(F.avg("label").alias("score")), items)
 
 
 def linear_weights(votes: DataFrame, first: float = 1.0, last: float = 0.7) -> DataFrame:
@@ -31,9 +35,10 @@ def linear_weights(votes: DataFrame, first: float = 1.0, last: float = 0.7) -> D
     ).alias("weight"))
 
 
-def vote_weighted(votes: DataFrame, weights: DataFrame) -> DataFrame:
-    return votes.join(weights, "source").groupBy("item").agg(
-        F.coalesce(F.try_divide(F.sum(F.col("label") * F.col("weight")), F.sum("weight")), F.lit(0.5)).alias("score"))
+def vote_weighted(votes: DataFrame, weights: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Mean vote with the sources' weights; an item nobody voted on gets a half."""
+    return _of_all(votes.join(weights, "source").groupBy("item").agg(
+        F.coalesce(F.try_divide(F.sum(F.col("label") * F.col("weight")), F.sum("weight")), F.lit(0.5)).alias("score")), items)
 
 
 def vote_patterns(votes: DataFrame, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -55,14 +60,15 @@ def vote_patterns(votes: DataFrame, values: DataFrame | None = None) -> tuple[Da
     return per.select("item", "pid"), long
 
 
-def dawid_skene(votes: DataFrame, beta: float = 1.0, max_iter: int = 100, tol: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+def dawid_skene(votes: DataFrame, beta: float = 1.0, max_iter: int = 100, tol: float = 1e-7,
+                items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Two-class EM over sources' sensitivity and specificity, smoothed by ``beta``.
 
     The posterior depends only on the source table of the previous round, so a
     round is one aggregation over the vote patterns, and only that table (one
     entry per source, looked up by position) moves between rounds. ``beta=2``
-    gives the MAP variant. Returns (item, score) and (source, sensitivity,
-    specificity).
+    gives the MAP variant. Returns (item, score), of all ``items`` if given, and
+    (source, sensitivity, specificity).
     """
     spark = votes.sparkSession
     names = sorted(r["source"] for r in votes.select("source").distinct().collect())
@@ -101,15 +107,16 @@ def dawid_skene(votes: DataFrame, beta: float = 1.0, max_iter: int = 100, tol: f
     sources = small_table(
         spark, list(zip(names, sens, spec)), f"source {kind}, sensitivity double, specificity double")
     # The scores are those of the last E-step, before the last source update.
-    return per.select("item", before.alias("score")), sources
+    return _of_all(per.select("item", before.alias("score")), items), sources
 
 
-def fit_latent_multi(votes: DataFrame, values: DataFrame | None = None, rounds: int = 15) -> tuple[DataFrame, DataFrame]:
+def fit_latent_multi(votes: DataFrame, values: DataFrame | None = None, rounds: int = 15,
+                     items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A latent score behind sources with their own slope and bias, and an optional value.
 
     Each round fits the sources' logistic lines by grouped Newton sums, the
     value line by regression sums, then moves all patterns one damped step.
-    Returns (item, score) and (source, slope, bias).
+    Returns (item, score), of all ``items`` if given, and (source, slope, bias).
     """
     spark = votes.sparkSession
     members, long = vote_patterns(votes, values)
@@ -151,4 +158,4 @@ def fit_latent_multi(votes: DataFrame, values: DataFrame | None = None, rounds:
         state = cut_lineage(state.join(pulls, "pid").select(
             "pid", clip(F.col("mu") - 0.7 * g / F.greatest(h, F.lit(0.1)), -5.0, 5.0).alias("mu"), "value", "cnt"))
     scored = members.join(state, "pid").select("item", sigmoid("mu").alias("score"))
-    return scored, lines
+    return _of_all(scored, items), lines

@@ -163,33 +163,38 @@ def l10(spark, d):
 # ---- votes -----------------------------------------------------------------
 
 
+def _items(spark, d):
+    """All items, voted on or not."""
+    return fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("item"))
+
+
 @query("l11_vote_mean", rounded(with_views("votes", "select o_orderkey::varchar as item, coalesce(avg(label), 0.5::double) as score from orders left join votes on item = o_orderkey::varchar group by 1"), "score"))
 def l11(spark, d):
-    items = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("item"))
-    return tidy(vt.vote_mean(fx.votes(spark, d), items))
+    return tidy(vt.vote_mean(fx.votes(spark, d), _items(spark, d)))
 
 
 @query("l12_vote_weighted", rounded(with_views("votes", """w as (select source, 1.0::double - 0.3::double * (row_number() over (order by source) - 1) / (count(*) over () - 1)::double as weight from (select distinct source from votes))
-    select item, sum(label * weight) / sum(weight) as score from votes join w using (source) group by 1"""), "score"))
+    select o_orderkey::varchar as item, coalesce(sum(label * weight) / sum(weight), 0.5::double) as score
+    from orders left join (votes join w using (source)) on item = o_orderkey::varchar group by 1"""), "score"))
 def l12(spark, d):
     v = fx.votes(spark, d)
-    return tidy(vt.vote_weighted(v, vt.linear_weights(v)))
+    return tidy(vt.vote_weighted(v, vt.linear_weights(v), _items(spark, d)))
 
 
 @query("l13_dawid_skene")
 def l13(spark, d):
-    return tidy(vt.dawid_skene(fx.votes(spark, d))[0])
+    return tidy(vt.dawid_skene(fx.votes(spark, d), items=_items(spark, d))[0])
 
 
 @query("l14_dawid_skene_map")
 def l14(spark, d):
-    return tidy(vt.dawid_skene(fx.votes(spark, d), beta=2.0)[1])
+    return tidy(vt.dawid_skene(fx.votes(spark, d), beta=2.0, items=_items(spark, d))[0])
 
 
 @query("l15_fit_latent_multi")
 def l15(spark, d):
     values = fx.obs_c(spark, d).groupBy(F.col("ck").alias("item")).agg(F.avg("value").alias("value"))
-    return tidy(vt.fit_latent_multi(fx.votes(spark, d), values)[0])
+    return tidy(vt.fit_latent_multi(fx.votes(spark, d), values, items=_items(spark, d))[0])
 
 
 # ---- calibration lines and tests -------------------------------------------
@@ -234,16 +239,16 @@ def r10(spark, d):
 
 
 def _labelled(spark, d):
-    df = fx.docs(spark, d).where("quality IS NOT NULL")
-    soft = df.groupBy("source").agg(F.avg("quality").alias("soft"))
-    return keys.hashed_features(df.join(soft, "source"), "text", n=2048).select(
-        "doc_id", "quality", "soft", "features", ((F.col("quality") + F.col("soft")) / 2.0).alias("blend"))
+    """Labelled documents with features and a training mark; soft labels come from training rows alone."""
+    df = hash_rank(fx.docs(spark, d).where("quality IS NOT NULL"), ["doc_id"], 9).withColumn("train", F.col("rank") <= F.col("n") * 0.8)
+    soft = df.where("train").groupBy("source").agg(F.avg("quality").alias("soft"))
+    return keys.hashed_features(df.join(soft, "source", "left"), "text", n=2048).select(
+        "doc_id", "quality", "train", "soft", "features", ((F.col("quality") + F.col("soft")) / 2.0).alias("blend"))
 
 
 @query("g1_train_arms")
 def g1(spark, d):
-    df = hash_rank(_labelled(spark, d), ["doc_id"], 9).withColumn("train", F.col("rank") <= F.col("n") * 0.8)
-    return tidy(learn.train_arms(df, "doc_id", {"hard": "quality", "soft": "soft", "blend": "blend"}, "train", trees=5, depth=3))
+    return tidy(learn.train_arms(_labelled(spark, d), "doc_id", {"hard": "quality", "soft": "soft", "blend": "blend"}, "train", trees=5, depth=3))
 
 
 @query("g2_oof_probabilities")

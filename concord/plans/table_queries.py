@@ -640,7 +640,8 @@ def f3(spark, d):
     return tidy(v.select("o_orderkey", F.sort_array("v").alias("sorted"), F.size(F.array_distinct("v")).alias("n_distinct"), c.array_mean("v").alias("mean")))
 
 
-@query("f4_json_encode")
+@query("f4_json_encode", """select '{"o_orderkey":' || o_orderkey || ',"price":' ||
+    case when o_orderkey % 3 = 0 then 'null' else cast(o_totalprice as varchar) end || '}' as json from orders""")
 def f4(spark, d):
     df = fx.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("price"))
     return files.to_json_text(df)

@@ -244,3 +244,25 @@ def test_score_buckets_follow_the_data(spark):
     assert len(one) > 40 and max(r["n"] for r in one) < 3000 and len(got) == len(one) + 1
     assert [r["_bucket"] for r in one] == sorted(r["_bucket"] for r in one)
     assert all(a["hi"] <= b["lo"] for a, b in zip(one, one[1:]))
+
+
+def test_soft_labels_come_from_training_rows(spark, sf):
+    from concord.plans.model_queries import _labelled
+    rows = _labelled(spark, sf).join(fx.docs(spark, sf).select("doc_id", "source"), "doc_id").select(
+        "source", "quality", "soft", "train").collect()
+    assert any(not r["train"] for r in rows)
+    for source in {r["source"] for r in rows}:
+        own = [r["quality"] for r in rows if r["source"] == source and r["train"]]
+        soft = {None if r["soft"] is None else round(r["soft"], 9) for r in rows if r["source"] == source}
+        assert soft == {round(sum(own) / len(own), 9) if own else None}
+
+
+def test_votes_score_every_item(spark, sf):
+    from concord.operators import votes as vt
+    votes = fx.votes(spark, sf)
+    items = votes.select("item").union(spark.createDataFrame([("unvoted",)], "item string"))
+    n = items.distinct().count()
+    for scored in (vt.vote_weighted(votes, vt.linear_weights(votes), items), vt.dawid_skene(votes, max_iter=2, items=items)[0],
+                   vt.fit_latent_multi(votes, rounds=1, items=items)[0]):
+        got = {r["item"]: r["score"] for r in scored.collect()}
+        assert len(got) == n and got["unvoted"] == 0.5 and all(0 <= s <= 1 for s in got.values())
