@@ -83,7 +83,7 @@ def _spread(rows: DataFrame, item: str, by: Sequence[str]) -> tuple[DataFrame, d
     return marked.select(*rows.columns, "_blk"), per
 
 
-def _block_share(total: np.ndarray, block: int, n: int, *seed) -> np.ndarray:
+def block_share(total: np.ndarray, block: int, n: int, *seed) -> np.ndarray:
     """How many of all rows each of ``n`` replicates draws from one block, the same in every task."""
     runs = np.add.reduceat(total, np.arange(0, len(total), RUN))
     run = block // RUN
@@ -127,7 +127,7 @@ def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: i
         out = []
         for chunk in range(first, chunks):
             n = min(CHUNK, n_boot - chunk * CHUNK)
-            share = _block_share(total, block, n, seed, group, chunk)
+            share = block_share(total, block, n, seed, group, chunk)
             w = _seed(seed, group, chunk, 0, block + 1).multinomial(share, even).T
             for arm in arms:
                 s, label, copies, merged = _merged(pdf[arm].to_numpy(), pdf[y].to_numpy(), w)

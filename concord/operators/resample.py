@@ -17,7 +17,7 @@ from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effec
 from concord.operators.metrics import all_metrics, auc_ap, concordance
 from concord.operators.ranking import hash_rank
 from concord.session import cut_lineage
-from concord.operators.replicates import CHUNK, bootstrap_weights, complete, permutation_weights, weighted_metrics
+from concord.operators.replicates import CHUNK, block_share, bootstrap_weights, complete, permutation_weights, weighted_metrics
 
 DRAWS_PER_HASH = 4
 FLIPS_PER_HASH = 32
@@ -382,7 +382,6 @@ def _rule_rows(counts: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 REPS_PER_CHUNK = 125
-FINE_BLOCKS = 1024
 GROUPS_PER_BLOCK = 2048
 
 
@@ -394,38 +393,33 @@ def multinomial_totals(rows: DataFrame, count: str, values: Sequence[str], n_boo
     totals are sampled first, the same in every task, then each block samples
     its own groups and adds up its vectors. No draw is ever shuffled, and the
     cost follows the number of distinct groups, not of units. The driver sees
-    only the totals of at most ``FINE_BLOCKS`` blocks.
+    one total for every ``GROUPS_PER_BLOCK`` groups.
     """
     values = list(values)
-    fine = F.pmod(F.xxhash64(*values), F.lit(FINE_BLOCKS))
-    seen = rows.groupBy(fine.alias("_f")).agg(F.sum(count).alias("c"), F.count(F.lit(1)).alias("g")).collect()
-    blocks = min(FINE_BLOCKS, max(1, -(-sum(r["g"] for r in seen) // GROUPS_PER_BLOCK)))
+    blocks = max(1, -(-rows.count() // GROUPS_PER_BLOCK))
+    marked = rows.select(count, *values, F.pmod(F.xxhash64(*values), F.lit(blocks)).cast("int").alias("_blk"))
     sizes = np.zeros(blocks, dtype=np.int64)
-    for r in seen:
-        sizes[r["_f"] % blocks] += r["c"]
-    total = int(sizes.sum())
+    for r in marked.groupBy("_blk").agg(F.sum(count).alias("c")).collect():
+        sizes[r["_blk"]] = r["c"]
     chunks = -(-n_boot // REPS_PER_CHUNK)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, wanted = int(key[0]), range(chunks) if key[1] < 0 else [int(key[1])]
+        block = int(key[0])
         pdf = pdf.sort_values(values)
         x = pdf[values].to_numpy(dtype=np.float64)
         p = pdf[count].to_numpy(dtype=np.float64)
         made = []
-        for chunk in wanted:
+        for chunk in range(chunks):
             n = min(REPS_PER_CHUNK, n_boot - chunk * REPS_PER_CHUNK)
-            shares = np.random.default_rng([seed, chunk]).multinomial(total, sizes / total, size=n)[:, block]
+            shares = block_share(sizes, block, n, seed, (), chunk)
             picked = np.random.default_rng([seed, chunk, block + 1]).multinomial(shares, p / p.sum())
             out = pd.DataFrame(picked @ x, columns=values)
             out.insert(0, "rep", chunk * REPS_PER_CHUNK + np.arange(n))
             made.append(out)
         return pd.concat(made, ignore_index=True)
 
-    # With few blocks the replicates spread the work, with many the blocks do.
-    chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if blocks < 32 else F.lit(-1)
-    spread = rows.select(count, *values, (fine % blocks).cast("int").alias("_blk")).withColumn("_chunk", chunk)
     schema = "rep int, " + ", ".join(f"`{v}` double" for v in values)
-    parts = spread.groupBy("_blk", "_chunk").applyInPandas(run, schema)
+    parts = marked.groupBy("_blk").applyInPandas(run, schema)
     return parts.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
