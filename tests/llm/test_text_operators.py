@@ -1,6 +1,5 @@
 """Operators on texts against brute force, with nulls, empty and very long texts, repeats and clashing columns."""
 
-import hashlib
 import random
 import re
 import zlib
