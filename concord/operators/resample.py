@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.functions.columns import hash_hex, hash_uniform, hex_int
+from concord.functions.columns import hash_hex, hex_int
 from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effect, paired_labels
 from concord.operators.metrics import all_metrics, auc_ap, concordance
 from concord.operators.ranking import hash_rank
