@@ -16,8 +16,10 @@ columns are left alone.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -259,18 +261,26 @@ def _fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def _choose_landmarks(texts: list[str], y: np.ndarray, count: int) -> tuple[str, ...]:
     """Words and beginnings of words that surely speak for the toxic class, unlike one another."""
-    seen = [Counter(), Counter()]
+    def parts(text: str) -> set[str]:
+        whole = {w.strip(".,;:!?\"'()") for w in text.lower().split()}
+        return whole | {w[:k] for w in whole for k in (4, 5, 6, 7) if len(w) > k}
+
+    toxic: Counter = Counter()
+    for t, label in zip(texts, y):
+        if label:
+            toxic.update(parts(t))
+    toxic = Counter({w: c for w, c in toxic.items() if c >= 3 and 3 <= len(w) <= BLOCK})
+    clean: Counter = Counter()
     for t, label in zip(texts, y):
-        whole = {w.strip(".,;:!?\"'()") for w in (t or "").lower().split()}
-        seen[int(label)].update(whole | {w[:k] for w in whole for k in (4, 5, 6, 7) if len(w) > k})
+        if not label:
+            clean.update(parts(t) & toxic.keys())
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     odds = {}
-    for w, c in seen[1].items():
-        if c >= 3 and 3 <= len(w) <= BLOCK:
-            c0 = seen[0][w]
-            low = np.log((c + 0.5) / n1 * n0 / (c0 + 0.5)) - np.sqrt(1 / (c + 0.5) + 1 / (c0 + 0.5))
-            if low > 1:
-                odds[w] = low
+    for w, c in toxic.items():
+        c0 = clean[w]
+        low = np.log((c + 0.5) / n1 * n0 / (c0 + 0.5)) - np.sqrt(1 / (c + 0.5) + 1 / (c0 + 0.5))
+        if low > 1:
+            odds[w] = low
     picked: list[str] = []
     vectors: list[dict[int, float]] = []
     for w in sorted(odds, key=lambda w: (-odds[w], w)):
@@ -290,8 +300,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on at most ``per_class`` documents of each class, those whose ids have the smallest hashes.
 
     ``labels`` has one row (key, label 0 or 1) per document. The sample is the
-    documented bound of what reaches the driver: ids first, without texts, then
-    the texts of these ids alone. Class shares are counted over all labels.
+    documented bound of what one task learns from: ids are picked first, without
+    texts, then the texts of these ids alone are read. Class shares are counted
+    over all labels.
     """
     known = labels.where(F.col(label).isin(0, 1)).join(docs.select(key), key, "left_semi")
     shares = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
@@ -303,9 +314,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         picked += part.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(per_class).collect()
     kind = docs.schema[key].dataType.simpleString()
     chosen = small_table(docs.sparkSession, [tuple(r) for r in picked], f"{key} {kind}, {label} int")
-    # At most 2 * per_class rows.
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(text, label).collect()
-    return fit_rows([r[0] or "" for r in rows], np.array([int(r[1]) for r in rows]), shares, landmarks, ridge)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(y), t or "") for batch in batches for t, y in zip(batch["text"], batch["label"]))
+        model = fit_rows([t for _, t in rows], np.array([y for y, _ in rows]), shares, landmarks, ridge)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # At most 2 * per_class rows, read by one task; the driver gets the small model alone.
+    sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(label, "label")), key)
+    return pickle.loads(sample.select("text", "label").repartition(1).mapInPandas(train, "model binary").first()[0])
 
 
 def fit_rows(texts: list[str], y: np.ndarray, shares: dict[int, int], landmarks: int = 64,
@@ -332,7 +349,9 @@ def fit_rows(texts: list[str], y: np.ndarray, shares: dict[int, int], landmarks:
     project = nystroem @ theta
     feats = np.array([_summary(p @ project + bias, bias) for p in per_doc])
     prior = np.array([shares[v] / total / max(1, (y == v).sum()) for v in y]) * len(y)
-    return ToxicityModel(marks, project, bias, _fit_link(feats, y, prior), shares[1] / total)
+    link = _fit_link(feats, y, prior)
+    _word_cache.cache_clear()
+    return ToxicityModel(marks, project, bias, link, shares[1] / total)
 
 
 def score(text: Column, model: ToxicityModel) -> Column:
