@@ -1,19 +1,23 @@
-"""Repeated passages removed as content-defined chunks of lines.
-
-A rolling hash over each two neighbouring lines marks a chunk boundary wherever
-it is a multiple of ``EVERY``, so equal passages have equal boundaries wherever
-they stand. A chunk goes by the two lines that close it; a line of ``LONG``
-words or more is a wrapped paragraph and a chunk of its own. Where such closing
-lines occur again anywhere, the later occurrence grows on both sides, over up
-to ``REACH`` lines, as long as its lines equal those of the first one: that is
-the repeated chunk, whole, and with what of its neighbours is repeated too.
-Chunks of at least ``LEAST`` words are removed after byte comparison, but for
-the first occurrence in the order of (id, line).
+"""Repeated passages of whole lines removed, all of them that hold ``LEAST`` words.
+
+From every line the shortest run of lines that starts there and holds ``LEAST``
+words goes by the hash of its lines, and so does the shortest that ends there.
+A passage of that many words is covered by those of these runs that lie inside
+it, and they are the same wherever it stands. So whatever its length, each of
+its lines is found, and each run is compared with its own first occurrence in
+the order of (id, line), whatever else a passage shares with other documents.
+Runs that copy one text at one distance are joined and removed after byte
+comparison.
+
+A line has one word more than blanks; in scripts without blanks each Han or kana
+letter, and every four letters of Thai, Lao, Khmer, Burmese or Tibetan, are a
+word more.
 
 Defined results: a null text stays null; an empty text is one empty line;
 repeated rows (same id and text) are one document, and all of them get its
-result; a null id comes first in the order; other columns are passed through
-untouched. No line is lost: the first occurrence of a passage always stays.
+result; a null id comes first in the order; a run that overlaps its own first
+occurrence is no copy; other columns are passed through untouched. No line is
+lost: the first occurrence of a passage always stays.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from concord.llm.rows import fresh, row_key
 from concord.session import cut_lineage
 
-EVERY = 2
-LONG = 20
-REACH = 4
 LEAST = 12
+#: Letters that are a word each, and letters of which four are one.
+LETTERS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+QUARTERS = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: Texts up to this many may be named by a broadcast, after they have been counted.
 BROADCAST_ROWS = 500_000
 
@@ -35,56 +39,58 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG,
-           reach: int = REACH) -> DataFrame:
-    """Closing lines of chunks: row, id, first and last line, two hashes, and the hashes of the lines around."""
-    line = docs.where(F.col(text).isNotNull()).select(
-        row_key(key, text).alias("row"), F.col(key).alias("id"), F.posexplode(_lines(F.col(text))))
-    words = F.char_length("col") - F.char_length(F.replace("col", F.lit(" "))) + 1
-    line = line.select("row", "id", "pos", F.xxhash64("col").alias("h"), (words >= long).alias("long"))
-    # From here on everything stays where its row is.
-    line = line.repartition("row").dropDuplicates(["row", "pos"])
-    order = W.partitionBy("row").orderBy("pos")
-    line = line.withColumns({"other": F.lag("h").over(order)} | {
-        f"b{i}": F.lag("h", i).over(order) for i in range(1, reach + 2)} | {
-        f"a{i}": F.lead("h", i).over(order) for i in range(1, reach + 1)})
-    rolling = F.col("h").bitwiseXOR(F.shiftleft("other", 1))
-    closes = ~F.col("long") & (F.pmod(F.xxhash64(rolling), F.lit(every)) == 0) & F.col("other").isNotNull()
-    size = F.when(F.col("long"), 1).otherwise(2)
-    content = F.when(F.col("long"), F.array("h")).otherwise(F.array("other", "h"))
-    return line.where(F.col("long") | closes).select(
-        "row", "id", (F.col("pos") - size + 1).alias("first"), F.col("pos").alias("last"), F.xxhash64(content).alias("k1"),
-        F.xxhash64(F.lit("second"), content).alias("k2"), F.slice(F.array(*[f"b{i}" for i in range(1, reach + 2)]), size, reach).alias("before"),
-        F.array(*[f"a{i}" for i in range(1, reach + 1)]).alias("after"))
-
-
-def _equal_run(a: Column, b: Column) -> Column:
-    """How many elements two arrays share from their beginnings."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
-
-    def step(acc, x):
-        on = acc["on"] & F.coalesce(x["0"] == x["1"], F.lit(False))
-        return F.struct((acc["n"] + on.cast("int")).alias("n"), on.alias("on"))
-
-    return F.aggregate(F.arrays_zip(a.alias("0"), b.alias("1")), start, step, lambda acc: acc["n"])
+def _words(line: Column) -> Column:
+    """Words of a line, one at least."""
+    unspaced = F.regexp_count(line, F.lit(LETTERS)) + F.floor(F.regexp_count(line, F.lit(QUARTERS)) / 4).cast("int")
+    blanks = F.char_length(line) - F.char_length(F.replace(line, F.lit(" ")))
+    return blanks + 1 + F.when(F.octet_length(line) == F.char_length(line), 0).otherwise(unspaced)
+
+
+def _run(words: Column, least: int) -> Column:
+    """(k, total) of the shortest beginning of an array that adds up to ``least``, or of all of it."""
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("total"))
+    return F.aggregate(words, start, lambda acc, n: F.when(acc["total"] >= least, acc).otherwise(
+        F.struct((acc["k"] + 1).alias("k"), (acc["total"] + n).alias("total"))))
+
+
+def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """Shortest runs of ``least`` words from and to every line: row, id, first and last line, and two hashes."""
+    line = _lines(F.col(text))
+    doc = docs.where(F.col(text).isNotNull()).select(
+        row_key(key, text).alias("row"), F.col(key).alias("id"),
+        F.transform(line, lambda x: F.xxhash64(x)).alias("h"), F.transform(line, _words).alias("n"))
+
+    def onward(n: Column, i: Column) -> Column:
+        run = F.when(n >= least, F.struct(F.lit(1).alias("k"), n.alias("total"))).otherwise(
+            _run(F.slice("n", i + 1, least), least))
+        return F.struct(i.alias("s"), F.when(run["total"] >= least, run["k"]).alias("k"))
+
+    def back(n: Column, i: Column) -> Column:
+        size = F.least(i + 1, F.lit(least))
+        run = F.when(n >= least, F.struct(F.lit(1).alias("k"), n.alias("total"))).otherwise(
+            _run(F.reverse(F.slice("n", i - size + 2, size)), least))
+        # Where the last line is needed, the run has been found from its first line.
+        return F.struct((i - run["k"] + 1).alias("s"), F.when(run["total"] - n >= least, run["k"]).alias("k"))
+
+    found = F.concat(F.transform("n", onward), F.transform("n", back))
+    doc = doc.withColumn("found", F.filter(found, lambda x: x["k"].isNotNull()))
+
+    def named(x: Column) -> Column:
+        content = F.slice("h", x["s"] + 1, x["k"])
+        return F.struct(x["s"].alias("s"), (x["s"] + x["k"] - 1).alias("e"), F.xxhash64(content).alias("k1"),
+                        F.xxhash64(F.lit("second"), content).alias("k2"))
+
+    return doc.select("row", "id", F.inline(F.transform("found", named)))
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """Ranges that copy an earlier one, from every later occurrence of a chunk grown on both sides: row, s, e, o_row, o_s, o_e."""
+    """Ranges that copy an earlier one: row, s, e, o_row, o_s, o_e."""
     found = cut_lineage(found)
     first = found.groupBy("k1", "k2").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "row", "first", "last", "before", "after")).alias("o")).where("n > 1")
-    pair = found.join(first.drop("n"), ["k1", "k2"]).where(
-        (F.col("row") != F.col("o.row")) | (F.col("first") != F.col("o.first")))
-    pair = pair.withColumn("up", _equal_run(F.col("before"), F.col("o.before"))).withColumn(
-        "down", _equal_run(F.col("after"), F.col("o.after")))
-    # Inside one text a copy must not grow into the lines that it is a copy of.
-    room = F.when(F.col("row") == F.col("o.row"), F.col("first") - F.col("o.last") - 1).otherwise(F.lit(1 << 30))
-    up = F.least("up", F.greatest(room, F.lit(0)))
-    down = F.least("down", F.greatest(room - up, F.lit(0)))
-    grown = pair.select(
-        "row", (F.col("first") - up).alias("s"), (F.col("last") + down).alias("e"), F.col("o.row").alias("o_row"),
-        (F.col("first") - F.col("o.first")).alias("shift"))
+        F.count("*").alias("n"), F.min(F.struct("id", "row", "s", "e")).alias("o")).where("n > 1")
+    # Inside one text a copy must not overlap the lines that it is a copy of.
+    pair = found.join(first.drop("n"), ["k1", "k2"]).where((F.col("row") != F.col("o.row")) | (F.col("s") > F.col("o.e")))
+    grown = pair.select("row", "s", "e", F.col("o.row").alias("o_row"), (F.col("s") - F.col("o.s")).alias("shift")).distinct()
     # Ranges that copy one text at one distance and touch are one range.
     so_far = F.max("e").over(W.partitionBy("row", "o_row", "shift").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
     grown = grown.withColumn("opens", F.coalesce(F.col("s") > so_far + 1, F.lit(True)).cast("int")).withColumn(
@@ -114,17 +120,13 @@ def claims(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "
         F.sort_array(F.collect_list(F.struct("s", "e", "part"))).alias("claims"))
 
 
-def without(docs: DataFrame, claimed: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def without(docs: DataFrame, claimed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the claimed ranges that hold the very bytes claimed, with n_lines and n_removed (longer if taken)."""
     # The columns of the input travel as one, so that their names cannot clash with those used here.
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(key, text).alias("row"))
     joined = whole.join(claimed, "row", "left").withColumn("line", _lines(F.col("doc").getField(text)))
 
-    def words(part: Column) -> Column:
-        return F.char_length(part) - F.char_length(F.replace(part, F.lit(" "))) + 1
-
-    sound = F.filter("claims", lambda x: (_part(F.col("line"), x["s"], x["e"]) == x["part"])
-                     & (words(x["part"]) + x["e"] - x["s"] >= least))
+    sound = F.filter("claims", lambda x: _part(F.col("line"), x["s"], x["e"]) == x["part"])
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -147,8 +149,7 @@ def without(docs: DataFrame, claimed: DataFrame, key: str = "doc_id", text: str
         F.when(F.col("walk").isNull(), 0).otherwise(total - F.size("rest")).alias(fresh(docs, "n_removed")))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG,
-                   reach: int = REACH, least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` with repeated passages removed but for their first occurrence, and n_lines and n_removed."""
-    found = repeats(chunks(docs, key, text, every, long, reach))
-    return without(docs, claims(docs, found, key, text), key, text, least)
+    found = repeats(runs(docs, key, text, least))
+    return without(docs, claims(docs, found, key, text), key, text)

@@ -165,6 +165,45 @@ def test_a_passage_repeated_inside_one_text(spark):
     assert out.n_removed >= 6 and out.n_lines == 23
 
 
+def brute_lines(rows, least=12):
+    """Lines left of every text where each run of ``least`` words that stands earlier goes, overlaps with itself apart."""
+    texts = sorted({(d, t) for d, t in rows})
+    first, gone = {}, defaultdict(set)
+    for d, t in texts:
+        line = t.split("\n")
+        for s in range(len(line)):
+            for e in range(s, len(line)):
+                run = tuple(line[s:e + 1])
+                if sum(x.count(" ") + 1 for x in run) < least:
+                    continue
+                o, at = first.setdefault(run, ((d, t), s))
+                if o != (d, t) or s > at + e - s:
+                    gone[d, t].update(range(s, e + 1))
+    return {(d, t): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d, t]) for d, t in texts}
+
+
+def test_every_shared_run_of_twelve_words_goes(spark):
+    draw = random.Random(21)
+    held, n = [], 0
+    for size in (1, 2, 2, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6, 9, 13):
+        for _ in range(4):
+            passage = [prose(draw, draw.choice((1, 2, 4, 7, 9, 11, 14, 19, 25))) for _ in range(size)]
+            for _ in range(3):
+                a, b = ([prose(draw, 3) for _ in range(draw.randint(0, 3))] for _ in range(2))
+                held.append((n, "\n".join(a + passage + b)))
+                n += 1
+    held += [(n, "\n".join(["one"] * 40)), (n + 1, "\n".join(["a b c d e f g", "h i j k l m"] * 4)), (n + 2, "\n" * 30)]
+    got = {(r.doc_id, r.orig): r.text for r in lines.remove_repeats(
+        frame(spark, held).withColumn("orig", F.col("text"))).collect()}
+    assert got == brute_lines(held)
+
+
+def test_passages_in_scripts_without_blanks(spark):
+    passage = "这是一个没有空格的重复段落\nข้อความภาษาไทยที่ไม่มีช่องว่างและยาวพอสมควรสำหรับการทดสอบนี้จริงๆเลยนะครับ"
+    got = lines.remove_repeats(frame(spark, [(1, f"一\n{passage}\nx"), (2, f"二\n{passage}\ny"), (3, "短い\nz"), (4, "短い\nw")])).collect()
+    assert {r.doc_id: r.text for r in got} == {1: f"一\n{passage}\nx", 2: "二\ny", 3: "短い\nz", 4: "短い\nw"}
+
+
 # decontamination -----------------------------------------------------------------------------------------------
 
 
