@@ -204,6 +204,22 @@ def test_passages_in_scripts_without_blanks(spark):
     assert {r.doc_id: r.text for r in got} == {1: f"一\n{passage}\nx", 2: "二\ny", 3: "短い\nz", 4: "短い\nw"}
 
 
+def test_a_passage_goes_though_a_piece_of_it_stands_earlier_elsewhere(spark):
+    draw = random.Random(22)
+    for words in (3, 8):
+        piece = [prose(draw, words) for _ in range(2)]
+        held = []
+        for k in range(40):
+            # The piece stands first with other neighbours, then twice inside the same passage.
+            own = [prose(draw, 6) for _ in range(2)] + piece + [prose(draw, 6) for _ in range(2)]
+            held += [(2 * k + 100, "\n".join([prose(draw, 3), *own, prose(draw, 3)])), (2 * k + 101, "\n".join([prose(draw, 2), *own]))]
+        held.append((1, "\n".join([prose(draw, 5), *piece, prose(draw, 5)])))
+        got = {(r.doc_id, r.orig): r.text for r in lines.remove_repeats(
+            frame(spark, held).withColumn("orig", F.col("text"))).collect()}
+        assert got == brute_lines(held)
+        assert all("\n" not in got[d, t] for d, t in held if d > 100 and d % 2)
+
+
 # decontamination -----------------------------------------------------------------------------------------------
 
 
