@@ -343,7 +343,7 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
 
 
 def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, rep, n, place): the rarest shingles of some documents, as many as an alike set must share one of.
+    """(key, rep, n, place): the rarest shingles of each text of some documents, as many as an alike set must share one of.
 
     Sets of n shingles that are 80 % alike share at least 80 % of n; leaving out
     one fewer than that many of the most frequent, they still share one.
@@ -353,16 +353,20 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in steps(batch["text"].tolist()):
-                sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in batch["text"].iloc[a:b]]
+                texts = batch["text"].iloc[a:b]
+                sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in texts]
+                mark = [int.from_bytes(_class_of(words(t))[:8], "big", signed=True) for t in texts]
                 size = [len(s) for s in sets]
                 yield pd.DataFrame({"rep": np.repeat(batch["doc_id"].to_numpy()[a:b], size),
+                                    "mark": np.repeat(np.array(mark, np.int64), size),
                                     "n": np.repeat(np.array(size, np.int64), size),
                                     "key": np.concatenate(sets) if sets else np.empty(0, np.int64)})
 
-    one = _of(docs, ids, "rep").mapInPandas(run, f"rep {kind}, n long, key long")
-    one = cut_lineage(one)
+    # Repeated rows count once, and each text of a document has places of its own.
+    one = _of(docs, ids, "rep").mapInPandas(run, f"rep {kind}, mark long, n long, key long")
+    one = cut_lineage(one.distinct())
     often = one.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    order = W.partitionBy("rep", "n").orderBy(F.coalesce("often", F.lit(1)), "key")
+    order = W.partitionBy("rep", "mark").orderBy(F.coalesce("often", F.lit(1)), "key")
     ranked = one.join(often, "key", "left").withColumn("place", F.row_number().over(order))
     return ranked.where("often > 1 AND place <= n - ceil(0.8 * n) + 1").select("key", "rep", "n", "place")
 

@@ -102,6 +102,49 @@ def test_near_duplicates_equal_brute_force(spark):
     assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((d, len(shingles(t))) for d, t in rows if d is not None)
 
 
+def test_rare_shingles_count_repeated_rows_once(spark):
+    draw = random.Random(31)
+    vocab = [f"w{i}" for i in range(60)]
+    base = [draw.choice(vocab) for _ in range(50)]
+    rows = []
+    for k in range(24):
+        w = list(base)
+        for _ in range(6):
+            w[draw.randrange(50)] = draw.choice(vocab)
+        rows.append((k % 20, " ".join(w)))
+    as_bytes = F.col("text").cast("binary").alias("text")
+    docs = frame(spark, rows).select("doc_id", as_bytes)
+    ids = docs.select(F.col("doc_id").alias("rep")).distinct()
+    want = {tuple(r) for r in jaccard._rare_shingles(docs, ids).collect()}
+    more = frame(spark, rows + rows[:7] * 9 + [(d, t.upper()) for d, t in rows[5:9]]).select("doc_id", as_bytes)
+    got = jaccard._rare_shingles(more, ids).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    sizes = Counter((d, len(shingles(t))) for d, t in rows)
+    # Every set's places are 1, 2, ... up to its bound, less those of shingles that no other set has.
+    assert all(r.place <= r.n - -(-8 * r.n // 10) + 1 and (r.rep, r.n) in sizes for r in got)
+
+
+def test_repeated_rows_in_a_large_group_of_edited_copies(spark):
+    draw = random.Random(32)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [draw.choice(vocab) for _ in range(90)]
+    rows, n = [], 0
+    for k in range(70):
+        w = list(base)
+        for _ in range(draw.choice((2, 5, 8, 11))):
+            w[draw.randrange(90)] = draw.choice(vocab)
+        for _ in range(draw.choice((1, 1, 3, 8))):
+            rows.append((n, " ".join(w)))
+        if k % 7 == 0:
+            v = list(w)
+            v[draw.randrange(90)] = draw.choice(vocab)
+            rows.append((n, " ".join(v)))
+        n += 1
+    draw.shuffle(rows)
+    got = jaccard.near_duplicates(frame(spark, rows), buckets=3).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(brute_components(rows).items()) and len(got) == len(rows)
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
