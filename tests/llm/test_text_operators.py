@@ -291,6 +291,37 @@ def test_benchmark_items_are_found_through_replaced_words(spark):
     assert decontaminate.clean(df, bench.limit(0)).count() == df.count()
 
 
+def test_parts_of_items_are_found(spark):
+    draw = random.Random(41)
+    items = [(0, prose(draw, 59)), (1, prose(draw, 200)), (2, prose(draw, 51)), (3, prose(draw, 9)), (4, prose(draw, 10)), (5, prose(draw, 70))]
+    w = {i: t.split() for i, t in items}
+    texts, want = [], set()
+
+    def add(i, part, found=True):
+        d = len(texts)
+        texts.append((d, " ".join([prose(draw, 25), *part, prose(draw, 25)])))
+        if found:
+            want.add((d, i))
+
+    add(0, w[0][20:45])
+    add(1, w[1][70:160])
+    add(1, w[1][30:43])
+    add(2, w[2][:17] + ["in", "between"] + w[2][17:34] + ["once", "more"] + w[2][34:])
+    # Twelve equal words stay below the length at which a part counts, unless parts add up to half of the item.
+    add(5, w[5][:12], False)
+    add(5, w[5][:12] + ["x"] + w[5][12:24] + ["y", "z"] + w[5][24:36])
+    add(5, w[5][:12] + [prose(draw, 300)] + w[5][12:24] + [prose(draw, 300)] + w[5][24:36], False)
+    for i in (3, 4):
+        for k in range(len(w[i])):
+            add(i, w[i][:k] + ["changed"] + w[i][k + 1:])
+        add(i, w[i][:7], False)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlaps(frame(spark, texts), bench).collect()
+    assert {(r.key, r.item) for r in got} == want and len(got) == len(want)
+    by = {(r.key, r.item): (r.first_word, r.n_words, r.n_equal) for r in got}
+    assert by[0, 0] == (25, 25, 25) and by[3, 2] == (25, 55, 51)
+
+
 def test_best_overlap():
     a = np.arange(100, 140, dtype=np.uint64)
     text = np.concatenate([np.arange(10, dtype=np.uint64), a[:20], np.array([1, 2], np.uint64), a[22:]])
