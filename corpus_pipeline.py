@@ -8,7 +8,8 @@ columns of ``documents``:
 - ``line_dedup`` removes passages that an earlier document has; ``n_chars``
   follows the text, and a document of which nothing but blanks remains goes.
 - ``near_duplicates`` keeps the document with the smallest id of every group of
-  near-duplicates, and one row (the smallest text) of an id that is repeated.
+  near-duplicates. Each row is judged by its own text; of those kept, one row
+  (the smallest text, nulls last) of an id that is repeated stays.
 - ``decontamination`` drops documents that hold a benchmark item.
 - ``packing`` returns the pieces of what is left with their places in
   sequences of 1024 tokens.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from concord.llm import decontaminate, jaccard, lines, packing, toxicity
 from concord.llm.registry import table
-from concord.llm.rows import fresh
+from concord.llm.rows import fresh, row_key
 from concord.llm.toxicity_query import document_labels
 from concord.session import cut_lineage, shared_folder
 
@@ -56,13 +57,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut_lineage(jaccard.near_duplicates(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(_few(gone), "doc_id", "left_anti")
-    repeated = cut_lineage(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # Every (id, text) is judged by its own class, whatever else stands under its id.
+    row = row_key("doc_id", "text")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(row.alias("row"), "doc_id", "text")
+    found = jaccard.near_duplicates(texts.select(F.col("row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("part")).distinct()
+    member = cut_lineage(found.join(texts.select("row", "doc_id").distinct(), "row"))
+    first = member.groupBy("part").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "row")).alias("first")).where("many > 1")
+    gone = member.join(first, "part").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_gone"))
+    gone = _few(gone)
+    kept = docs.join(gone, F.col("text").isNotNull() & (row == F.col("_gone")), "left_anti")
+    repeated = cut_lineage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    order = W.partitionBy("doc_id").orderBy(
+        F.col("text").asc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
     n = fresh(docs, "n")
     single = kept.join(repeated, "doc_id", "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(single.select(*docs.columns))

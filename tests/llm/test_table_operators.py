@@ -215,6 +215,20 @@ def test_pipeline_stages(spark):
     assert sorted({r.doc_id for r in out.select("doc_id").collect() if r.doc_id is not None}) == sorted(set(kept["decontamination"][1:]))
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    import corpus_pipeline as pipeline
+
+    draw = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 7))) for _ in range(n))
+
+    shared, own, other = prose(40), prose(40), prose(40)
+    rows = [(1, shared), (5, shared), (5, own), (6, None), (6, other), (6, other), (None, shared), (7, None), (8, "")]
+    got = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, shared), (5, own), (6, other), (None, shared), (7, None), (8, "")} and len(got) == 6
+
+
 def test_pipeline_of_no_documents(spark, sf):
     import corpus_pipeline as pipeline
 
