@@ -116,6 +116,18 @@ def parse_records(records: DataFrame) -> DataFrame:
          ).alias("verified"))
 
 
+def proven(parsed: DataFrame) -> DataFrame:
+    """``parsed`` without record_bytes and verified; a record that is not whole or whose digests disagree fails the query.
+
+    The digest's value depends on both, so Spark cannot leave out what they are made from.
+    """
+    block = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    sound = F.col("verified") & (F.col("record_bytes") > block + 2 * len(END))
+    digest = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(
+        F.concat(F.lit("archive record not verified: "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
+    return parsed.withColumn("payload_digest", digest).drop("record_bytes", "verified")
+
+
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"

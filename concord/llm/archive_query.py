@@ -24,4 +24,4 @@ from k join o on k.d = o.d
 def op5_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive.new_folder(spark)
     archive.write_archive(table(spark, sf_dir, "pages"), folder)
-    return archive.parse_records(archive.read_records(spark, folder)).drop("record_bytes", "verified")
+    return archive.proven(archive.parse_records(archive.read_records(spark, folder)))

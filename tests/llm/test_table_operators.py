@@ -56,6 +56,15 @@ def test_archive_round_trip(spark):
         assert f"Content-Length: {len(body)}\r\n" in r.head
 
 
+def test_a_damaged_archive_fails_the_query(spark):
+    folder, records = round_trip(spark, [(1, "u", "a" * 1500), (2, "u", "a" * 1500), (3, "v", "b" * 20)])
+    assert len(archive.proven(archive.parse_records(records)).collect()) == 3
+    for damaged in (records.withColumn("payload", F.expr("cast(concat(cast(payload as string), 'x') as binary)")),
+                    records.withColumn("record", F.substring("record", 1, 10)), records.withColumn("sound", F.lit(False))):
+        with pytest.raises(Exception, match="not verified"):
+            archive.proven(archive.parse_records(damaged)).collect()
+
+
 def test_archive_of_no_rows(spark):
     assert archive.parse_records(round_trip(spark, [])[1]).count() == 0
 
