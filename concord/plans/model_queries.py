@@ -88,14 +88,14 @@ def l3(spark, d):
 
 @query("l4_score_uncertainty")
 def l4(spark, d):
-    fit = latent.fit_latent(_leak_free(spark, d), rounds=5, items=test_items(spark, d))
+    fit = latent.fit_latent(_leak_free(spark, d), items=test_items(spark, d))
     return tidy(fit.items.select("item", "p", "sigma"))
 
 
 @query("l5_objective")
 def l5(spark, d):
     e = evidence(spark, d)
-    return tidy(latent.objective(latent.fit_latent(e, rounds=5), e), 4)
+    return tidy(latent.objective(latent.fit_latent(e), e), 4)
 
 
 @query("l6_save_load_fit")
@@ -103,7 +103,7 @@ def l6(spark, d):
     from concord.plans.table_queries import _scratch
 
     path = _scratch(spark)
-    latent.save_fit(latent.fit_latent(evidence(spark, d), rounds=3), path)
+    latent.save_fit(latent.fit_latent(evidence(spark, d)), path)
     return tidy(latent.load_fit(spark, path).params)
 
 

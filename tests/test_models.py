@@ -266,3 +266,22 @@ def test_votes_score_every_item(spark, sf):
                    vt.fit_latent_multi(votes, rounds=1, items=items)[0]):
         got = {r["item"]: r["score"] for r in scored.collect()}
         assert len(got) == n and got["unvoted"] == 0.5 and all(0 <= s <= 1 for s in got.values())
+
+
+@pytest.mark.parametrize("name", ["l4", "l5", "l6"])
+def test_registered_latent_fits_run_all_rounds(monkeypatch, name):
+    from concord.plans import model_queries, table_queries
+
+    class Seen(Exception):
+        pass
+
+    def fit(*args, **settings):
+        raise Seen(settings)
+
+    for step in ("evidence", "_leak_free", "test_items"):
+        monkeypatch.setattr(model_queries, step, lambda *args: None)
+    monkeypatch.setattr(table_queries, "_scratch", lambda spark: "")
+    monkeypatch.setattr(model_queries.latent, "fit_latent", fit)
+    with pytest.raises(Seen) as seen:
+        getattr(model_queries, name)(None, None)
+    assert not {"rounds", "epochs"} & set(seen.value.args[0])
