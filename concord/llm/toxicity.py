@@ -9,7 +9,8 @@ a document takes its highest sentences.
 Defined results: null and empty texts get the score of a text without any
 match; texts of any length are read whole; words of more than ``BLOCK`` letters
 are compared in consecutive blocks of that many; a label given twice counts as
-toxic if either is; without labels of both classes the score is the share of
+toxic if either is; of an id with several texts the
+smallest is learned from; without labels of both classes the score is the share of
 toxic labels (0 without any). Every input row yields one row, and its other
 columns are left alone.
 """
@@ -37,9 +38,11 @@ BLOCK = 24
 #: Kernel values below this count as zero, which lets most words be passed over early.
 FLOOR = 0.35
 STEP_CHARS = 1_000_000
+#: Characters of distinct words compared in one go, and the most numbers that go holds of one kind.
+WORD_CHARS, CELLS = 250_000, 2_000_000
 PATTERNS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b))
-#: Words a worker remembers before it starts anew.
-KEPT_WORDS = 400_000
+#: Bytes of words and kernel rows that a worker remembers, about, before it starts anew.
+KEPT_BYTES = 48_000_000
 #: Three or more single characters set apart by spaces.
 SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
@@ -95,7 +98,7 @@ def _features(word: str) -> dict[int, float]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _tables(landmarks: tuple[str, ...]) -> _Tables:
     values = np.zeros((LETTERS**3, len(landmarks)), np.float32)
     for j, word in enumerate(landmarks):
@@ -106,8 +109,23 @@ def _tables(landmarks: tuple[str, ...]) -> _Tables:
     return _Tables(values, values.max(axis=1, initial=0.0))
 
 
+def _norms(word: np.ndarray, feature: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
+    """Length of each word's feature vector: the weights of a feature are added up before they are squared."""
+    both = word.astype(np.int64) * LETTERS**3 + feature
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.diff(both, prepend=-1))
+    summed = np.add.reduceat(weight[order].astype(float), first)
+    return np.sqrt(np.bincount(both[first] // LETTERS**3, summed**2, count))
+
+
 def similar_words(text: str, landmarks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and kernel row of every word whose kernel with some landmark may reach FLOOR."""
+    """Start and kernel row of every word whose kernel with some landmark reaches FLOOR.
+
+    Words are first passed over by a bound: a landmark's largest value for each
+    feature, over a length that counts repeated features as if they differed,
+    which is never above the true length. Kernel rows of the others are exact.
+    """
     tables = _tables(landmarks)
     none = np.empty(0, np.int64), np.empty((0, len(landmarks)), np.float32)
     code, start = _encode(text)
@@ -116,34 +134,46 @@ def similar_words(text: str, landmarks: tuple[str, ...]) -> tuple[np.ndarray, np
     word[at[1:]] = 1
     word = np.cumsum(word, dtype=np.int32)
     wide = code.astype(np.int32)
-    near = np.zeros(len(code), np.float32)
+    near, self2 = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
     for a, b, w in PATTERNS:
         n = len(code) - b
         if n <= 0:
             continue
-        value = tables.bound[(wide[:n] * LETTERS + wide[a:a + n]) * LETTERS + wide[b:]]
-        near[:n] += w * value * (word[:n] == word[b:])
-    # The norm of a word is at least the smallest weight of a pattern.
-    total = np.add.reduceat(near, at)
-    picked = np.flatnonzero(total > FLOOR * DECAY ** (SPAN - 3))
+        x, y, z = wide[:n], wide[a:a + n], wide[b:]
+        one = word[:n] == word[b:]
+        near[:n] += w * tables.bound[(x * LETTERS + y) * LETTERS + z] * one
+        self2[:n] += w * w * (one & (x > 0) & (y > 0) & (z > 0))
+    total, low2 = np.add.reduceat(near, at), np.add.reduceat(self2, at)
+    picked = np.flatnonzero((total > 0) & (total * total > 0.999 * FLOOR**2 * low2))
     if not len(picked):
         return none
     ends = np.append(at, len(code))[picked + 1]
     length = ends - at[picked]
     offset = np.cumsum(length) - length
     place = np.repeat(at[picked] - offset, length) + np.arange(length.sum())
-    rows = np.zeros((len(place), len(landmarks)), np.float32)
-    self2 = np.zeros(len(place), np.float32)
+    owner = np.repeat(np.arange(len(picked)), length)
+    parts = []
     for a, b, w in PATTERNS:
         ok = place + b < len(code)
-        p = place[ok]
-        ok[ok] = word[p] == word[p + b]
+        ok[ok] = word[place[ok]] == word[place[ok] + b]
         p = place[ok]
         x, y, z = wide[p], wide[p + a], wide[p + b]
-        rows[ok] += w * tables.values[(x * LETTERS + y) * LETTERS + z]
-        self2[ok] += w * w * ((x > 0) & (y > 0) & (z > 0))
-    norm = np.sqrt(np.maximum(np.add.reduceat(self2, offset), 1e-12))
-    kernel = np.add.reduceat(rows, offset, axis=0) / norm[:, None]
+        whole = (x > 0) & (y > 0) & (z > 0)
+        parts.append((owner[ok][whole], ((x * LETTERS + y) * LETTERS + z)[whole], np.full(int(whole.sum()), w, np.float32)))
+    owner, feature, weight = (np.concatenate(c) for c in zip(*parts))
+    norm = np.maximum(_norms(owner, feature, weight, len(picked)), 1e-6)
+    # Only features of some landmark count; in word order, so many at a time.
+    live = np.flatnonzero(tables.bound[feature] > 0)
+    live = live[np.argsort(owner[live], kind="stable")]
+    owner, feature, weight = owner[live], feature[live], weight[live]
+    kernel = np.zeros((len(picked), len(landmarks)), np.float32)
+    step = max(1, CELLS // max(1, len(landmarks)))
+    for i in range(0, len(owner), step):
+        rows = tables.values[feature[i:i + step]] * weight[i:i + step, None]
+        own = owner[i:i + step]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        kernel[own[first]] += np.add.reduceat(rows, first, axis=0)
+    kernel /= norm[:, None].astype(np.float32)
     kernel[kernel < FLOOR] = 0
     kept = kernel.any(axis=1)
     return at[picked][kept], kernel[kept]
@@ -152,7 +182,7 @@ def similar_words(text: str, landmarks: tuple[str, ...]) -> tuple[np.ndarray, np
 def word_rows(found: list[str], landmarks: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Kernel row of each word that has one; the largest over the blocks of a long word."""
     out: dict[str, np.ndarray] = {}
-    for a, b in steps(found, limit=STEP_CHARS):
+    for a, b in steps(found, limit=WORD_CHARS):
         part = found[a:b]
         at, kernel = similar_words("\n".join(part), landmarks)
         start = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])  # of the white space before each word
@@ -165,19 +195,22 @@ class _Words:
     """Kernel rows of the words met so far in this worker; emptied when it holds too many."""
 
     def __init__(self, landmarks: tuple[str, ...]):
-        self.landmarks, self.seen, self.rows = landmarks, set(), {}
+        self.landmarks, self.seen, self.rows, self.bytes = landmarks, set(), {}, 0
 
     def learn(self, found: set[str]) -> dict[str, np.ndarray]:
-        if len(self.seen) > KEPT_WORDS:
-            self.seen, self.rows = set(), {}
+        if self.bytes > KEPT_BYTES:
+            self.seen, self.rows, self.bytes = set(), {}, 0
         new = [w for w in found if w not in self.seen]
         extra = word_rows(new, self.landmarks)
-        self.seen.update(w for w in new if len(w) <= 64)
+        kept = [w for w in new if len(w) <= 64]
+        self.seen.update(kept)
         self.rows.update((w, r) for w, r in extra.items() if len(w) <= 64)
+        # A string's own header and place in the set, and a row with its header.
+        self.bytes += sum(map(len, kept)) + 100 * len(kept) + (4 * len(self.landmarks) + 200) * len(extra)
         return self.rows | extra if len(extra) and max(map(len, extra)) > 64 else self.rows
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _word_cache(landmarks: tuple[str, ...]) -> _Words:
     return _Words(landmarks)
 
@@ -305,6 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     over all labels.
     """
     known = labels.where(F.col(label).isin(0, 1)).join(docs.select(key), key, "left_semi")
+    known = known.groupBy(key).agg(F.max(label).cast("int").alias(label))
     shares = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     if len(shares) < 2:
         return ToxicityModel((), np.empty(0), 0.0, (0.0, 0.0, 0.0), float(shares.get(1, 0) > 0))
@@ -320,8 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model = fit_rows([t for _, t in rows], np.array([y for y, _ in rows]), shares, landmarks, ridge)
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    # At most 2 * per_class rows, read by one task; the driver gets the small model alone.
+    # One text for each id, so at most 2 * per_class rows, read by one task; the driver gets the small model alone.
     sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(label, "label")), key)
+    sample = sample.groupBy(key, "label").agg(F.min("text").alias("text"))
     return pickle.loads(sample.select("text", "label").repartition(1).mapInPandas(train, "model binary").first()[0])
 
 
@@ -333,7 +368,7 @@ def fit_rows(texts: list[str], y: np.ndarray, shares: dict[int, int], landmarks:
     if not marks:
         return ToxicityModel((), np.empty(0), 0.0, (0.0, 0.0, 0.0), shares[1] / total)
     gram = np.vstack([similar_words(m, marks)[1][:1] for m in marks]).astype(float)
-    size, axes = np.linalg.eigh((gram + gram.T) / 2)
+    size, axes = np.linalg.eigh(gram)
     nystroem = axes / np.sqrt(np.maximum(size, 0.05))
     per_doc = [r for a, b in steps(texts, limit=STEP_CHARS) for r in sentence_rows(texts[a:b], marks)]
     class_weight = {v: 1000.0 / max(1, int((y == v).sum())) for v in (0, 1)}

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -432,6 +433,47 @@ def test_toxicity_tolerates_gaps_and_keeps_clean_texts(spark):
     assert s[1] == s[2] and s[1] < 0.5 and s[3] < 0.5 < s[4] and s[5] < 0.5
 
 
+def plain_kernel(a, b):
+    """The subsequence kernel from its definition: letters of a triple, their span, one weight for each place."""
+    def vector(word):
+        code, out = toxicity._encode(word)[0], Counter()
+        for i, j, k in combinations(range(len(code)), 3):
+            if k - i < toxicity.SPAN and code[i] and code[j] and code[k]:
+                out[code[i], code[j], code[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+    x, y = vector(a), vector(b)
+    size = sum(v * v for v in x.values()) * sum(v * v for v in y.values())
+    return sum(v * y[f] for f, v in x.items()) / size**0.5 if size else 0.0
+
+
+def test_toxicity_kernel_is_the_defined_one():
+    marks = ("grumblor", "fool", "banana", "hahaha", "wuzzock")
+    draw = random.Random(5)
+    found = [*marks, "aaaaaaa", "fooooool", "hahahahaha", "gr-um-blor", "bananarama", "g.r.u.m.b.l.o.r", "x", "-", "1337", "élan"]
+    found += ["".join(draw.choice("fobanhg-") for _ in range(draw.randint(1, toxicity.BLOCK - 1))) for _ in range(3000)]
+    found = list(dict.fromkeys(found))
+    got = toxicity.word_rows(found, marks)
+    for w in found:
+        want = np.array([plain_kernel(w, m) for m in marks])
+        if (abs(want - toxicity.FLOOR) < 1e-4).any():
+            continue
+        want[want < toxicity.FLOOR] = 0
+        assert np.allclose(got.get(w, np.zeros(len(marks))), want, atol=1e-4), w
+    own = toxicity.word_rows(["aaaaaaa", "fooooool", "hahahahaha", "banana"], ("aaaaaaa", "fooooool", "hahahahaha", "banana"))
+    gram = np.vstack(list(own.values()))
+    assert np.allclose(np.diag(gram), 1, atol=1e-5) and np.allclose(gram, gram.T, atol=1e-6)
+
+
+def test_toxicity_kernel_does_not_depend_on_block_sizes(monkeypatch):
+    draw = random.Random(6)
+    found = list({"".join(draw.choice("grumblofs") for _ in range(draw.randint(2, 40))) for _ in range(2000)})
+    want = toxicity.word_rows(found, ("grumblor", "fool"))
+    monkeypatch.setattr(toxicity, "CELLS", 64)
+    monkeypatch.setattr(toxicity, "WORD_CHARS", 500)
+    got = toxicity.word_rows(found, ("grumblor", "fool"))
+    assert got.keys() == want.keys() and all(np.allclose(got[w], want[w], atol=1e-5) for w in want)
+
+
 def test_toxicity_learns_by_id_and_without_classes(spark):
     rows = toxic_corpus(random.Random(9), 80)
     docs = frame(spark, [(d, t) for d, t, _ in rows])
@@ -472,10 +514,39 @@ def test_pieces_and_packing(spark, vocabulary):
     for _, part in out.sort_values("offset").groupby("sequence_id"):
         ends = part["length"].cumsum()
         assert list(part["offset"]) == [0, *ends[:-1]] and ends.iloc[-1] <= 1024
-    assert out.sequence_id.nunique() <= -(-out["length"].sum() // 1024) + 2
+    # Pieces over half a sequence need one each, and the tokens need as many as they fill.
+    least = max(-(-out["length"].sum() // 1024), int((out["length"] > 512).sum()))
+    assert out.sequence_id.nunique() <= least + 2
     assert packing.pack_documents(frame(spark, []), vocabulary).count() == 0
 
 
+def fewest(lengths, room):
+    """The fewest sequences for these pieces, by trying every place for each in turn."""
+    best = [len(lengths)]
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(free)
+            return
+        for j in range(len(free)):
+            if free[j] >= lengths[i] and free[j] not in free[:j]:
+                place(i + 1, [*free[:j], free[j] - lengths[i], *free[j + 1:]])
+        place(i + 1, [*free, room - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_is_near_the_fewest_sequences_by_brute_force():
+    draw = random.Random(3)
+    for _ in range(25):
+        lengths = sorted((draw.choice((draw.randint(1, 1024), draw.randint(300, 520))) for _ in range(9)), reverse=True)
+        got = max(first + -(-places // each) for _, _, places, each, first, _ in packing.plan(dict(Counter(lengths))))
+        assert got <= fewest(lengths, 1024) + 1
+
+
 def test_plan_places_every_piece_once_and_packs_well():
     draw = np.random.default_rng(1)
     for scale in (1, 50, 100_000):
@@ -492,3 +563,11 @@ def test_plan_places_every_piece_once_and_packs_well():
         assert used <= tokens / 1024 * 1.01 + 2
 
 
+
+
+def test_toxicity_reads_one_text_of_a_repeated_id(spark):
+    rows = toxic_corpus(random.Random(9), 80)
+    docs = frame(spark, [(d, t) for d, t, _ in rows] + [(0, rows[0][1])] * 300)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(0, rows[0][2])] * 50, "doc_id long, label int")
+    many, once = toxicity.fit(docs, labels), toxicity.fit(frame(spark, [(d, t) for d, t, _ in rows]), labels.distinct())
+    assert many.landmarks == once.landmarks and np.allclose(many.link, once.link)
