@@ -59,6 +59,8 @@ SMALL_SKETCH = 16
 #: Ids up to this many may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SKETCH = [f"z{i}" for i in range(SMALL_SKETCH)]
+#: Bits of a key that are compared inside a bucket: 42 of its word's and the band. More candidates may meet, never fewer.
+KEPT_BITS = np.uint64((1 << 48) - 1)
 _PLACE, _BAND, _EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -191,31 +193,52 @@ def _packed_keys(docs: DataFrame, buckets: int) -> DataFrame:
                         if cls not in sets:
                             sets[cls] = shingle_set(t, SHINGLE)
                 keys = keys_of(np.array(list(sets), np.int64), list(sets.values()))
-                # Keys stay in the order of their classes, which compresses well.
-                bucket = ((keys["key"].to_numpy() >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                key = keys["key"].to_numpy()
+                bucket = ((key >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64)
+                # In a bucket, whose size does not grow with the input, fewer bits tell words apart.
+                key = key & KEPT_BITS
+                order = np.lexsort((key, bucket))
                 cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                packed = {name: keys[name].to_numpy()[order] for name in keys}
+                packed = {"key": key} | {name: keys[name].to_numpy() for name in ("cls", "n", "e")}
                 yield pd.DataFrame({"bucket": bucket[order][cut].astype(np.int32)} | {
-                    name: [x.tobytes() for x in np.split(value, cut[1:])] if len(cut) else []
+                    name: [_narrow(x, name) for x in np.split(value[order], cut[1:])] if len(cut) else []
                     for name, value in packed.items()})
 
     return docs.select("text").mapInPandas(run, "bucket int, key binary, cls binary, n binary, e binary")
 
 
+def _narrow(values: np.ndarray, name: str) -> bytes:
+    """Numbers without the high bytes that all of them lack; the first byte tells how many bytes are left."""
+    wide = np.ascontiguousarray(values).astype("<u8") if name != "cls" else np.ascontiguousarray(values).view("<u8")
+    parts = wide.view(np.uint8).reshape(-1, 8)
+    kept = 8 if name == "cls" else max(1, 8 - int((parts.max(axis=0, initial=0)[::-1] == 0).argmin()))
+    # Bytes of one place stand together, which compresses best.
+    return bytes([kept]) + parts[:, :kept].T.tobytes()
+
+
+def _widened(packed: list[bytes]) -> np.ndarray:
+    out = []
+    for data in packed:
+        kept = data[0]
+        parts = np.zeros(((len(data) - 1) // kept, 8), np.uint8)
+        parts[:, :kept] = np.frombuffer(data, np.uint8, offset=1).reshape(kept, -1).T
+        out.append(parts.view("<u8")[:, 0])
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 MET = pa.schema([(name, pa.int64()) for name in ("a", "b", "band", "need", "c", "key")] + [
     (name, pa.list_(pa.int64())) for name in ("members", "limits")])
 
 
 def _meet(batch: pa.Table) -> pa.Table:
     """Pairs of classes that share keys of one bucket, and the members of its large groups."""
-    read = {name: np.frombuffer(b"".join(batch[name].to_pylist()), dtype=kind)
-            for name, kind in (("key", np.uint64), ("cls", np.int64), ("n", np.int32), ("e", np.int32))}
+    read = {name: _widened(batch[name].to_pylist()).view(kind)
+            for name, kind in (("key", np.uint64), ("cls", np.int64), ("n", np.int64), ("e", np.int64))}
     order = np.lexsort((read["cls"], read["key"]))
     key, cls = read["key"][order], read["cls"][order]
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls, n, e = key[first], cls[first], read["n"][order][first].astype(np.int64), read["e"][order][first]
+    key, cls, n, e = key[first], cls[first], read["n"][order][first], read["e"][order][first]
     start = np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.empty(0, np.int64)
     length = np.diff(np.append(start, len(key)))
     group = np.repeat(length, length)
@@ -330,7 +353,11 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
     # large groups that these may be all they share with an alike set.
     known = components(links)
     rest = _placed(_placed(pairs, known, "a", "pa"), known, "b", "pb").where("pa <> pb").select("a", "b")
-    busy = _mixed(member.where("large >= lim").select("key", "rep", "n"), known).select("rep").distinct()
+    # Such sets share at least lim of their large groups, so they meet in one even if each counts
+    # only the first of its groups in the order of the keys, lim - 1 fewer than it has.
+    place = F.row_number().over(W.partitionBy("cls", "band").orderBy("key"))
+    first_groups = member.where("large >= lim").withColumn("place", place).where("place <= large - lim + 1")
+    busy = _mixed(first_groups.select("key", "rep", "n"), known).select("rep").distinct()
     rare = _mixed(_rare_shingles(docs, cut_lineage(busy)), known)
     others = rare.join(_main_part(rare), "key").where("part <> main").select(
         "key", F.col("rep").alias("o"), F.col("part").alias("op"), F.col("n").alias("o_n"), F.col("place").alias("o_place"))
@@ -350,21 +377,26 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            mark = [int.from_bytes(_class_of(words(t))[:8], "big", signed=True) for t in batch["text"]]
+            yield pd.DataFrame({"rep": batch["doc_id"], "mark": np.array(mark, np.int64), "text": batch["text"]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in steps(batch["text"].tolist()):
-                texts = batch["text"].iloc[a:b]
-                sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in texts]
-                mark = [int.from_bytes(_class_of(words(t))[:8], "big", signed=True) for t in texts]
+                part = batch.iloc[a:b]
+                sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in part["text"]]
                 size = [len(s) for s in sets]
-                yield pd.DataFrame({"rep": np.repeat(batch["doc_id"].to_numpy()[a:b], size),
-                                    "mark": np.repeat(np.array(mark, np.int64), size),
+                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), size),
+                                    "mark": np.repeat(part["mark"].to_numpy(), size),
                                     "n": np.repeat(np.array(size, np.int64), size),
                                     "key": np.concatenate(sets) if sets else np.empty(0, np.int64)})
 
     # Repeated rows count once, and each text of a document has places of its own.
-    one = _of(docs, ids, "rep").mapInPandas(run, f"rep {kind}, mark long, n long, key long")
-    one = cut_lineage(one.distinct())
+    texts = _of(docs, ids, "rep").mapInPandas(marked, f"rep {kind}, mark long, text binary")
+    texts = cut_lineage(texts.groupBy("rep", "mark").agg(F.min("text").alias("text")))
+    one = texts.mapInPandas(run, f"rep {kind}, mark long, n long, key long")
     often = one.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     order = W.partitionBy("rep", "mark").orderBy(F.coalesce("often", F.lit(1)), "key")
     ranked = one.join(often, "key", "left").withColumn("place", F.row_number().over(order))
