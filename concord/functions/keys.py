@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def identity_keys(df: DataFrame, text: str, fine: Column, coarse: Column) -> DataFrame:
@@ -111,3 +113,51 @@ def hashed_features(df: DataFrame, text: str, n: int = 2048, width: int = 4) ->
     )
     made = HashingTF(inputCol="_shingles", outputCol="features", numFeatures=n, binary=True).transform(shingled)
     return made.drop("_tidy", "_letters", "_shingles")
+
+
+def bit_positions(text: Column, n: int = 2048, width: int = 4) -> Column:
+    """Positions of a text's character shingles, by the first 8 hex digits of their md5 modulo ``n``.
+
+    Case and runs of white space do not count; a text shorter than ``width`` is
+    one shingle. Characters are taken apart once, so the work grows with the
+    length alone.
+    """
+    tidy = F.lower(F.regexp_replace(F.trim(text), "[ \\t\\n\\r\\f]+", " "))
+    letters = F.regexp_extract_all(tidy, F.lit("(?s)."), F.lit(0))
+    starts = lambda c: F.sequence(F.lit(1), F.greatest(F.size(c) - (width - 1), F.lit(1)))
+    shingles = F.transform(F.array(letters), lambda c: F.transform(
+        starts(c), lambda i: F.array_join(F.slice(c, i, width), "")))[0]
+    place = lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long") % n
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(shingles), lambda x: place(x).cast("int"))))
+
+
+def packed_bits(df: DataFrame, positions: Column, n: int, out: str = "bits") -> DataFrame:
+    """``df`` with positions as ``n`` packed bits, the lowest bit of a byte first; a null list has none set."""
+    width = -(-n // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for found in batch[out]:
+                bits = np.zeros(8 * width, np.uint8)
+                if found.is_valid:
+                    bits[found.values.to_numpy(zero_copy_only=False)] = 1
+                made.append(np.packbits(bits, bitorder="little").tobytes())
+            yield batch.set_column(batch.schema.get_field_index(out), out, pa.array(made, pa.binary()))
+
+    rows = df.withColumn(out, positions)
+    schema = T.StructType([f if f.name != out else T.StructField(out, T.BinaryType()) for f in rows.schema.fields])
+    return rows.mapInArrow(run, schema)
+
+
+def hashed_bits(df: DataFrame, text: str, n: int = 2048, width: int = 4, out: str = "bits") -> DataFrame:
+    """``df`` with the packed bits of a text's shingles; a null text has none set."""
+    return packed_bits(df, bit_positions(F.col(text), n, width), n, out)
+
+
+def vector_bits(df: DataFrame, vector: str, n: int, out: str = "bits") -> DataFrame:
+    """``df`` with the places of an ``ml`` vector that are not zero as packed bits, instead of the vector."""
+    v = F.unwrap_udt(vector)
+    places = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    set_ones = F.filter(F.arrays_zip(places.alias("i"), v["values"].alias("x")), lambda s: s["x"] != 0)
+    return packed_bits(df.withColumn(vector, F.transform(set_ones, lambda s: s["i"])), F.col(vector), n, out).drop(vector)

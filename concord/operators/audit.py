@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from concord.functions.tails import sign_test
+from concord.operators.ranking import carried, running_sums, spread_buckets
 
 MODES = ("first", "majority")
 FILTERS = ("all", "consistent")
@@ -178,6 +179,33 @@ def holm_adjust(df: DataFrame, p: str, family: Sequence[str] = (), tie: Sequence
     )
 
 
+def _by_value(df: DataFrame, p: str, family: Sequence[str]) -> DataFrame:
+    """Distinct p values of each family with how many tests have one and how many have one up to it."""
+    g = df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("c"))
+    return running_sums(spread_buckets(g, p, family), [F.col(p)], ["c"], family)
+
+
+def bh_adjust_large(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "q") -> DataFrame:
+    """Benjamini-Hochberg q in families of any size: as ``bh_adjust``, with suffix minima carried across value ranges.
+
+    A null p has no q and does not count in its family.
+    """
+    family = list(family)
+    raw = _by_value(df, p, family).withColumn("_raw", F.col(p) * F.col("all_c") / F.col("cum_c"))
+    low = carried(raw, [F.col(p).desc()], "_raw", family, F.min, True, "_q")
+    q = low.select(*family, p, F.least(F.lit(1.0), "_q").alias(out))
+    return df.join(q, [*family, p], "left").select(*df.columns, out)
+
+
+def holm_adjust_large(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_holm") -> DataFrame:
+    """Holm's adjusted p in families of any size: as ``holm_adjust``, with prefix maxima carried across value ranges."""
+    family = list(family)
+    first = F.col("all_c") - (F.col("cum_c") - F.col("c"))
+    raw = _by_value(df, p, family).withColumn("_raw", F.least(F.lit(1.0), first * F.col(p)))
+    high = carried(raw, [F.col(p).asc()], "_raw", family, F.max, False, out)
+    return df.join(high.select(*family, p, out), [*family, p], "left").select(*df.columns, out)
+
+
 def divergence_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """First-label divergence of the overlap, both directions, with its p."""
     from concord.operators.joins import overlap

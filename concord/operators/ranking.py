@@ -17,7 +17,8 @@ from concord.functions.columns import hash_hex
 #: Rows (or distinct values) that one bucket is meant to hold.
 BUCKET_ROWS = 16384
 FIRST_BUCKETS = 4096
-SECOND_BUCKETS = 1 << 20
+SECOND_BITS = 20
+SECOND_BUCKETS = 1 << SECOND_BITS
 
 
 def _squashed(value: Column) -> Column:
@@ -80,14 +81,26 @@ def spread_buckets(df: DataFrame, value: str, by: Sequence[str] = (), rows: int
 
 
 def _offsets(totals: DataFrame, by: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
-    order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    """Sums before each bucket and over the whole group, in two levels so that no window holds all buckets.
+
+    Buckets that are texts are digits of a hash; those that begin alike stand
+    together. Numbered buckets stand together by their leading part.
+    """
+    text = dict(totals.dtypes)["_bucket"] == "string"
+    top = F.substring("_bucket", 1, 3) if text else F.shiftright("_bucket", SECOND_BITS)
+    ready = totals.withColumn("_top", top)
+    order = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    upper = ready.groupBy(*by, "_top").agg(*[F.sum(c).alias(c) for c in sums])
+    before = W.partitionBy(*by).orderBy(order("_top")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
-    return totals.select(
-        *by, "_bucket",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
-        *[F.sum(c).over(whole).alias(f"_all_{c}") for c in sums],
-    )
+    upper = upper.select(
+        *by, "_top", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_top_{c}") for c in sums],
+        *[F.sum(c).over(whole).alias(f"_all_{c}") for c in sums])
+    inside = W.partitionBy(*by, "_top").orderBy(order("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    lower = ready.select(*by, "_top", "_bucket", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums])
+    return lower.join(upper, [*by, "_top"]).select(
+        *by, "_bucket", *[(F.col(f"_top_{c}") + F.col(f"_in_{c}")).alias(f"_before_{c}") for c in sums],
+        *[f"_all_{c}" for c in sums])
 
 
 def running_sums(
@@ -143,14 +156,31 @@ def ordered_running(df: DataFrame, value: str, tie: Sequence[str], sums: Sequenc
     )
 
 
+def with_hash_bucket(df: DataFrame, hashed: str, by: Sequence[str] = (), rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``_bucket``: as many leading digits of a hash as leave about ``rows`` rows, per group.
+
+    Hashes are even, so every group gets the depth its own count asks for and
+    no bucket grows with the table.
+    """
+    by = list(by)
+    one = df if by else df.withColumn("_every", F.lit(0))
+    keys = by or ["_every"]
+    digits = F.least(F.lit(12), F.greatest(F.lit(1), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(float(rows))) / 4.0))).cast("int")
+    # Groups that one bucket holds need no count to tell them so.
+    deep = one.groupBy(*keys).agg(digits.alias("_digits"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 16 * rows)
+    deep = deep.drop("_rows") if by else F.broadcast(deep.drop("_rows"))  # without groups it is one row
+    out = one.join(deep, keys, "left").withColumn("_bucket", F.expr(f"substring({hashed}, 1, coalesce(_digits, 1))"))
+    return out.select(*df.columns, "_bucket")
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Add ``rank`` (1..n) in a repeatable shuffled order, and ``n``.
 
-    The order is md5 of seed and keys, whose leading digits are even buckets
-    by construction, so no bucket grows faster than the table / 4096.
+    The order is md5 of seed and keys, whose leading digits are even buckets by
+    construction; there are as many as the rows ask for.
     """
-    h = hash_hex(seed, *keys)
-    ready = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, 3)).withColumn("_one", F.lit(1))
+    ready = df.withColumn("_h", hash_hex(seed, *keys)).withColumn("_one", F.lit(1))
+    ready = with_hash_bucket(ready, "_h", by)
     out = running_sums(ready, [F.col("_h"), *[F.col(k) for k in keys]], ["_one"], by)
     return out.withColumnsRenamed({"cum__one": "rank", "all__one": "n"}).drop("_h", "_bucket", "_one")
 
@@ -199,3 +229,23 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequ
     part = lambda i: F.max(F.when(F.col("s.i") == i, F.col("s.part")))
     edges = [at(i, 0) + (at(i, 1) - at(i, 0)) * part(i) for i in range(len(shares))]
     return hits.groupBy(*by).agg(F.array(*edges).alias("edges"))
+
+
+def carried(df: DataFrame, order: Sequence[Column], value: str, by: Sequence[str], take, descending: bool, out: str) -> DataFrame:
+    """Add ``out``: ``take`` (``F.min`` or ``F.max``) of ``value`` over the rows up to and with each one.
+
+    ``df`` carries ``_bucket`` like ``running_sums``. What earlier buckets hold is
+    carried in two levels, so no window sees a whole group.
+    """
+    by = list(by)
+    direction = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    ready = df.withColumn("_top", F.shiftright("_bucket", SECOND_BITS))
+    lower = ready.groupBy(*by, "_top", "_bucket").agg(take(value).alias("_v"))
+    upper = lower.groupBy(*by, "_top").agg(take("_v").alias("_v"))
+    past = lambda part, c: W.partitionBy(*part).orderBy(direction(c)).rowsBetween(W.unboundedPreceding, -1)
+    upper = upper.select(*by, "_top", take("_v").over(past(by, "_top")).alias("_above"))
+    lower = lower.select(*by, "_top", "_bucket", take("_v").over(past([*by, "_top"], "_bucket")).alias("_beside"))
+    seen = lower.join(upper, [*by, "_top"]).select(*by, "_bucket", "_above", "_beside")
+    inner = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = F.least if take is F.min else F.greatest
+    return df.join(seen, [*by, "_bucket"]).select(*df.columns, both("_above", "_beside", take(value).over(inner)).alias(out))

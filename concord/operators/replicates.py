@@ -1,13 +1,16 @@
 """Many replicates at once: rows carry a vector of replicate weights.
 
 Instead of one row per draw, each scored row travels once per chunk of
-replicates with its weights in that chunk packed as bytes. Spark partitions
-rows by hash blocks to draw the weights and by score ranges to sum them; numpy
-only multiplies small matrices inside a task.
-
-Drawing n rows with replacement is a multinomial sample. It is taken in two
-steps, totals per block first (the same in every task), then rows inside a
-block, so no draw is shuffled and the sample is exact.
+replicates with its weights in that chunk packed to bits, halves of bytes or
+bytes. Spark partitions rows by hash blocks to draw the weights and by score
+ranges to sum them; numpy only multiplies small matrices inside a task.
+
+Drawing n rows with replacement is a multinomial sample. Blocks are the leaves
+of a binary tree over the rows' hashes. How many of a node's draws go to its
+left half is a binomial number that follows from the seed and the node's place,
+so a block finds its share from the row counts along its own path, a table that
+Spark joins to it. No draw is shuffled, no task or driver sees all blocks, and
+the sample is exact and does not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from concord.functions.columns import hash_hex
 from concord.operators.ranking import BUCKET_ROWS, bucket_spans, with_bucket
+from concord.session import cut_lineage, dealt
 
 CHUNK = 125
 ROWS_PER_BLOCK = 4096
-#: Blocks whose totals are drawn together.
-RUN = 512
+#: Bits of the hash that blocks may use; far more than any table needs.
+HASH_BITS = 48
 BINS = 10
 
 
@@ -33,22 +37,34 @@ def _seed(seed: int, group: tuple, *more: int) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(repr(group).encode()), *more])
 
 
-WIDTHS = ((1, "<u1"), (2, "<u2"), (4, "<u4"))
+#: How weights are packed: bits per weight, and the largest weight that fits.
+WIDTHS = ((1, 1), (4, 15), (8, 255), (16, 65535), (32, 2**32 - 1))
 
 
-def _pack(w: np.ndarray) -> list[bytes]:
-    """Rows of counts as bytes, one per count unless a count needs two or four."""
-    top = int(w.max()) if w.size else 0
-    kind = next(k for width, k in WIDTHS if top < 256**width)
-    return [row.tobytes() for row in np.ascontiguousarray(w.astype(kind))]
+def pack_weights(w: np.ndarray) -> bytes:
+    """A matrix of counts, rows by replicates, behind one byte that tells the bits per count."""
+    top = int(w.max(initial=0))
+    bits = next(k for k, most in WIDTHS if top <= most)
+    if bits == 1:
+        body = np.packbits(w.astype(np.uint8), axis=1)
+    elif bits == 4:
+        even = np.zeros((len(w), w.shape[1] + w.shape[1] % 2), np.uint8)
+        even[:, :w.shape[1]] = w
+        body = even[:, ::2] << 4 | even[:, 1::2]
+    else:
+        body = np.ascontiguousarray(w).astype(f"<u{bits // 8}")
+    return bytes([bits]) + body.tobytes()
 
 
-def _unpack(packed: pd.Series, reps: int) -> np.ndarray:
-    kinds = {width * reps: k for width, k in WIDTHS}
-    lengths = {len(b) for b in packed}
-    if len(lengths) == 1:
-        return np.frombuffer(b"".join(packed), dtype=kinds[lengths.pop()]).reshape(-1, reps)
-    return np.stack([np.frombuffer(b, dtype=kinds[len(b)]).astype(np.uint32) for b in packed])
+def unpack_weights(packed: bytes, reps: int) -> np.ndarray:
+    bits = packed[0]
+    if bits == 1:
+        flat = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, -(-reps // 8))
+        return np.unpackbits(flat, axis=1)[:, :reps]
+    if bits == 4:
+        flat = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, -(-reps // 2))
+        return np.stack([flat >> 4, flat & 15], axis=2).reshape(len(flat), -1)[:, :reps]
+    return np.frombuffer(packed, f"<u{bits // 8}", offset=1).reshape(-1, reps)
 
 
 def _merged(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -68,28 +84,49 @@ def complete(wide: DataFrame, keep: Sequence[str], arms: Sequence[str], y: str)
     return rows
 
 
-def _spread(rows: DataFrame, item: str, by: Sequence[str]) -> tuple[DataFrame, dict]:
-    """Assign hash blocks, and count each group's blocks: one number for 4096 rows."""
+def hash_blocks(rows: DataFrame, keys: Sequence[str], by: Sequence[str], size: int = ROWS_PER_BLOCK,
+                count: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_blk``, and one row per block with the units along its path.
+
+    A group of n rows has the smallest power of two of blocks that leaves about
+    ``size`` rows each. ``left`` and ``right`` list for every level the units in
+    both halves; the block's own bits tell which half it is in. A row is one
+    unit, or as many as its ``count`` says.
+    """
+    units = F.col(count) if count else F.lit(1)
     by = list(by)
     one = rows if by else rows.withColumn("_all", F.lit(0))
-    keys = by or ["_all"]
-    blocks = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(ROWS_PER_BLOCK))).alias("_blocks"))
-    hashed = F.conv(F.substring(hash_hex(0, item), 1, 12), 16, 10).cast("long")
-    marked = one.join(blocks, keys).withColumn("_blk", (hashed % F.col("_blocks")).cast("int"))
-    per: dict[tuple, np.ndarray] = {}
-    for r in marked.groupBy(*keys, "_blocks", "_blk").agg(F.count(F.lit(1)).alias("c")).collect():
-        group = tuple(r[c] for c in by)
-        per.setdefault(group, np.zeros(r["_blocks"], dtype=np.int64))[r["_blk"]] = r["c"]
-    return marked.select(*rows.columns, "_blk"), per
-
-
-def block_share(total: np.ndarray, block: int, n: int, *seed) -> np.ndarray:
-    """How many of all rows each of ``n`` replicates draws from one block, the same in every task."""
-    runs = np.add.reduceat(total, np.arange(0, len(total), RUN))
-    run = block // RUN
-    own = total[run * RUN:(run + 1) * RUN]
-    share = _seed(*seed).multinomial(total.sum(), runs / total.sum(), size=n)[:, run]
-    return _seed(*seed, run + 1).multinomial(share, own / own.sum())[:, block % RUN]
+    on = by or ["_all"]
+    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(float(size))))).cast("int")
+    deep = one.groupBy(*on).agg(depth.alias("_depth"), F.sum(units).alias("_total"))
+    h = F.conv(F.substring(hash_hex(0, *keys), 1, HASH_BITS // 4), 16, 10).cast("long")
+    marked = one.join(deep, on).withColumn("_blk", F.call_function("shiftright", h, HASH_BITS - F.col("_depth")))
+    leaves = marked.groupBy(*on, "_depth", "_total", "_blk").agg(F.sum(units).alias("_n"))
+    levels = F.expr("transform(sequence(1, greatest(_depth, 1)), l -> named_struct('level', l, 'node', shiftright(_blk, _depth - l)))")
+    steps = leaves.select(*on, "_depth", "_total", "_blk", "_n", F.explode(levels).alias("s")).select(
+        *on, "_depth", "_total", "_blk", "_n", "s.level", "s.node")
+    nodes = steps.groupBy(*on, "level", "node").agg(F.sum("_n").alias("rows"))
+    beside = nodes.select(*on, "level", F.col("node").bitwiseXOR(1).alias("node"), F.col("rows").alias("other"))
+    both = steps.join(nodes, [*on, "level", "node"]).join(beside, [*on, "level", "node"], "left").withColumn(
+        "other", F.coalesce("other", F.lit(0)))
+    left = F.when(F.col("node") % 2 == 0, F.col("rows")).otherwise(F.col("other"))
+    path = F.sort_array(F.collect_list(F.struct("level", left.alias("left"), (F.col("rows") + F.col("other") - left).alias("right"))))
+    blocks = both.groupBy(*on, "_depth", "_total", "_blk").agg(path.alias("path"))
+    # Names of their own, so that both sides can be grouped together.
+    return marked.select(*rows.columns, "_blk"), blocks.select(
+        *[F.col(c).alias(c) for c in [*by, "_blk"]], F.col("_depth").alias("depth"), F.col("_total").alias("total"),
+        F.col("path.left").alias("left"), F.col("path.right").alias("right"))
+
+
+def block_share(block: int, depth: int, total: int, left: Sequence[int], right: Sequence[int], n: int, *seed) -> np.ndarray:
+    """How many of ``total`` draws each of ``n`` replicates makes in one block, the same in every task."""
+    draws = np.full(n, total, np.int64)
+    for level in range(depth):
+        # The node above the step: its leading bits say where it stands.
+        rng = _seed(*seed, 1 + level, block >> (depth - level))
+        to_left = rng.binomial(draws, left[level] / (left[level] + right[level]))
+        draws = to_left if not block >> (depth - 1 - level) & 1 else draws - to_left
+    return draws
 
 
 def _plain(group) -> tuple:
@@ -98,53 +135,79 @@ def _plain(group) -> tuple:
 
 def _schema(df: DataFrame, by: Sequence[str]) -> str:
     types = dict(df.dtypes)
-    return "".join(f"`{c}` {types[c]}, " for c in by) + "arm string, chunk int, score double, y int, copies int, w binary"
+    return "".join(f"`{c}` {types[c]}, " for c in by) + (
+        "arm string, chunk int, _range long, score binary, y binary, copies binary, w binary")
 
 
-def _score_spans(rows: DataFrame, by: Sequence[str], sides: Sequence[tuple[str, Sequence[str]]], size: int) -> tuple:
-    """Score buckets of each arm (or of both arms of a pair) from the rows themselves."""
+def _ranged(rows: DataFrame, by: Sequence[str], sides: Sequence[tuple[str, Sequence[str]]], size: int) -> DataFrame:
+    """Rows with the score range of every arm (or of both arms of a pair) as ``_r_<side>_<arm>``.
+
+    Ranges are found and joined here, before weights make the rows long.
+    """
     long = F.explode(F.array(*[F.struct(F.lit(name).alias("arm"), F.col(a).alias("score")) for name, own in sides for a in own]))
-    return bucket_spans(rows.select(*by, long.alias("_s")).select(*by, "_s.*"), "score", [*by, "arm"], size)
+    # Read several times from here on, so written once.
+    rows = cut_lineage(rows)
+    first, second, limit = bucket_spans(rows.select(*by, long.alias("_s")).select(*by, "_s.*"), "score", [*by, "arm"], size)
+    first, second = cut_lineage(first), cut_lineage(second)
+    for i, (name, own) in enumerate(sides):
+        spans = tuple(t.where(F.col("arm") == name).drop("arm") for t in (first, second))
+        if not by:
+            spans = tuple(t.withColumn("_all", F.lit(0)) for t in spans)
+        for j, a in enumerate(own):
+            rows = with_bucket(rows, (*spans, limit), a, by, f"_r_{i}_{j}")
+    return cut_lineage(rows)
+
+
+def _packed(by: Sequence[str], key, arm: str, chunk: int, ranges: np.ndarray, score: np.ndarray, label: np.ndarray,
+            w: np.ndarray) -> pd.DataFrame:
+    """One row for every score range of a block, with its scores, labels, copies and weights as packed arrays."""
+    order = np.argsort(ranges, kind="stable")
+    cut = np.flatnonzero(np.diff(ranges[order], prepend=-1))
+    made = []
+    for part in np.split(order, cut[1:]) if len(order) else []:
+        s, y, copies, merged = _merged(score[part], label[part], w[part])
+        made.append((int(ranges[part[0]]), s.astype("<f8").tobytes(), y.astype(np.uint8).tobytes(),
+                     copies.astype("<u4").tobytes(), pack_weights(merged)))
+    out = pd.DataFrame(made, columns=["_range", "score", "y", "copies", "w"])
+    out.insert(0, "chunk", chunk)
+    out.insert(0, "arm", arm)
+    for i, c in enumerate(by):
+        out.insert(i, c, key[i])
+    return out
 
 
 def bootstrap_weights(wide: DataFrame, item: str, arms: Sequence[str], n_boot: int, seed: int,
                       by: Sequence[str] = (), y: str = "gold", first: int = 0,
-                      range_rows: int = BUCKET_ROWS) -> tuple[DataFrame, tuple]:
-    """Rows (by, arm, chunk, score, y, w) of a bootstrap, and the scores' buckets.
+                      range_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Packed rows (by, arm, chunk, _range, score, y, copies, w) of a bootstrap.
 
     ``first`` leaves out the chunks before it: later ones continue the same series of draws.
     """
     by, arms = list(by), list(arms)
     chunks = -(-n_boot // CHUNK)
-    rows = complete(wide, [*by, item], arms, y)
-    spread, sizes = _spread(rows, item, by)
+    rows = _ranged(complete(wide, [*by, item], arms, y), by, [(a, [a]) for a in arms], range_rows)
+    spread, blocks = hash_blocks(rows, [item], by)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         group, block = _plain(key[:-1]), int(key[-1])
-        pdf = pdf.sort_values(item)
-        total = sizes[group]
+        pdf, p = pdf.sort_values(item), path.iloc[0]
         even = np.full(len(pdf), 1.0 / len(pdf))
-        out = []
+        label, out = pdf[y].to_numpy(), []
         for chunk in range(first, chunks):
             n = min(CHUNK, n_boot - chunk * CHUNK)
-            share = block_share(total, block, n, seed, group, chunk)
-            w = _seed(seed, group, chunk, 0, block + 1).multinomial(share, even).T
-            for arm in arms:
-                s, label, copies, merged = _merged(pdf[arm].to_numpy(), pdf[y].to_numpy(), w)
-                part = pd.DataFrame({"arm": arm, "chunk": chunk, "score": s, "y": label, "copies": copies, "w": _pack(merged)})
-                for i, c in enumerate(by):
-                    part.insert(i, c, key[i])
-                out.append(part)
+            share = block_share(block, int(p["depth"]), int(p["total"]), p["left"], p["right"], n, seed, group, chunk)
+            w = _seed(seed, group, chunk, 0, block).multinomial(share, even).T
+            out += [_packed(by, key, a, chunk, pdf[f"_r_{i}_0"].to_numpy(), pdf[a].to_numpy(), label, w) for i, a in enumerate(arms)]
         return pd.concat(out, ignore_index=True)
 
-    weights = spread.groupBy(*by, "_blk").applyInPandas(run, _schema(rows, by))
-    return weights, _score_spans(rows, by, [(a, [a]) for a in arms], range_rows)
+    keys = [*by, "_blk"]
+    return dealt(spread, *keys).groupBy(*keys).cogroup(dealt(blocks, *keys).groupBy(*keys)).applyInPandas(run, _schema(rows, by))
 
 
 def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, str]], n_perm: int, seed: int,
                         by: Sequence[str] = (), y: str = "gold",
-                        range_rows: int = BUCKET_ROWS) -> tuple[DataFrame, tuple]:
-    """Rows of a swap test: arm names are ``a|b``; replicate 0 swaps nothing.
+                        range_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Packed rows of a swap test: arm names are ``a|b``; replicate 0 swaps nothing.
 
     A swapped row counts under the other arm's score, so swaps are weights too.
     The weights are those of the first side; the second side has the rest of
@@ -153,8 +216,8 @@ def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, s
     by, total = list(by), n_perm + 1
     arms = sorted({x for pair in pairs for x in pair})
     chunks = -(-total // CHUNK)
-    rows = complete(wide, [*by, item], arms, y)
-    spread, _ = _spread(rows, item, by)
+    rows = _ranged(complete(wide, [*by, item], arms, y), by, [(f"{a}|{b}", (a, b)) for a, b in pairs], range_rows)
+    spread, _ = hash_blocks(rows, [item], by)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         group, block = _plain(key[:-1]), int(key[-1])
@@ -162,21 +225,43 @@ def permutation_weights(wide: DataFrame, item: str, pairs: Sequence[tuple[str, s
         label = np.tile(pdf[y].to_numpy(), 2)
         out = []
         for chunk in range(chunks):
-            n = min(CHUNK, total - chunk * CHUNK)
-            swap = _seed(seed, group, chunk, block).integers(0, 2, size=(len(pdf), n), dtype=np.int16)
-            if chunk == 0:
-                swap[:, 0] = 0
-            for a, b in pairs:
-                scores = np.r_[pdf[a].to_numpy(), pdf[b].to_numpy()]
-                s, lab, copies, merged = _merged(scores, label, np.r_[swap ^ 1, swap])
-                part = pd.DataFrame({"arm": f"{a}|{b}", "chunk": chunk, "score": s, "y": lab, "copies": copies, "w": _pack(merged)})
-                for i, c in enumerate(by):
-                    part.insert(i, c, key[i])
-                out.append(part)
+            swap = _swaps(seed, group, chunk, block, len(pdf), min(CHUNK, total - chunk * CHUNK))
+            w = np.r_[swap ^ 1, swap]
+            out += [_packed(by, key, f"{a}|{b}", chunk, np.r_[pdf[f"_r_{i}_0"].to_numpy(), pdf[f"_r_{i}_1"].to_numpy()],
+                            np.r_[pdf[a].to_numpy(), pdf[b].to_numpy()], label, w) for i, (a, b) in enumerate(pairs)]
         return pd.concat(out, ignore_index=True)
 
-    weights = spread.groupBy(*by, "_blk").applyInPandas(run, _schema(rows, by))
-    return weights, _score_spans(rows, by, [(f"{a}|{b}", (a, b)) for a, b in pairs], range_rows)
+    return dealt(spread, *by, "_blk").groupBy(*by, "_blk").applyInPandas(run, _schema(rows, by))
+
+
+def _swaps(seed: int, group: tuple, chunk: int, block: int, rows: int, reps: int) -> np.ndarray:
+    swap = _seed(seed, group, chunk, block).integers(0, 2, size=(rows, reps), dtype=np.uint8)
+    if chunk == 0:
+        swap[:, 0] = 0
+    return swap
+
+
+def mixed_swaps(wide: DataFrame, item: str, arms: Sequence[str], n_perm: int, seed: int, by: Sequence[str] = (),
+                y: str = "gold") -> DataFrame:
+    """(by, rep) of the replicates of ``permutation_weights`` in which some rows of the group swap and some do not."""
+    by, total = list(by), n_perm + 1
+    spread, _ = hash_blocks(complete(wide, [*by, item], sorted(set(arms)), y).select(*by, item), [item], by)
+    kinds = dict(spread.dtypes)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for chunk in range(-(-total // CHUNK)):
+            n = min(CHUNK, total - chunk * CHUNK)
+            swap = _swaps(seed, _plain(key[:-1]), chunk, int(key[-1]), len(pdf), n)
+            out.append(pd.DataFrame({"rep": chunk * CHUNK + np.arange(n), "low": swap.min(axis=0), "high": swap.max(axis=0)}))
+        made = pd.concat(out, ignore_index=True).astype("int32")
+        for i, c in enumerate(by):
+            made.insert(i, c, key[i])
+        return made
+
+    head = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    ends = dealt(spread, *by, "_blk").groupBy(*by, "_blk").applyInPandas(run, head + "rep int, low int, high int")
+    return ends.groupBy(*by, "rep").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select(*by, "rep")
 
 
 RANKING = ["pos", "neg", "wins", "area"]
@@ -184,19 +269,25 @@ CALIBRATION = ["sq", *[f"{k}{i}" for k in ("bn", "bp", "by") for i in range(BINS
 SCORES_PER_STEP = 1024
 
 
-def _side_weights(pdf: pd.DataFrame, n: int, side: int) -> np.ndarray:
-    w = _unpack(pdf["w"], n)
-    return w if side == 0 else pdf["copies"].to_numpy()[:, None] - w
+class _Part:
+    """Scores, labels and weights of one score range, highest score first."""
+
+    def __init__(self, pdf: pd.DataFrame, n: int):
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+        self.score, self.y, self.copies = join("score", "<f8"), join("y", np.uint8), join("copies", "<u4")
+        self.w = np.concatenate([unpack_weights(w, n) for w in pdf["w"]])
+
+    def side(self, k: int) -> np.ndarray:
+        return self.w if k == 0 else self.copies[:, None].astype(np.int64) - self.w
 
 
-def _sweep(pdf: pd.DataFrame, n: int, side: int, above_pos: np.ndarray, above_neg: np.ndarray, calibration: bool) -> np.ndarray:
+def _sweep(part: _Part, n: int, side: int, above_pos: np.ndarray, above_neg: np.ndarray, calibration: bool) -> np.ndarray:
     """All sums of one score range for n replicates, one row per replicate.
 
     Scores are walked from the top in short steps, so the matrices of a step
     stay in the processor's cache.
     """
-    score, y = pdf["score"].to_numpy(), pdf["y"].to_numpy()
-    counts = _side_weights(pdf, n, side)
+    score, y, counts = part.score, part.y, part.side(side)
     order = np.argsort(-score, kind="stable")
     score, y, counts = score[order], y[order], counts[order]
     starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
@@ -229,16 +320,15 @@ def _sweep(pdf: pd.DataFrame, n: int, side: int, above_pos: np.ndarray, above_ne
     return np.column_stack(out)
 
 
-def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, spans: tuple, sides: int = 1,
-                     calibration: bool = True) -> DataFrame:
+def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, sides: int = 1, calibration: bool = True) -> DataFrame:
     """AUC, AP, Brier and ECE for every (by, arm, side, rep) of a weight table.
 
     Brier and ECE come only with ``calibration``.
     Side 0 has the given weights, side 1 what they leave of each row's copies.
 
-    Groups are cut into score ranges that follow their data (``spans``): a first
-    pass adds up the class weights of each range, a second continues each range
-    from the sums above it.
+    Groups come in score ranges that follow their data: a first pass adds up the
+    class weights of each range, a second continues each range from the sums
+    above it. Both read the same shuffle.
     """
     by = list(by)
     keys = [*by, "arm", "chunk"]
@@ -257,14 +347,14 @@ def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, spans: tu
         return min(CHUNK, reps - chunk * CHUNK)
 
     schema = head + "side int, rep int, " + ", ".join(f"`{s}` double" for s in stats)
-    cut = with_bucket(weights, spans, "score", [*by, "arm"], "_range")
 
     def totals(key, pdf):
-        y = pdf["y"].to_numpy()
+        part = _Part(pdf, size(int(key[-2])))
         row = dict(zip([*keys, "_range"], key))
         for k in range(sides):
-            w = _side_weights(pdf, size(int(key[-2])), k).astype(np.float64)
-            row[f"p{k}"], row[f"q{k}"] = (w.T @ (y == 1)).tobytes(), (w.T @ (y == 0)).tobytes()
+            w = part.side(k)
+            row[f"p{k}"], row[f"q{k}"] = (
+                w[part.y == c].sum(axis=0, dtype=np.int64).astype(np.float64).tobytes() for c in (1, 0))
         return pd.DataFrame([row])
 
     sums_of = [f"{c}{k}" for k in range(sides) for c in "pq"]
@@ -277,18 +367,20 @@ def weighted_metrics(weights: DataFrame, by: Sequence[str], reps: int, spans: tu
             pdf[c] = [row.tobytes() for row in np.cumsum(m, axis=0) - m]
         return pdf
 
-    sums = cut.groupBy(*keys, "_range").applyInPandas(totals, keyed)
+    weights = dealt(weights, *keys, "_range")
+    sums = weights.groupBy(*keys, "_range").applyInPandas(totals, keyed)
     offsets = sums.groupBy(*keys).applyInPandas(above, keyed)
 
     def part(key, left, right):
         n = size(int(key[-2]))
         if left.empty:
             return pd.DataFrame(columns=[*by, "arm", "side", "rep", *stats])
+        own = _Part(left, n)
         return framed(key, int(key[-2]), [
-            _sweep(left, n, k, np.frombuffer(right[f"p{k}"].iloc[0]), np.frombuffer(right[f"q{k}"].iloc[0]), calibration)
+            _sweep(own, n, k, np.frombuffer(right[f"p{k}"].iloc[0]), np.frombuffer(right[f"q{k}"].iloc[0]), calibration)
             for k in range(sides)])
 
-    parts = cut.groupBy(*keys, "_range").cogroup(offsets.groupBy(*keys, "_range")).applyInPandas(part, schema)
+    parts = weights.groupBy(*keys, "_range").cogroup(dealt(offsets, *keys, "_range").groupBy(*keys, "_range")).applyInPandas(part, schema)
     summed = parts.groupBy(*by, "arm", "side", "rep").agg(*[F.sum(s).alias(s) for s in stats])
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     out = [

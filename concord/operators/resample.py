@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.functions.columns import hash_hex, hex_int
 from concord.operators.audit import FILTERS, MODES, cell_counts, direction_effect, paired_labels
-from concord.operators.metrics import all_metrics, auc_ap, concordance
+from concord.operators.metrics import all_metrics, auc_ap
 from concord.operators.ranking import hash_rank
-from concord.session import cut_lineage
-from concord.operators.replicates import CHUNK, block_share, bootstrap_weights, complete, permutation_weights, weighted_metrics
+from concord.operators.rank_replicates import cluster_weights, concordance_replicates, counted_weights
+from concord.session import cut_lineage, dealt
+from concord.operators.replicates import (
+    CHUNK, block_share, bootstrap_weights, complete, hash_blocks, mixed_swaps, permutation_weights, weighted_metrics)
 
 DRAWS_PER_HASH = 4
 FLIPS_PER_HASH = 32
@@ -89,8 +91,8 @@ def paired_bootstrap(wide: DataFrame, item: str, arms: Sequence[str], n_boot: in
     fast way) or ``md5`` (one row per draw, reproducible in plain SQL).
     """
     if sampler == "multinomial":
-        weights, spans = bootstrap_weights(wide, item, arms, n_boot, seed, by, y)
-        per_rep = weighted_metrics(weights, by, n_boot, spans, calibration=False)
+        weights = bootstrap_weights(wide, item, arms, n_boot, seed, by, y)
+        per_rep = weighted_metrics(weights, by, n_boot, calibration=False)
     else:
         sampled = resample(complete(wide, [*by, item], arms, y), [item], n_boot, seed, by)
         per_rep = auc_ap(_long_arms(sampled, [*by, "rep"], arms, y), y, "pred", [*by, "rep", "arm"])
@@ -116,14 +118,16 @@ def paired_permutation(wide: DataFrame, item: str, pairs: Sequence[tuple[str, st
     ``random`` (swap vectors, the fast way) or ``md5`` (reproducible in SQL).
     """
     by = list(by)
-    if sampler == "random" and not skip_degenerate:
-        weights, spans = permutation_weights(wide, item, pairs, n_perm, seed, by, y)
-        m = weighted_metrics(weights, by, n_perm + 1, spans, sides=2, calibration=False).withColumn("_p", F.split("arm", "\\|"))
+    if sampler == "random":
+        weights = permutation_weights(wide, item, pairs, n_perm, seed, by, y)
+        m = weighted_metrics(weights, by, n_perm + 1, sides=2, calibration=False).withColumn("_p", F.split("arm", "\\|"))
         m = m.select(*by, (F.col("rep") - 1).alias("rep"), F.col("_p")[0].alias("arm1"), F.col("_p")[1].alias("arm2"),
                      "side", "auc", "ap")
-        return _swap_p(_side_difference(m, by), by, n_perm)
-    if sampler == "random":
-        raise ValueError("swaps that must not all agree are drawn by the md5 sampler: pass sampler='md5'")
+        d = _side_difference(m, by)
+        if skip_degenerate:
+            mixed = mixed_swaps(wide, item, _arms_of(pairs), n_perm, seed, by, y).select(*by, (F.col("rep") - 1).alias("rep"))
+            d = d.where("rep = -1").unionByName(d.join(mixed, [*by, "rep"], "left_semi").select(*d.columns))
+        return _swap_p(d, by, n_perm)
     wide = complete(wide, [*by, item], _arms_of(pairs), y)
     blocks = F.sequence(F.lit(0), F.lit((n_perm + FLIPS_PER_HASH - 1) // FLIPS_PER_HASH - 1))
     flips = wide.select("*", F.explode(blocks).alias("_block")).withColumn(
@@ -204,8 +208,8 @@ def replicate_metrics(wide: DataFrame, item: str, arms: Sequence[str], n_boot: i
     while True:
         total += -total % DRAWS_PER_HASH
         if sampler == "multinomial":
-            weights, spans = bootstrap_weights(rows, item, arms, total, seed, by, y, first)
-            m = weighted_metrics(weights, by, total, spans)
+            weights = bootstrap_weights(rows, item, arms, total, seed, by, y, first)
+            m = weighted_metrics(weights, by, total)
         else:
             long = _long_arms(resample(rows, [item], total, seed, by), [*by, "rep"], arms, y)
             # Equal (label, score) rows weigh together; every metric then reads the small table.
@@ -281,23 +285,25 @@ def block_bootstrap(seeded: DataFrame, item: str, seed_col: str, arms: Sequence[
     return g.select(*by, "arm", "metric", "estimate", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "n_valid")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, n_boot: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, n_boot: int, seed: int, by: Sequence[str] = (),
+                      sampler: str = "multinomial") -> DataFrame:
     """Concordance intervals when whole clusters are drawn together.
 
     Equal (a, b) pairs of a cluster are merged first, so a huge cluster of
-    repeated measurements adds only its distinct pairs to each replicate.
+    repeated measurements adds only its distinct pairs to each replicate. Only
+    rows with two finite values count. ``sampler`` is ``multinomial`` or ``md5``
+    (draws that plain SQL can repeat); both give weights to the same sums.
     """
     by = list(by)
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, cluster, a, b).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    clusters = indexed(pairs.select(*by, cluster).distinct(), [cluster], by, seed)
-    weights = draws(clusters.select(*by, "idx", "n"), n_boot, seed, by).groupBy(*by, "rep", "idx").agg(
-        F.count(F.lit(1)).alias("_w")
-    )
-    drawn = _pick(weights, clusters.drop("n"), [*by, "idx"]).join(pairs, [*by, cluster])
-    small = drawn.groupBy(*by, "rep", a, b).agg(F.sum(F.col("_w") * F.col("_c")).alias("w"))
-    per_rep = concordance(small, a, b, [*by, "rep"], "w").where("n >= 3")
+    pairs = cut_lineage(df.where(_finite(a) & _finite(b)).groupBy(*by, cluster, a, b).agg(F.count(F.lit(1)).alias("copies")))
+    clusters = pairs.select(*by, cluster).distinct()
+    if sampler == "multinomial":
+        weights = cluster_weights(clusters, cluster, n_boot, seed, by)
+    else:
+        idx = indexed(clusters, [cluster], by, seed)
+        drawn = draws(idx.select(*by, "idx", "n"), n_boot, seed, by)
+        weights = counted_weights(drawn, "idx", n_boot, by).join(idx.drop("n"), [*by, "idx"]).drop("idx")
+    per_rep = concordance_replicates(pairs, weights, cluster, a, b, n_boot, by).where("n >= 3")
     names = ("pearson", "spearman", "mae", "bias")
     g = per_rep.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_valid"), *[_quantiles(m, (0.025, 0.975)).alias(f"_{m}") for m in names]
@@ -307,6 +313,72 @@ def cluster_bootstrap(df: DataFrame, cluster: str, a: str, b: str, n_boot: int,
     )
 
 
+def _finite(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+#: Where the distribution of a sum is cut off, in standard deviations, and how far its transform is followed.
+REACH = 14.0
+STEPS = 40
+
+
+def prevalence_distribution(df: DataFrame, p: str, y: str, by: Sequence[str] = (), shares: Sequence[float] = (0.025, 0.975)) -> DataFrame:
+    """Where the positive rate lies if every row is positive with its own probability, without any draw.
+
+    The number of positives is a sum of independent coin flips. Its transform at
+    a few frequencies is a product over rows, so the logarithms are plain sums
+    that combine map-side; turned back, they give the probability of every count
+    within 14 standard deviations of the mean. What is cut off lies below 1e-15.
+    A group's counts in that window, about 28 times the square root of its rows
+    at most, are all that one task holds. Rows without a probability from 0 to 1
+    or a label of 0 or 1 do not count.
+
+    Returns (by, n, observed, expected, sd, low, high, p_low, inside): ``low`` and
+    ``high`` are the smallest rates reached with the given shares, ``p_low`` is
+    the probability of a rate up to the observed one.
+    """
+    if not by:
+        return prevalence_distribution(df.withColumn("_all", F.lit(0)), p, y, ["_all"], shares).drop("_all")
+    by = list(by)
+    rows = df.where(F.col(p).between(0.0, 1.0) & F.col(y).isin(0, 1)).select(*by, F.col(p).cast("double").alias("_p"), F.col(y).alias("_y"))
+    base = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").cast("long").alias("positives"), F.sum("_p").alias("mean"),
+        F.sqrt(F.sum(F.col("_p") * (1 - F.col("_p")))).alias("sd"))
+    width = (2 * F.ceil(F.lit(REACH) * F.col("sd")) + 3).alias("width")
+    base = base.select("*", width)
+    # Groups are few: their widths travel to the rows.
+    marked = rows.join(base.select(*by, "width"), by)
+    angle = lambda j: F.lit(2.0 * np.pi * j) / F.col("width")
+    size = lambda j: 0.5 * F.ln(F.greatest(1 - 2 * F.col("_p") * (1 - F.col("_p")) * (1 - F.cos(angle(j))), F.lit(1e-300)))
+    turn = lambda j: F.atan2(F.col("_p") * F.sin(angle(j)), 1 - F.col("_p") + F.col("_p") * F.cos(angle(j)))
+    sums = marked.groupBy(*by).agg(
+        F.array(*[F.sum(size(j)) for j in range(1, STEPS + 1)]).alias("size"),
+        F.array(*[F.sum(turn(j)) for j in range(1, STEPS + 1)]).alias("turn"))
+    kinds = dict(base.dtypes)
+
+    def turned(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        width, n = int(r["width"]), int(r["n"])
+        first = int(np.floor(r["mean"])) - width // 2
+        k = np.arange(first, first + width)
+        j = np.arange(1, min(STEPS, (width - 1) // 2) + 1)
+        wave = np.exp(np.asarray(r["size"])[:len(j)]) * np.exp(1j * np.asarray(r["turn"])[:len(j)])
+        mass = np.full(width, 1.0)
+        for a, z in zip(j, wave):
+            mass += 2 * (z * np.exp(-2j * np.pi * a * k / width)).real
+        total = np.cumsum(np.maximum(mass / width, 0))
+        total = np.minimum(total / total[-1], 1.0)
+        rate = [float(np.clip(k[np.searchsorted(total, q - 1e-12)], 0, n)) / n for q in shares]
+        seen = int(r["positives"])
+        below = 0.0 if seen < first else 1.0 if seen >= first + width else float(total[seen - first])
+        return pd.DataFrame([[*key, n, seen / n, r["mean"] / n, r["sd"] / n, *rate, below, rate[0] <= seen / n <= rate[1]]],
+                            columns=[*by, "n", "observed", "expected", "sd", "low", "high", "p_low", "inside"])
+
+    head = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    return base.join(sums, by).groupBy(*by).applyInPandas(
+        turned, head + "n long, observed double, expected double, sd double, low double, high double, p_low double, inside boolean")
+
+
 def prevalence_check(df: DataFrame, item: str, p: str, y: str, reps: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Does the observed positive rate sit inside what the probabilities predict?"""
     if not by:
@@ -389,29 +461,25 @@ def multinomial_totals(rows: DataFrame, count: str, values: Sequence[str], n_boo
     """Sum ``values`` over n draws with replacement from n units, per replicate.
 
     ``rows`` are groups of equal units with their ``count``. Drawing units and
-    counting draws per group is a multinomial sample of the groups: block
-    totals are sampled first, the same in every task, then each block samples
-    its own groups and adds up its vectors. No draw is ever shuffled, and the
-    cost follows the number of distinct groups, not of units. The driver sees
-    one total for every ``GROUPS_PER_BLOCK`` groups.
+    counting draws per group is a multinomial sample of the groups: blocks of
+    groups find their shares in a tree of binomial splits, then each block
+    samples its own groups and adds up its vectors. No draw is ever shuffled, no
+    block is known outside its task, and the cost follows the number of distinct
+    groups, not of units.
     """
     values = list(values)
-    blocks = max(1, -(-rows.count() // GROUPS_PER_BLOCK))
-    marked = rows.select(count, *values, F.pmod(F.xxhash64(*values), F.lit(blocks)).cast("int").alias("_blk"))
-    sizes = np.zeros(blocks, dtype=np.int64)
-    for r in marked.groupBy("_blk").agg(F.sum(count).alias("c")).collect():
-        sizes[r["_blk"]] = r["c"]
+    spread, blocks = hash_blocks(rows.select(count, *values), values, (), GROUPS_PER_BLOCK, count)
     chunks = -(-n_boot // REPS_PER_CHUNK)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(key[0])
+    def run(key, pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        block, at = int(key[0]), path.iloc[0]
         pdf = pdf.sort_values(values)
         x = pdf[values].to_numpy(dtype=np.float64)
         p = pdf[count].to_numpy(dtype=np.float64)
         made = []
         for chunk in range(chunks):
             n = min(REPS_PER_CHUNK, n_boot - chunk * REPS_PER_CHUNK)
-            shares = block_share(sizes, block, n, seed, (), chunk)
+            shares = block_share(block, int(at["depth"]), int(at["total"]), at["left"], at["right"], n, seed, (), chunk)
             picked = np.random.default_rng([seed, chunk, block + 1]).multinomial(shares, p / p.sum())
             out = pd.DataFrame(picked @ x, columns=values)
             out.insert(0, "rep", chunk * REPS_PER_CHUNK + np.arange(n))
@@ -419,7 +487,7 @@ def multinomial_totals(rows: DataFrame, count: str, values: Sequence[str], n_boo
         return pd.concat(made, ignore_index=True)
 
     schema = "rep int, " + ", ".join(f"`{v}` double" for v in values)
-    parts = marked.groupBy("_blk").applyInPandas(run, schema)
+    parts = dealt(spread, "_blk").groupBy("_blk").cogroup(dealt(blocks, "_blk").groupBy("_blk")).applyInPandas(run, schema)
     return parts.groupBy("rep").agg(*[F.sum(v).alias(v) for v in values])
 
 

@@ -9,6 +9,7 @@ MODULES = (
     "resample_queries",
     "provenance_queries",
     "model_queries",
+    "tree_queries",
 )
 
 

@@ -114,6 +114,31 @@ def h6(spark, d):
     return tidy(audit.holm_adjust(_family(spark, d), "p", tie=["o_orderpriority"]))
 
 
+#: One test per order: is its lines' price share what a coin would give? As many tests as orders.
+MANY = """many as (select l_orderkey, o_orderpriority, cast(('0x' || substr(md5(l_orderkey || ':' || count(*)), 1, 6)) as bigint) % 5000 / 5000.0::double as p
+    from lineitem join orders on o_orderkey = l_orderkey group by 1, 2)"""
+
+
+def _many(spark, d):
+    n = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).count()
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "o_orderkey", "count").cast("binary")), 1, 6), 16, 10).cast("long")
+    return fx.table(spark, d, "orders").join(n, "o_orderkey").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", (h % 5000 / 5000.0).alias("p"))
+
+
+@query("h5_bh_large_families", rounded(f"""with {MANY}, ranked as (select *, p * count(*) over (partition by o_orderpriority) / row_number() over w as raw_ from many
+    window w as (partition by o_orderpriority order by p, l_orderkey)) select l_orderkey, o_orderpriority, p,
+    least(1.0::double, min(raw_) over (partition by o_orderpriority order by p desc, l_orderkey desc rows unbounded preceding)) as q from ranked""", "p q"))
+def h5_large(spark, d):
+    return tidy(audit.bh_adjust_large(_many(spark, d), "p", ["o_orderpriority"]))
+
+
+@query("h6_holm_large_family", rounded(f"""with {MANY}, ranked as (select *, row_number() over (order by p, l_orderkey) as r_, count(*) over () as m_ from many)
+    select l_orderkey, o_orderpriority, p, max(least(1.0::double, (m_ - r_ + 1) * p)) over (order by r_ rows between unbounded preceding and current row) as p_holm from ranked""", "p p_holm"))
+def h6_large(spark, d):
+    return tidy(audit.holm_adjust_large(_many(spark, d), "p"))
+
+
 FIRSTS = """fa as (select ck, arg_min(label, ord) as a_label from obs_a group by 1),
 fb as (select ck, arg_min(label, ord) as b_label from obs_b group by 1),
 both_ as (select * from fa join fb using (ck))"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord import fixtures as fx
-from concord.functions import keys
 from concord.operators import aggregate as agg, calibrate as cal, evidence as ev, joins, latent, learn, metrics as mt, votes as vt
 from concord.operators.ranking import hash_rank
 from concord.plans.common import rounded, tidy
@@ -238,24 +237,6 @@ def r10(spark, d):
 # ---- learners --------------------------------------------------------------
 
 
-def _labelled(spark, d):
-    """Labelled documents with features and a training mark; soft labels come from training rows alone."""
-    df = hash_rank(fx.docs(spark, d).where("quality IS NOT NULL"), ["doc_id"], 9).withColumn("train", F.col("rank") <= F.col("n") * 0.8)
-    soft = df.where("train").groupBy("source").agg(F.avg("quality").alias("soft"))
-    return keys.hashed_features(df.join(soft, "source", "left"), "text", n=2048).select(
-        "doc_id", "quality", "train", "soft", "features", ((F.col("quality") + F.col("soft")) / 2.0).alias("blend"))
-
-
-@query("g1_train_arms")
-def g1(spark, d):
-    return tidy(learn.train_arms(_labelled(spark, d), "doc_id", {"hard": "quality", "soft": "soft", "blend": "blend"}, "train", trees=5, depth=3))
-
-
-@query("g2_oof_probabilities")
-def g2(spark, d):
-    return tidy(learn.oof_probabilities(_labelled(spark, d), "doc_id", "quality", folds=5, trees=3, depth=3))
-
-
 JOINT = """lim as (select avg(1 - C) filter (gold = 0) as t0, avg(C) filter (gold = 1) as t1 from wide),
 jn as (select item_id, gold, C, case when 1 - C >= t0 and C >= t1 then case when C > 0.5 then 1 else 0 end when C >= t1 then 1 when 1 - C >= t0 then 0 end as j from wide, lim),
 joint_ as (select gold, count(*) filter (j = 0) as as_0, count(*) filter (j = 1) as as_1, count(*) as n from jn group by 1)"""

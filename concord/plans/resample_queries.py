@@ -165,15 +165,56 @@ CI_COLS = " ".join(f"{m}_{e}" for m in ("pearson", "spearman", "mae", "bias") fo
 def r7(spark, d):
     users = fx.table(spark, d, "events").select(F.col("event_id").alias("item_id"), "user_id")
     df = fx.wide_predictions(spark, d).join(users, "item_id")
-    return tidy(rs.cluster_bootstrap(df, "user_id", "A", "B", REPS, 23, ["view"]))
+    return tidy(rs.cluster_bootstrap(df, "user_id", "A", "B", REPS, 23, ["view"], sampler="md5"))
+
+
+@query("r7_cluster_bootstrap_2000")
+def r7_full(spark, d):
+    users = fx.table(spark, d, "events").select(F.col("event_id").alias("item_id"), "user_id")
+    return tidy(rs.cluster_bootstrap(fx.wide_predictions(spark, d).join(users, "item_id"), "user_id", "A", "B", 2000, 23, ["view"]))
 
 
 @query("r8_bootstrap_spearman", f"select view, n_valid, spearman_low, spearman_high from ({rounded(with_views('wide', 'wide_ as (select * from wide), ' + _cluster_sql('item_id', REPS)), CI_COLS)})")
 def r8(spark, d):
-    out = rs.cluster_bootstrap(fx.wide_predictions(spark, d), "item_id", "A", "B", REPS, 23, ["view"])
+    out = rs.cluster_bootstrap(fx.wide_predictions(spark, d), "item_id", "A", "B", REPS, 23, ["view"], sampler="md5")
     return tidy(out.select("view", "n_valid", "spearman_low", "spearman_high"))
 
 
+@query("r8_bootstrap_spearman_2000")
+def r8_full(spark, d):
+    out = rs.cluster_bootstrap(fx.wide_predictions(spark, d), "item_id", "A", "B", 2000, 23, ["view"])
+    return tidy(out.select("view", "n_valid", "spearman_low", "spearman_high"))
+
+
+@query("r3_permutation_skip_degenerate_1000")
+def r3_full(spark, d):
+    return tidy(rs.paired_permutation(fx.wide_predictions(spark, d), "item_id", PAIRS, 1000, 13, ["view"], skip_degenerate=True))
+
+
+@query("r5_bootstrap_without_redraw_2000")
+def r5_full(spark, d):
+    return tidy(rs.bootstrap_metrics(fx.wide_predictions(spark, d), "item_id", fx.ARMS, "A", 2000, 17, ["view"], redraw=False))
+
+
+M18 = f"""b as (select view, arm, count(*) as n, sum(gold) as positives, sum(pred) as mean, sqrt(sum(pred * (1 - pred))) as sd from pred group by all),
+g as (select *, 2 * ceil({rs.REACH} * sd) + 3 as width from b),
+f as (select view, arm, j, sum(0.5 * ln(greatest(1 - 2 * pred * (1 - pred) * (1 - cos(2 * pi() * j / width)), 1e-300))) as size,
+    sum(atan2(pred * sin(2 * pi() * j / width), 1 - pred + pred * cos(2 * pi() * j / width))) as turn
+    from pred join g using (view, arm), range(1, {rs.STEPS} + 1) t(j) group by all),
+k as (select view, arm, n, positives, mean, sd, width, floor(mean) - floor(width / 2) + i as k from g, lateral (select unnest(range(cast(width as bigint))) as i)),
+m as (select view, arm, n, positives, mean, sd, k, greatest((1 + 2 * sum(exp(size) * cos(turn - 2 * pi() * j * k / width))) / any_value(width), 0) as mass
+    from k join f using (view, arm) where j <= floor((width - 1) / 2) group by all),
+c as (select *, sum(mass) over (partition by view, arm order by k) / sum(mass) over (partition by view, arm) as total from m)
+select view, arm, n, positives / n as observed, mean / n as expected, sd / n as sd,
+    min(k) filter (total >= 0.025 - 1e-12) / n as low, min(k) filter (total >= 0.975 - 1e-12) / n as high,
+    max(total) filter (k = positives) as p_low, low <= observed and observed <= high as inside from c group by view, arm, n, positives, mean, sd"""
+
+
+@query("m18_prevalence_distribution", f"select view, arm, n, round(observed, 6) as observed, round(expected, 6) as expected, round(sd, 6) as sd, round(low, 6) as low, round(high, 6) as high, round(coalesce(p_low, case when observed < expected then 0 else 1 end), 6) as p_low, inside from ({with_views('pred', M18)})")
+def m18_exact(spark, d):
+    return tidy(rs.prevalence_distribution(fx.predictions(spark, d), "pred", "gold", ["view", "arm"]))
+
+
 R9 = f"""{SUMMARY},
 flag as (select identity, key, mode, filter, case when a_label = 1 and b_label = 0 then 1 else 0 end as n01, case when a_label = 0 and b_label = 1 then 1 else 0 end as n10 from cells),
 mem as (select ck as cluster, fk as key from obs_a intersect select ck, fk from obs_b),

@@ -652,3 +652,9 @@ def f4(spark, d):
     select sha256(string_agg(dg, chr(10) order by b)) as digest, cast(sum(n) as bigint) as n from l"""))
 def f5(spark, d):
     return con.set_digest(fx.obs_a(spark, d).select("ck").distinct(), "ck")
+
+
+@query("f5_changed_texts", with_views("obs_a obs_b", """a as (select distinct ck from obs_a), b as (select distinct ck from obs_b)
+    select coalesce(a.ck, b.ck) as ck, a.ck is not null as in_a, b.ck is not null as in_b from a full join b using (ck) where a.ck is null or b.ck is null"""))
+def f5_changed(spark, d):
+    return con.changed_texts(fx.obs_a(spark, d).select("ck").distinct(), fx.obs_b(spark, d).select("ck").distinct(), "ck")

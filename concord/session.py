@@ -54,6 +54,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to a fixed number of tasks, for steps that do much work on few bytes.
+
+    Runtime coalescing goes by bytes and would leave such a step to a few tasks.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A short parameter table as part of the plan itself, so reading it runs no job."""
     fields = T.StructType.fromDDL(schema)

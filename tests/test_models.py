@@ -152,9 +152,9 @@ def test_crossfit_keeps_folds_apart(spark, sf):
 def test_replicate_metrics_equal_weighted_metrics(spark, sf, size):
     """The packed weights, unfolded to rows, give the same numbers through plain SQL operators."""
     wide = fx.wide_predictions(spark, sf)
-    weights, spans = rp.bootstrap_weights(wide, "item_id", fx.ARMS, 130, 3, ["view"], range_rows=size)
+    weights = rp.bootstrap_weights(wide, "item_id", fx.ARMS, 130, 3, ["view"], range_rows=size)
     weights = weights.cache()
-    got = {(r["view"], r["arm"], r["rep"]): r for r in rp.weighted_metrics(weights, ["view"], 130, spans).collect()}
+    got = {(r["view"], r["arm"], r["rep"]): r for r in rp.weighted_metrics(weights, ["view"], 130).collect()}
     assert len(got) == 3 * 3 * 130
     rows = []
     for r in weights.where("chunk = 1 AND view = 0").collect():
@@ -247,7 +247,7 @@ def test_score_buckets_follow_the_data(spark):
 
 
 def test_soft_labels_come_from_training_rows(spark, sf):
-    from concord.plans.model_queries import _labelled
+    from concord.plans.tree_queries import _labelled
     rows = _labelled(spark, sf).join(fx.docs(spark, sf).select("doc_id", "source"), "doc_id").select(
         "source", "quality", "soft", "train").collect()
     assert any(not r["train"] for r in rows)
