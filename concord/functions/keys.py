@@ -141,7 +141,7 @@ def packed_bits(df: DataFrame, positions: Column, n: int, out: str = "bits") ->
             for found in batch[out]:
                 bits = np.zeros(8 * width, np.uint8)
                 if found.is_valid:
-                    bits[found.values.to_numpy(zero_copy_only=False)] = 1
+                    bits[found.values.to_numpy(zero_copy_only=False).astype(np.int64)] = 1
                 made.append(np.packbits(bits, bitorder="little").tobytes())
             yield batch.set_column(batch.schema.get_field_index(out), out, pa.array(made, pa.binary()))
 

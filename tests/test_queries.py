@@ -7,7 +7,7 @@ from oracle import compare, connect
 
 # Fits that take many rounds; their results are tested in test_models.py.
 SLOW = {"l7_ablate", "l8_sensitivity", "l9_leave_one_source_out", "l10_held_out_scores", "g1_train_arms",
-        "g2_oof_probabilities", "l13_dawid_skene", "l14_dawid_skene_map", "l15_fit_latent_multi"}
+        "g2_oof_probabilities", "g1_compare_arms", "l13_dawid_skene", "l14_dawid_skene_map", "l15_fit_latent_multi"}
 
 
 @pytest.fixture(scope="module")
