@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord import fixtures as fx
-from concord.operators import aggregate as agg, calibrate as cal, evidence as ev, joins, latent, learn, metrics as mt, votes as vt
+from concord.operators import aggregate as agg, calibrate as cal, evidence as ev, joins, latent, learn, metrics as mt, provenance as pv, votes as vt
 from concord.operators.ranking import hash_rank
 from concord.plans.common import rounded, tidy
+from concord.plans import provenance_queries as views
 from concord.plans.metric_queries import SEEDS, _per_seed
+from concord.plans.provenance_queries import CONS, TIER
 from concord.plans.registry import query
 from concord.plans.resample_queries import curve_sql, long_arms
 from concord.plans.views import with_views
+from concord.session import cut_lineage
 
 # ---- evidence --------------------------------------------------------------
 
@@ -66,11 +69,10 @@ def l2(spark, d):
     return tidy(ev.merged_duplicates(e).select("item", "channel", "ord", "value"))
 
 
-@query("l2_tier_evidence", with_views("obs_a obs_b obs_c", f"""{EVIDENCE}, tiers as (select distinct ck as item, case when label = 1 then 'L1' else 'L2' end as tier from obs_a)
-    select * from evi where channel = 'b' or item in (select item from tiers where tier = 'L1')"""))
+@query("l2_tier_evidence", with_views("obs_a obs_b obs_c", f"""{EVIDENCE}, {CONS}, tr as (select ck as item, {TIER} as tier from tier where v0 is not null)
+    select * from evi where channel = 'b' or item in (select item from tr where tier in ('L1', 'L2'))"""))
 def l2_tiers(spark, d):
-    tiers = fx.obs_a(spark, d).select(F.col("ck").alias("item"), F.when(F.col("label") == 1, "L1").otherwise("L2").alias("tier")).distinct()
-    return tidy(ev.only_tiers(evidence(spark, d), tiers, ["L1"]).select("item", "channel", "ord", "value"))
+    return tidy(ev.only_tiers(evidence(spark, d), tiers(spark, d), ["L1", "L2"]).select("item", "channel", "ord", "value"))
 
 
 # ---- the latent model ------------------------------------------------------
@@ -106,55 +108,109 @@ def l6(spark, d):
     return tidy(latent.load_fit(spark, path).params)
 
 
-def ablation_variants(spark, d):
-    full = _leak_free(spark, d)
-    tiers = fx.obs_a(spark, d).groupBy(F.col("ck").alias("item")).agg(
-        F.when(F.max("label") == 1, "L1").otherwise("L2").alias("tier"))
+def tiers(spark, d):
+    """(item, tier) of the items with two comparable values, by H9."""
+    return pv.provenance_tiers(views.consensus(spark, d), "refs", views.LISTED, "v0", "mid").select(F.col("ck").alias("item"), "tier")
+
+
+def _item_flags(spark, d, listed):
+    """Items with their evidence, which of the ``listed`` sources they cite, their tier and whether they are test items.
+
+    The B label of test items is not known to any but the retrospective variant.
+    """
+    everything = cut_lineage(evidence(spark, d))
+    rows = latent.item_evidence(everything, ev.permuted_values(everything, 5))
+    cited = refs(spark, d).where(F.col("ref").isin(*listed)).groupBy("item").agg(F.collect_set("ref").alias("cited"))
+    test = test_items(spark, d).select("item", F.lit(True).alias("test"))
+    out = rows.join(cited, "item", "left").join(tiers(spark, d), "item", "left").join(test, "item", "left")
+    return out.withColumns({"cited": F.coalesce("cited", F.array().cast("array<string>")), "test": F.coalesce("test", F.lit(False))})
+
+
+def _cites(*names):
+    return F.arrays_overlap("cited", F.array(*[F.lit(n) for n in names]))
+
+
+def _known_b():
+    return F.when(~F.col("test"), F.col("yb"))
+
+
+def _full(**settings):
+    """A variant in which the B labels of test items are hidden."""
+    return latent.variant(yb=_known_b(), **settings)
+
+
+def ablation_variants(spark, items):
+    """The 13 variants of the evidence as expressions over one row per item."""
+    train = items.where("NOT test").agg(
+        (F.sum("s") / F.sum("n")).alias("m"), F.sqrt(F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("d")).first()
+    moved = (F.lit(float(train["m"])), F.lit(float(train["d"])))
+    not_in = lambda *t: ~F.coalesce(F.col("tier").isin(*t), F.lit(False))
+    merged = (F.col("ya_mean") >= 0.5).cast("double")
     return {
-        "full": full, "no_values": ev.without_channel(full, "c"), "no_offset": full, "prior_0.01": full, "prior_1": full,
-        "without_refs": ev.without_refs(full, refs(spark, d), ["S1", "S2"]), "merged_duplicates": ev.merged_duplicates(full),
-        "tier_1": ev.only_tiers(full, tiers, ["L1"]), "tier_1_2": ev.only_tiers(full, tiers, ["L1", "L2"]),
-        "no_b": ev.without_channel(full, "b"), "no_a": ev.anchored_on_b(full), "permuted": ev.permuted_values(full, 5),
-        "standardised": ev.standardised_values(full, test_items(spark, d)),
+        "full": _full(), "no_values": _full(values=None), "no_offset": _full(), "prior_0.01": _full(), "prior_1": _full(),
+        "without_refs": _full(hidden=_cites("S1", "S2")), "merged_duplicates": _full(ya=merged),
+        "tier_1": _full(hidden=not_in("L1")), "tier_1_2": _full(hidden=not_in("L1", "L2")),
+        "tier_1_2_3": _full(hidden=not_in("L1", "L2", "L3")), "no_b": latent.variant(yb=F.lit(None).cast("double")),
+        "no_a": latent.variant(ya=_known_b(), yb=F.lit(None).cast("double")), "permuted": _full(values=("sp", "qp", "vp")),
+        "standardised": _full(moved=moved), "no_offset_merged": _full(ya=merged),
     }
 
 
 @query("l7_ablate")
 def l7(spark, d):
-    return tidy(latent.ablate(
-        ablation_variants(spark, d), test_items(spark, d), rounds=20, epochs=30,
-        prior={"prior_0.01": 0.01, "prior_1": 1.0}, frozen=["no_offset"]))
+    items = cut_lineage(_item_flags(spark, d, ["S1", "S2"]))
+    return tidy(latent.ablate(items, ablation_variants(spark, items), test_items(spark, d),
+                              prior={"prior_0.01": 0.01, "prior_1": 1.0}, frozen=["no_offset", "no_offset_merged"]))
+
+
+@query("l7_variant_counts", with_views("obs_a obs_b obs_c", f"""{EVIDENCE}, {CONS},
+tr as (select ck as item, {TIER} as tier from tier where v0 is not null),
+ti as (select item from (select item, row_number() over (order by md5('42:' || item), item) as r, count(*) over () as n from eb) where r <= round_even(n * 0.15::double, 0)),
+it as (select item, max(value) filter (channel = 'a') as ya, max(value) filter (channel = 'b' and item not in (select item from ti)) as yb, count(*) filter (channel = 'c') as n,
+    item in (select ck from obs_a where ref in ('S1', 'S2')) as cites, tier from evi left join tr using (item) group by item, tier),
+v as (select 'full' as variant, false as gone, * from it union all select 'without_refs', cites, * from it
+    union all select 'tier_1', tier is null or tier <> 'L1', * from it union all select 'tier_1_2', tier is null or tier not in ('L1', 'L2'), * from it
+    union all select 'tier_1_2_3', tier is null, * from it)
+select variant, cast(count(*) filter (gone) as bigint) as n_removed, count(*) filter (yb is not null or (not gone and (ya is not null or n > 0))) as n_known,
+    cast(coalesce(sum(n) filter (not gone), 0) as bigint) as n_values from v group by 1"""))
+def l7_counts(spark, d):
+    """How much evidence the masks of five variants leave, from the shared item rows."""
+    items = cut_lineage(_item_flags(spark, d, ["S1", "S2"]))
+    kept = ("full", "without_refs", "tier_1", "tier_1_2", "tier_1_2_3")
+    known, spread = latent.read_variants(items, {k: v for k, v in ablation_variants(spark, items).items() if k in kept})
+    left = known.groupBy("variant").agg(F.count("*").alias("n_known"), F.sum("n").alias("n_values"))
+    return spread.select("variant", "n_removed").join(left, "variant")
 
 
 @query("l8_sensitivity")
 def l8(spark, d):
-    full = _leak_free(spark, d)
+    items = cut_lineage(_item_flags(spark, d, ["S1"]))
     priors = {"full": 0.1, "prior_0.01": 0.01, "prior_1": 1.0}
     starts = {f"start_{s}": s for s in (11, 22, 33, 44, 55)}
-    return tidy(latent.ablate({v: full for v in [*priors, *starts]}, test_items(spark, d),
-                              rounds=20, epochs=30, prior=priors, starts=starts))
+    return tidy(latent.ablate(items, {v: _full() for v in [*priors, *starts]}, test_items(spark, d), prior=priors, starts=starts))
 
 
 @query("l9_leave_one_source_out")
 def l9(spark, d):
-    full, r = _leak_free(spark, d), refs(spark, d)
-    top = [x["ref"] for x in r.groupBy("ref").count().orderBy(F.desc("count"), "ref").limit(5).collect()]
-    variants = {"full": full, **{f"without_{x}": ev.without_refs(full, r, [x]) for x in top}}
-    return tidy(latent.ablate(variants, test_items(spark, d), rounds=20, epochs=30))
+    top = [x["ref"] for x in refs(spark, d).groupBy("ref").count().orderBy(F.desc("count"), "ref").limit(5).collect()]
+    items = cut_lineage(_item_flags(spark, d, top))
+    return tidy(latent.ablate(items, {"full": _full(), **{f"without_{x}": _full(hidden=_cites(x)) for x in top}}, test_items(spark, d)))
 
 
 @query("l10_held_out_scores")
 def l10(spark, d):
     """Held-out scores of each view beside those of the fit that saw everything."""
-    everything, gold = evidence(spark, d), test_items(spark, d)
-    a_view = hash_rank(everything.where("channel = 'a'").select("item").distinct(), ["item"], 43)
-    a_items = a_view.where(F.col("rank") <= F.bround(F.col("n") * 0.15)).select("item")
-    fit = latent.fit_latent(latent.stack_variants({
-        "retrospective": everything, "b_held_out": ev.without_items(everything, gold, "b"),
-        "a_held_out": ev.without_items(everything, a_items, "a")}), rounds=20, epochs=30)
-    views = gold.select("item", F.lit("b_held_out").alias("variant")).unionByName(
+    items = cut_lineage(_item_flags(spark, d, ["S1"]))
+    a_view = hash_rank(items.where("ya IS NOT NULL").select("item"), ["item"], 43)
+    a_items = cut_lineage(a_view.where(F.col("rank") <= F.bround(F.col("n") * 0.15)).select("item", F.lit(True).alias("a_test")))
+    items = items.join(a_items, "item", "left").withColumn("a_test", F.coalesce("a_test", F.lit(False)))
+    known, spread = latent.read_variants(items, {
+        "retrospective": latent.variant(), "b_held_out": _full(),
+        "a_held_out": latent.variant(ya=F.when(~F.col("a_test"), F.col("ya")))})
+    fit = latent.fit_items(known, spread)
+    views_ = test_items(spark, d).select("item", F.lit("b_held_out").alias("variant")).unionByName(
         a_items.select("item", F.lit("a_held_out").alias("variant")))
-    held = fit.items.join(views, ["variant", "item"]).select("item", F.col("variant").alias("view"), "p", "sigma")
+    held = fit.items.join(views_, ["variant", "item"]).select("item", F.col("variant").alias("view"), "p", "sigma")
     seen = fit.items.where("variant = 'retrospective'").select("item", F.col("p").alias("p_seen"), F.col("sigma").alias("sigma_seen"))
     return tidy(held.join(seen, "item"))
 
