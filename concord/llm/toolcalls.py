@@ -2,8 +2,8 @@
 
 Calls and results meet by a join on (conversation, call id). A call may refer
 to earlier calls; its level is the length of the longest chain of references
-below it, and sorting by (level, turn, call id) is a topological order of a
-conversation. Arguments are checked against the tool's schema and every linked
+below it (one round of joins per level), and sorting by (level, turn, call id)
+is a topological order of a conversation. Arguments are checked against the tool's schema and every linked
 call is serialised as canonical JSON: sorted keys, no spaces, no escapes beyond
 those JSON asks for.
 
@@ -18,13 +18,16 @@ holds of orphan, cyclic, invalid, unanswered counts. Of calls that share an id
 the one with the smallest turn counts (then the smallest arguments), and of
 results likewise; ``copies`` counts the rest. References to unknown calls are
 errors of the arguments. Rows without conversation or call id take no part;
-null arguments are no object and null contents stay null; other columns are not
-read.
+null arguments are no object and null contents stay null; numbers beyond doubles
+and nesting too deep to read are no JSON, and such arguments are kept as text;
+half of a surrogate pair becomes U+FFFD; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,36 +38,100 @@ from concord.session import cut_lineage
 KEYS = ["conv_id", "call_id"]
 
 
+KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+#: Half of a pair that stands alone; no text can hold it.
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def parse(text: str | None):
+    """The value of a JSON text; ValueError for what is none, numbers beyond doubles and nesting too deep to read."""
+    try:
+        return json.loads(text or "null", parse_constant=_no_number, parse_float=_finite)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _no_number(digits)
+
+
+def _plain(value):
+    """Numbers that are whole as whole numbers, so that equal numbers are one text."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 2**53:
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def storable(text: str) -> str:
+    """``text`` with every lone surrogate replaced by U+FFFD."""
+    return _LONE.sub("\ufffd", text)
+
+
 def canonical(value) -> str:
-    """One text for equal values: keys in order of their code points, shortest separators."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """One text for equal values: keys in order of their code points, shortest separators, whole numbers without a point."""
+    return storable(json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, KINDS.get(kind, ()))
+
+
+def problems(rule: dict, value, path: str = "") -> list[str]:
+    """What is wrong with a value under a schema: types (one or several), ranges, lengths, patterns, choices, fields and items."""
+    kinds = rule.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds or []
+    here = f"{path}: " if path else ""
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{here}not {' or '.join(kinds)}"]
+    out = []
+    if isinstance(value, str):
+        out += [f"{here}too short"] if len(value) < rule.get("minLength", 0) else []
+        out += [f"{here}too long"] if len(value) > rule.get("maxLength", len(value)) else []
+        out += [f"{here}no match"] if "pattern" in rule and not re.search(rule["pattern"], value) else []
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        out += [] if rule.get("minimum", value) <= value <= rule.get("maximum", value) else [f"{here}out of range"]
+    if "enum" in rule and not any(type(v) is type(value) and v == value or _number(v) and _number(value) and v == value for v in rule["enum"]):
+        out.append(f"{here}not a choice")
+    if isinstance(value, list):
+        out += [f"{here}too few"] if len(value) < rule.get("minItems", 0) else []
+        out += [f"{here}too many"] if len(value) > rule.get("maxItems", len(value)) else []
+        if isinstance(rule.get("items"), dict):
+            for i, v in enumerate(value):
+                out += problems(rule["items"], v, f"{path}[{i}]")
+    if isinstance(value, dict):
+        fields, inside = rule.get("properties", {}), f"{path}." if path else ""
+        out += [f"{inside}{name}: missing" for name in sorted(rule.get("required", [])) if name not in value]
+        for name in sorted(value):
+            more = fields.get(name, rule.get("additionalProperties", True))
+            if more is False:
+                out.append(f"{inside}{name}: unknown")
+            elif isinstance(more, dict):
+                out += problems(more, value[name], f"{inside}{name}")
+    return out
+
+
+def _number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
 def check_arguments(schema: dict | None, value) -> list[str]:
-    """What is wrong with a call's arguments; ``schema`` has types, required fields, ranges and choices of fields."""
+    """What is wrong with a call's arguments, which must be an object."""
     if schema is None:
         return ["unknown tool"]
     if not isinstance(value, dict):
         return ["not an object"]
-    fields = schema.get("properties", {})
-    out = [f"{name}: missing" for name in sorted(schema.get("required", [])) if name not in value]
-    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
-    for name in sorted(value):
-        rule, v = fields.get(name), value[name]
-        if rule is None:
-            out += [f"{name}: unknown"] if not schema.get("additionalProperties", True) else []
-            continue
-        kind = rule.get("type")
-        if kind and (not isinstance(v, kinds[kind]) or (isinstance(v, bool) and kind != "boolean")):
-            out.append(f"{name}: not {kind}")
-            continue
-        if isinstance(v, str) and len(v) < rule.get("minLength", 0):
-            out.append(f"{name}: too short")
-        if isinstance(v, (int, float)) and not rule.get("minimum", v) <= v <= rule.get("maximum", v):
-            out.append(f"{name}: out of range")
-        if "enum" in rule and v not in rule["enum"]:
-            out.append(f"{name}: not a choice")
-    return out
+    return problems({**schema, "type": "object"}, value)
 
 
 def _first(df: DataFrame, order: list[str], rest: list[str]) -> DataFrame:
@@ -131,16 +198,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 errors, value = [], None
                 if r["called"]:
                     try:
-                        value = json.loads(r["arguments"] or "null", parse_constant=_no_number)
-                    except ValueError:
+                        value = parse(r["arguments"])
+                        errors = check_arguments(schemas.get(r["name"]), value)
+                        canonical(value)
+                    except (ValueError, RecursionError):
                         errors = ["not JSON"]
-                    errors += check_arguments(schemas.get(r["name"]), value) if not errors else []
-                    errors += [f"refs: unknown {x}" for x in r["unknown"]]
+                    errors = [storable(e) for e in errors] + [f"refs: unknown {x}" for x in r["unknown"]]
                 status = ("orphan" if not r["called"] else "cyclic" if r["level"] is None else "invalid" if errors
                           else "unanswered" if not r["answered"] else "ok")
                 text = canonical({
                     "id": r["call_id"], "name": r["name"], "result": r["content"], "status": status,
-                    "arguments": value if errors != ["not JSON"] else r["arguments"]})
+                    "arguments": r["arguments"] if errors[:1] == ["not JSON"] else value})
                 rows.append((r["conv_id"], r["call_id"], r["turn"], r["level"], status, errors, r["copies"], text))
             out = pd.DataFrame(rows, columns=["conv_id", "call_id", "turn", "level", "status", "errors", "copies", "json"])
             for name in ("conv_id", "turn", "level"):
@@ -150,9 +218,5 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     return joined.mapInPandas(run, schema)
 
 
-def _no_number(name: str):
-    raise ValueError(name)
-
-
 def text_id(*parts: Column) -> Column:
     return F.concat_ws(":", *parts)

@@ -105,3 +105,23 @@ def test_coordinate_ranges_lose_nothing_and_leave_out_much(size):
     full = q @ x.T
     assert found == set(zip(*(c.tolist() for c in np.nonzero(full >= need[:, None]))))
     assert looked < rows / 3
+
+
+def test_odd_arguments_of_tool_calls_end_in_a_status(spark):
+    from concord.llm import toolcalls
+
+    schemas = {"t": {"properties": {"a": {"type": ["string", "null"], "pattern": "^x"}, "b": {"type": "array", "items": {
+        "type": "object", "properties": {"n": {"type": "integer", "minimum": 2}}, "required": ["n"], "additionalProperties": False}},
+        "c": {"type": "null"}, "d": {"enum": [1, "two", None]}}}}
+    cases = [('{"n":1e999}', ["not JSON"]), ("[" * 100_000, ["not JSON"]), ('{"a":' * 5000 + "1" + "}" * 5000, None), ("NaN", ["not JSON"]),
+             ('{"a":"x\\ud800"}', []), ('{"a":null,"c":null}', []), ('{"a":3}', ["a: not string or null"]), ('{"a":"y"}', ["a: no match"]),
+             ('{"b":[{"n":2.0},{"n":1},{"m":1}]}', ["b[1].n: out of range", "b[2].n: missing", "b[2].m: unknown"]),
+             ('{"d":1.0}', []), ('{"d":true}', ["d: not a choice"]), ('{"d":null}', []), ('"\\ud800"', ["not an object"]), (None, ["not an object"])]
+    calls = spark.createDataFrame([(1, f"c{i}", i, "t", text, []) for i, (text, _) in enumerate(cases)],
+                                  "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>")
+    results = spark.createDataFrame([(1, f"c{i}", i, "r") for i in range(len(cases))], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in toolcalls.link(calls, results, schemas).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert want is None or got[f"c{i}"].errors == want, cases[i][0][:30]
+        assert got[f"c{i}"].status == ("ok" if not got[f"c{i}"].errors else "invalid")
+    assert toolcalls.canonical({"b": 1.0, "a": [2.5, 1e20, True]}) == toolcalls.canonical({"a": [2.5, 1e20, True], "b": 1}) == '{"a":[2.5,1e+20,true],"b":1}'
