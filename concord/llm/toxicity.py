@@ -37,12 +37,12 @@ DECAY = 0.6
 BLOCK = 24
 #: Kernel values below this count as zero, which lets most words be passed over early.
 FLOOR = 0.35
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
 #: Characters of distinct words compared in one go, and the most numbers that go holds of one kind.
 WORD_CHARS, CELLS = 250_000, 2_000_000
 PATTERNS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b))
 #: Bytes of words and kernel rows that a worker remembers, about, before it starts anew.
-KEPT_BYTES = 48_000_000
+KEPT_BYTES = 24_000_000
 #: Three or more single characters set apart by spaces.
 SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){2,}")
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
