@@ -158,8 +158,9 @@ def test_replicate_metrics_equal_weighted_metrics(spark, sf, size):
     assert len(got) == 3 * 3 * 130
     rows = []
     for r in weights.where("chunk = 1 AND view = 0").collect():
-        w = np.frombuffer(r["w"], dtype="<u1")
-        rows += [(r["view"], r["arm"], 125 + k, r["score"], r["y"], int(c)) for k, c in enumerate(w) if c]
+        score, y = np.frombuffer(r["score"], "<f8").tolist(), np.frombuffer(r["y"], np.uint8).tolist()
+        for p, label, w in zip(score, y, rp.unpack_weights(bytes(r["w"]), 5)):
+            rows += [(r["view"], r["arm"], 125 + k, p, label, int(c)) for k, c in enumerate(w) if c]
     long = spark.createDataFrame(rows, "view int, arm string, rep int, pred double, gold int, w int")
     for r in mt.all_metrics(long, by=["view", "arm", "rep"], weight="w").collect():
         g = got[r["view"], r["arm"], r["rep"]]
