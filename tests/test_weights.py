@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from concord.operators import metrics as mt, replicates as rp, resample as rs
+from concord.operators import metrics as mt, rank_replicates as rr, replicates as rp, resample as rs
 from concord.session import ship
 
 
@@ -39,11 +39,10 @@ def counts_of(rows, reps):
 @pytest.mark.parametrize("block,size", [(4096, 16384), (32, 20)])
 def test_md5_draws_become_weights(spark, monkeypatch, block, size):
     """Every draw counts once for the row it hits, also where rows fall to several blocks and ranges."""
-    monkeypatch.setattr(rp, "ROWS_PER_BLOCK", block)
     monkeypatch.setattr(rp, "HELD_DRAWS", 1000)
     df, reps = scored(spark, 300), 130
     idx = rs.indexed(df, ["item"], ["g"], 9)
-    got = counts_of(rp.drawn_weights(idx, ["A", "B"], reps, 9, ["g"], range_rows=size).collect(), reps)
+    got = counts_of(rp.drawn_weights(idx, ["A", "B"], reps, 9, ["g"], range_rows=size, block=block).collect(), reps)
     long = rs.resample(df, ["item"], reps, 9, ["g"])
     want = {}
     for a in ("A", "B"):
@@ -95,3 +94,24 @@ def test_md5_metrics_equal_those_of_drawn_rows(spark):
     for r in got:
         for m in rs.METRICS:
             assert r[m] == pytest.approx(want[r.g, r.rep, r.arm][m], abs=1e-9), m
+
+
+def test_md5_cluster_draws_become_weights(spark):
+    reps = 130
+    idx = rs.indexed(spark.range(150).select((F.col("id") % 2).alias("g"), F.col("id").alias("cluster")), ["cluster"], ["g"], 5)
+    got = {}
+    for r in rr.drawn_cluster_weights(idx, "cluster", reps, 5, ["g"], block=32).collect():
+        w = rp.unpack_weights(bytes(r.w), min(rp.CHUNK, reps - r.chunk * rp.CHUNK))[0]
+        got.update({(r.g, r.cluster, r.chunk * rp.CHUNK + int(k)): int(w[k]) for k in np.flatnonzero(w)})
+    drawn = rs.draws(idx.select("g", "idx", "n"), reps, 5, ["g"]).join(idx.drop("n"), ["g", "idx"])
+    assert got == {(r.g, r.cluster, r.rep): r["count"] for r in drawn.groupBy("g", "cluster", "rep").count().collect()}
+
+
+def test_ranges_in_one_part_send_no_ranks_of_values(spark):
+    """A range needs only the weight below it; values travel where a range is cut into parts."""
+    rows = spark.range(64).selectExpr("0 g", "cast(id % 2 as int) chunk", "cast(id * 4 div 64 as long) rng", "0 salt", "1 salt_n",
+                                      "cast(id as double) a", "cast(id as double) b", "1L copies").withColumn(
+        "w", F.lit(bytearray(rp.pack_weights(np.ones((1, 125), np.int64)))))
+    found = rr._ranks(rows, ["g"], 250, "a", "rng", "salt").collect()
+    assert len(found) == 8 and all(len(r["values"]) == 0 for r in found)
+    assert {r.rng: int(np.frombuffer(bytes(r.ranks), "<i8")[7]) for r in found if r.chunk == 0} == {0: 0, 1: 8, 2: 16, 3: 24}
