@@ -286,3 +286,28 @@ def test_registered_latent_fits_run_all_rounds(monkeypatch, name):
     with pytest.raises(Seen) as seen:
         getattr(model_queries, name)(None, None)
     assert not {"rounds", "epochs"} & set(seen.value.args[0])
+
+
+def test_items_with_starts_of_their_own_are_merged_and_scored_as_before(spark, monkeypatch):
+    rows = [(v, f"i{i}", [1.0, 0.0, None][i % 3], [0.0, 1.0][i % 2] if i % 5 else None, i % 4 // 2, 0.25 * (i % 4 // 2))
+            for v in ("full", "start_1", "start_2") for i in range(240)]
+    known = spark.createDataFrame(rows, "variant string, item string, ya double, yb double, n long, sv double")
+    spread = spark.createDataFrame([(v, 0.04) for v in ("full", "start_1", "start_2")], "variant string, variance double")
+    step, sizes = latent._score_step, []
+
+    def counted(patterns, history):
+        sizes.append((patterns.count(), len(history)))
+        return step(patterns, history)
+
+    monkeypatch.setattr(latent, "_score_step", counted)
+    fit = lambda: latent.fit_items(known, spread, rounds=6, epochs=10, starts={"start_1": 1, "start_2": 2})
+    got = {(r.variant, r.item): (r.mu, r.sigma) for r in fit().items.collect()}
+    # Single items are looked at once per round, and no longer than they differ.
+    assert all(again == 1 for n, again in sizes if n >= 480) and sizes[0][0] > 480 and sizes[-1][0] < 240
+    monkeypatch.setattr(latent, "MERGE_AFTER", 99)
+    monkeypatch.setattr(latent, "BROADCAST_PATTERNS", 0)
+    want = {(r.variant, r.item): (r.mu, r.sigma) for r in fit().items.collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k]))
+    starts = {k[1]: v for k, v in got.items() if k[0] == "start_1"}
+    assert len({round(v[0], 6) for v in starts.values()}) > 3
