@@ -1,6 +1,7 @@
 """Operators that carry sums and ranks across ranges, against their plain forms."""
 
 import math
+import re
 import random
 
 import numpy as np
@@ -147,3 +148,13 @@ def test_hash_ranks_do_not_depend_on_the_bucket_depth(spark, monkeypatch):
     finally:
         ranking.with_hash_bucket.__defaults__ = spans
     assert [r[-2] for r in sorted(want, key=lambda r: (r[1], r[-2]))] == [*range(1, 1501)] * 2
+
+
+def test_seeded_holdout_deals_no_rows_by_seed_alone(spark):
+    from concord.operators import splits
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    made = splits.seeded_holdout(df, "k", 0.15, [1, 2, 3])
+    assert not re.findall(r"Join \[seed#\d+\]", made._jdf.queryExecution().executedPlan().toString())
+    assert {r.seed: (r.n, r.s) for r in made.groupBy("seed").agg(F.count("*").alias("n"), F.sum("held_out").alias("s")).collect()} == {
+        s: (3000, 450) for s in (1, 2, 3)}
