@@ -110,7 +110,9 @@ def hashed_features(df: DataFrame, text: str, n: int = 2048, width: int = 4) ->
     from pyspark.ml.feature import HashingTF
 
     found = F.regexp_extract_all("_tidy", F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))
-    shingles = F.when(F.char_length("_tidy") < width, F.array("_tidy")).otherwise(F.array_distinct(found))
+    # A short text is one shingle, and so is a missing one.
+    whole = F.col("_tidy").isNull() | (F.char_length("_tidy") < width)
+    shingles = F.when(whole, F.array("_tidy")).otherwise(F.array_distinct(found))
     shingled = df.withColumn("_tidy", _tidied(F.col(text))).withColumn("_shingles", shingles)
     made = HashingTF(inputCol="_shingles", outputCol="features", numFeatures=n, binary=True).transform(shingled)
     return made.drop("_tidy", "_shingles")
@@ -137,14 +139,14 @@ def bit_positions(text: Column, n: int = 2048, width: int = 4) -> Column:
     """Positions of a text's character shingles, by the first 8 hex digits of their md5 modulo ``n``.
 
     Case and runs of white space do not count; a text shorter than ``width`` is
-    one shingle. A shingle's digest is made once per task, as texts share most
-    of theirs.
+    one shingle, a missing text has none. A shingle's digest is made once per
+    task, as texts share most of theirs.
     """
     @F.pandas_udf("array<int>")
     def positions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         places = _Places(n)
         for batch in batches:
-            yield pd.Series([None if t is None else np.array(sorted({
+            yield pd.Series([np.empty(0, np.int32) if t is None else np.array(sorted({
                 places[s] for s in {t[i:i + width] for i in range(max(len(t) - width + 1, 1))}}), np.int32)
                 for t in batch], dtype=object)
 

@@ -180,11 +180,11 @@ def test_places_of_shingles_are_looked_up_once_per_task(spark, monkeypatch):
     texts = [None, "", "  ", "ab", "abcd", "A\n\nb\tc  d", "\U0001f600" * 5, "a\U0001f600", "\u65e5\u672c\u8a9e\u30c6\u30ad", "x" * 60]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     tidy = {r.i: r.t for r in df.select("i", F.lower(F.regexp_replace(F.trim("t"), "[ \\t\\n\\r\\f]+", " ")).alias("t")).collect()}
-    shingles = {i: None if t is None else {t[j:j + 4] for j in range(max(len(t) - 3, 1))} for i, t in tidy.items()}
+    shingles = {i: set() if t is None else {t[j:j + 4] for j in range(max(len(t) - 3, 1))} for i, t in tidy.items()}
     rows = df.select("i", keys.bit_positions(F.col("t"), 64).alias("p"))
     assert "lambda" not in rows._jdf.queryExecution().toString()
     place = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16) % 64
-    assert {r.i: r.p for r in rows.collect()} == {i: s and sorted({place(x) for x in s}) for i, s in shingles.items()}
+    assert {r.i: r.p for r in rows.collect()} == {i: sorted({place(x) for x in s}) for i, s in shingles.items()}
     # A task that may keep no more than two places still finds all.
     monkeypatch.setattr(keys, "REMEMBERED", 2)
     held = keys._Places(64)
@@ -194,11 +194,11 @@ def test_places_of_shingles_are_looked_up_once_per_task(spark, monkeypatch):
 def test_features_are_those_of_all_shingles(spark):
     from pyspark.ml.feature import HashingTF
 
-    texts = ["", "ab", "abcd", "A\n\nb\tc  d", "\U0001f600" * 5 + "x", "a\U0001f600", "xyxyxyxyxy"]
+    texts = [None, "", "ab", "abcd", "A\n\nb\tc  d", "\U0001f600" * 5 + "x", "a\U0001f600", "xyxyxyxyxy"]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
     made = keys.hashed_features(df, "t", 256)
     assert "lambda" not in made._jdf.queryExecution().toString()
-    tidy = [" ".join(t.lower().split()) for t in texts]
+    tidy = [t and " ".join(t.lower().split()) for t in texts]
     plain = HashingTF(inputCol="s", outputCol="features", numFeatures=256, binary=True).transform(spark.createDataFrame(
-        [(i, sorted({t[j:j + 4] for j in range(max(len(t) - 3, 1))})) for i, t in enumerate(tidy)], "i long, s array<string>"))
+        [(i, [None] if t is None else sorted({t[j:j + 4] for j in range(max(len(t) - 3, 1))})) for i, t in enumerate(tidy)], "i long, s array<string>"))
     assert {r.i: r.features for r in made.collect()} == {r.i: r.features for r in plain.collect()}
