@@ -115,3 +115,53 @@ def test_ranges_in_one_part_send_no_ranks_of_values(spark):
     found = rr._ranks(rows, ["g"], 250, "a", "rng", "salt").collect()
     assert len(found) == 8 and all(len(r["values"]) == 0 for r in found)
     assert {r.rng: int(np.frombuffer(bytes(r.ranks), "<i8")[7]) for r in found if r.chunk == 0} == {0: 0, 1: 8, 2: 16, 3: 24}
+
+
+@pytest.mark.parametrize("block,size", [(None, 65536), (16, 10)])
+def test_block_weights_are_the_drawn_rows_under_the_drawn_seeds(spark, block, size):
+    """Rows drawn in a replicate count with their mean over its seeds, also over several blocks and ranges."""
+    draw = random.Random(5)
+    rows = [(i % 2, i // 2, draw.randrange(2) if i % 11 else None, [draw.random() for _ in range(3)],
+             None if i % 13 == 0 else [draw.random() if i % 7 else None, draw.random(), draw.random()]) for i in range(120)]
+    df, reps = spark.createDataFrame(rows, "g int, item int, gold int, A array<double>, B array<double>"), 9
+    idx = rs.indexed(df, ["item"], ["g"], 9)
+    made = rp.block_weights(idx, ["A", "B"], reps, 9, ["g"], range_rows=size, block=block).collect()
+    assert (len({r["_range"] for r in made}) > 2) == (size == 10)
+    got = {}
+    for r in made:
+        for p, label, w in zip(np.frombuffer(r.score, "<f8"), np.frombuffer(r.y, np.uint8), rp.unpack_weights(bytes(r.w), 1)[:, 0]):
+            key = (r.g, r.arm, r.chunk, float(p), int(label))
+            got[key] = got.get(key, 0) + int(w)
+    want = {}
+    for r in rs.resample(df, ["item"], reps, 9, ["g"]).collect():
+        at = [int(hashlib.md5(f"10:{r.rep}:{j}".encode()).hexdigest()[:8], 16) % 3 for j in range(3)]
+        for a in ("A", "B"):
+            if r.gold is not None and r[a] is not None and None not in (seen := [r[a][j] for j in at]):
+                key = (r.g, a, r.rep, float(np.round(sum(seen) / 3.0, 12)), r.gold)
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_block_bootstrap_agrees_with_its_rows(spark):
+    """Intervals of the difference to the baseline, against metrics of the rows drawn."""
+    draw = random.Random(6)
+    long = [(i % 2, a, s, i // 2, (i * 7) % 5 % 2, draw.random()) for i in range(80) for a in ("A", "B") for s in range(2)]
+    got = {(r.g, r.metric): r for r in rs.block_bootstrap(
+        spark.createDataFrame(long, "g int, arm string, seed int, item int, gold int, pred double"), "item", "seed", ["A", "B"], "A", 8, 3, ["g"]).collect()}
+    wide = {}
+    for g, a, s, item, gold, pred in long:
+        wide.setdefault((g, item, gold), {}).setdefault(a, {})[s] = pred
+    df = spark.createDataFrame([(*k, [v["A"][0], v["A"][1]], [v["B"][0], v["B"][1]]) for k, v in wide.items()],
+                               "g int, item int, gold int, A array<double>, B array<double>")
+    flat = []
+    for r in rs.resample(df, ["item"], 8, 3, ["g"]).collect():
+        at = [int(hashlib.md5(f"4:{r.rep}:{j}".encode()).hexdigest()[:8], 16) % 2 for j in range(2)]
+        flat += [(r.g, r.rep, a, r.gold, float(np.round((r[a][at[0]] + r[a][at[1]]) / 2.0, 12))) for a in ("A", "B")]
+    m = {(r.g, r.rep, r.arm): r for r in mt.all_metrics(
+        spark.createDataFrame(flat, "g int, rep int, arm string, gold int, pred double"), by=["g", "rep", "arm"]).collect()}
+    for g in (0, 1):
+        for metric in ("auc", "ap", "brier", "ece"):
+            d = [m[g, r, "B"][metric] - m[g, r, "A"][metric] for r in range(8)]
+            one = got[g, metric]
+            assert one.n_valid == 8
+            assert [one.estimate, one.low, one.high] == pytest.approx([np.mean(d), *np.quantile(d, [0.025, 0.975])], abs=1e-9)
