@@ -57,7 +57,7 @@ def key_ladder(text: str) -> dict[str, Column]:
 
 def word_set(text: Column) -> Column:
     """Loose key of a whole text: the digest of its sorted distinct words; null without a letter a-z."""
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))))
+    words = F.array_sort(F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), ""))
     return F.when(F.size(words) > 0, F.md5(F.array_join(words, " ").cast("binary")))
 
 

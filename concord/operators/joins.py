@@ -59,18 +59,26 @@ def join_many_to_one(left: DataFrame, right: DataFrame, on: str, repeated: str =
 def tiered_match(left: DataFrame, right: DataFrame, tiers: dict[str, str], left_id: str, right_id: str) -> DataFrame:
     """Best match per left id: earlier tiers win, then the smallest ids.
 
-    Both sides are reduced to their first row per tier key before joining, so
-    each tier is one-to-one and a hot key cannot multiply.
+    Both sides are reduced to their first row per tier key, so each tier is
+    one-to-one and a hot key cannot multiply. All tiers go through one pass over
+    each side, in which its keys are made once, and one aggregation.
     """
-    hits = None
-    for rank, (name, key) in enumerate(tiers.items()):
-        l = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(left_id).alias("left_id"))
-        r = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(right_id).alias("right_id"))
-        found = l.join(r, key).select(
-            "left_id", "right_id", F.lit(name).alias("match"), F.lit(rank).alias("_tier")
-        )
-        hits = found if hits is None else hits.unionByName(found)
-    return first_rows(hits, ["left_id"], ["_tier", "right_id"]).drop("_tier")
+    keys = [f"_key{rank}" for rank in range(len(tiers))]
+
+    def keyed(df: DataFrame, own: str, is_left: bool) -> DataFrame:
+        found = [(rank, F.col(key)) for rank, key in enumerate(tiers.values())]
+        each = F.filter(F.array(*[F.when(c.isNotNull(), F.lit(rank)) for rank, c in found]), lambda t: t.isNotNull())
+        long = df.select(F.col(own).alias("_id"), *[c.alias(f"_key{rank}") for rank, c in found], F.explode(each).alias("_tier"))
+        side = F.col("_id"), F.lit(None)
+        return long.select(
+            "_tier", *[F.when(F.col("_tier") == rank, F.col(k)).alias(k) for rank, k in enumerate(keys)], F.lit(is_left).alias("_left"),
+            side[not is_left].alias("left_id"), side[is_left].alias("right_id"))
+
+    both = keyed(left, left_id, True).unionByName(keyed(right, right_id, False))
+    hits = both.groupBy("_tier", *keys).agg(
+        F.min("left_id").alias("left_id"), F.min("right_id").alias("right_id"), F.min("_left").alias("_lo"), F.max("_left").alias("_hi"))
+    hits = hits.where("_lo <> _hi").select("left_id", "right_id", F.element_at(F.lit(list(tiers)), F.col("_tier") + 1).alias("match"), "_tier")
+    return first_rows(hits, ["left_id"], ["_tier", "right_id"]).select("left_id", "right_id", "match")
 
 
 def overlap_flags(df: DataFrame, refs: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -14,7 +14,7 @@ from concord.operators.ranking import first_rows
 from concord.plans.common import rounded, tidy
 from concord.plans.registry import query
 from concord.plans.views import with_views
-from concord.session import shared_folder
+from concord.session import cut_lineage, shared_folder
 from concord.sources import files
 
 # ---- sources and sinks -----------------------------------------------------
@@ -389,7 +389,8 @@ def j4(spark, d):
     join (select parent_key as k, min(doc_id) as id from r where parent_key is not null group by 1) y using (k))
     select left_id, right_id, match from (select *, row_number() over (partition by left_id order by tier, right_id) as rn from hits) where rn = 1"""))
 def j5(spark, d):
-    docs = fx.docs(spark, d).select("doc_id", "lang", "quality", "canon_key", "parent_key")
+    # Both sides read the keys, which are made once of each text.
+    docs = cut_lineage(fx.docs(spark, d).select("doc_id", "lang", "quality", "canon_key", "parent_key").where("lang = 'en' OR quality IS NOT NULL"))
     return joins.tiered_match(docs.where("lang = 'en'"), docs.where("quality IS NOT NULL"),
                               {"canon": "canon_key", "parent": "parent_key"}, "doc_id", "doc_id")
 

@@ -158,3 +158,38 @@ def test_seeded_holdout_deals_no_rows_by_seed_alone(spark):
     assert not re.findall(r"Join \[seed#\d+\]", made._jdf.queryExecution().executedPlan().toString())
     assert {r.seed: (r.n, r.s) for r in made.groupBy("seed").agg(F.count("*").alias("n"), F.sum("held_out").alias("s")).collect()} == {
         s: (3000, 450) for s in (1, 2, 3)}
+
+
+def test_tiered_match_reads_each_side_once(spark):
+    """Keys cost as much as reading the texts, so tiers share one pass; null ids and keys of any type match as in a join."""
+    from concord.operators import joins
+
+    left = spark.createDataFrame([(1, "a", 1.0), (2, "b", -0.0), (3, None, 2.0), (4, "a", None)], "id int, k string, x double")
+    right = spark.createDataFrame([(7, "a", 2.0), (8, "c", 0.0), (9, "a", 1.0), (None, "d", 5.0)], "id int, k string, x double")
+    found = joins.tiered_match(left, right, {"name": "k", "number": "x"}, "id", "id")
+    assert sorted(found.collect()) == [(1, 7, "name"), (2, 8, "number"), (3, 7, "number")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_items_of_one_pattern_are_not_dealt_to_one_task(spark):
+    """Most items may share a pattern of evidence: scores are joined by broadcast, and rows per item and variant are not stored."""
+    from pyspark.sql import functions as F
+
+    from concord.operators import latent
+
+    rows = [(f"i{i}", "b", 0, 1.0 if i % 40 else 0.0) for i in range(400)]
+    evidence = spark.createDataFrame(rows, "item string, channel string, ord int, value double")
+    items = latent.item_evidence(evidence)
+    known, spread = latent.read_variants(items, {"x": latent.variant(), "no_b": latent.variant(yb=F.lit(None).cast("double"))})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fit = latent.fit_items(known, spread, rounds=2)
+        plan = fit.items._jdf.queryExecution().executedPlan().toString()
+        got = fit.items.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # The variant without any evidence has no rows and no parameters.
+    assert len(got) == 400 and {r.variant for r in got} == {"x"} and len({r.mu for r in got}) == 2
+    assert [r.variant for r in fit.params.collect()] == ["x"]
