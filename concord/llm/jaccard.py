@@ -357,8 +357,8 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
     # only the first of its groups in the order of the keys, lim - 1 fewer than it has.
     place = F.row_number().over(W.partitionBy("cls", "band").orderBy("key"))
     first_groups = member.where("large >= lim").withColumn("place", place).where("place <= large - lim + 1")
-    busy = _mixed(first_groups.select("key", "rep", "n"), known).select("rep").distinct()
-    rare = _mixed(_rare_shingles(docs, cut_lineage(busy)), known)
+    busy = _mixed(first_groups.select("key", "rep", "n"), known).select("rep", "part").distinct()
+    rare = _mixed(_rare_shingles(docs, cut_lineage(busy), max(1, buckets // 8)), known)
     others = rare.join(_main_part(rare), "key").where("part <> main").select(
         "key", F.col("rep").alias("o"), F.col("part").alias("op"), F.col("n").alias("o_n"), F.col("place").alias("o_place"))
     # At the first shingle that two sets share, what follows in both must hold enough for them to be alike.
@@ -369,12 +369,20 @@ def near_links(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
     return cut_lineage(links.union(_verify(docs, more)))
 
 
-def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+HELD = pa.schema([("bucket", pa.int32())] + [(name, pa.binary()) for name in ("key", "code", "n", "often")])
+
+
+def _rare_shingles(docs: DataFrame, ids: DataFrame, buckets: int | None = None) -> DataFrame:
     """(key, rep, n, place): the rarest shingles of each text of some documents, as many as an alike set must share one of.
 
-    Sets of n shingles that are 80 % alike share at least 80 % of n; leaving out
-    one fewer than that many of the most frequent, they still share one.
+    ``ids`` gives their ids (rep) and components (part), else each is one of its
+    own. Sets of n shingles that are 80 % alike share at least 80 % of n; leaving
+    out one fewer than that many of the most frequent, they still share one. Only
+    links between components are wanted, so a shingle that one component alone has
+    comes before all others, and a text with more than 20 % of such shingles goes.
     """
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = "part" if "part" in ids.columns else "rep"
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,25 +390,67 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
             mark = [int.from_bytes(_class_of(words(t))[:8], "big", signed=True) for t in batch["text"]]
             yield pd.DataFrame({"rep": batch["doc_id"], "mark": np.array(mark, np.int64), "text": batch["text"]})
 
+    def shared(batch: pa.Table) -> pa.Table:
+        read = _read(batch, ("key", "part", "code", "n"))
+        order = np.lexsort((read["part"], read["key"]))
+        key, part, code, n = (x[order] for x in read.values())
+        start = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        often = np.diff(np.append(start, len(key)))
+        mixed = np.repeat(part[start] != part[start + often - 1], often)
+        often = np.repeat(often, often).astype(np.uint64)
+        found = {"key": key, "code": code, "n": n, "often": often}
+        found = {name: x[mixed] for name, x in found.items()}
+        return pa.Table.from_pandas(_dealt_out(found, mix(found["code"]), buckets), schema=HELD, preserve_index=False)
+
+    def first(batch: pa.Table) -> pa.Table:
+        read = _read(batch, ("key", "code", "n", "often"))
+        order = np.lexsort((read["key"], read["often"], read["code"]))
+        key, code, n, _ = (x[order].astype(np.int64) for x in read.values())
+        start = np.flatnonzero(np.diff(code, prepend=~code[:1]))
+        many = np.diff(np.append(start, len(code)))
+        place = n - np.repeat(many + start, many) + np.arange(len(code)) + 1
+        kept = place <= n - (4 * n + 4) // 5 + 1
+        return pa.table({"code": code[kept], "key": key[kept], "n": n[kept], "place": place[kept]})
+
+    # Repeated rows count once, and each text of a document has places of its own.
+    texts = _of(docs, ids, "rep").mapInPandas(marked, f"rep {kind}, mark long, text binary")
+    texts = texts.groupBy("rep", "mark").agg(F.min("text").alias("text")).join(
+        ids.select("rep", F.xxhash64(part).alias("part")), "rep")
+    texts = cut_lineage(texts.select("rep", "part", "text", F.monotonically_increasing_id().alias("code")))
+    held = _packed_shingles(texts, buckets).groupBy("bucket").applyInArrow(
+        shared, "bucket int, key binary, code binary, n binary, often binary")
+    places = held.groupBy("bucket").applyInArrow(first, "code long, key long, n long, place long")
+    return cut_lineage(places.join(texts.select("code", "rep"), "code").select("key", "rep", "n", "place"))
+
+
+def _packed_shingles(texts: DataFrame, buckets: int) -> DataFrame:
+    """Shingles of (part, text, code), one row of packed arrays for each input step and bucket."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in steps(batch["text"].tolist()):
-                part = batch.iloc[a:b]
-                sets = [shingle_set(t, SHINGLE).astype(np.int64) for t in part["text"]]
-                size = [len(s) for s in sets]
-                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), size),
-                                    "mark": np.repeat(part["mark"].to_numpy(), size),
-                                    "n": np.repeat(np.array(size, np.int64), size),
-                                    "key": np.concatenate(sets) if sets else np.empty(0, np.int64)})
+                rows = batch.iloc[a:b]
+                sets = [shingle_set(t, SHINGLE) for t in rows["text"]]
+                size = np.array([len(s) for s in sets], np.int64)
+                held = {"key": np.concatenate(sets), "n": np.repeat(size, size).astype(np.uint64)} | {
+                    name: np.repeat(rows[name].to_numpy(np.int64).view(np.uint64), size) for name in ("part", "code")}
+                yield _dealt_out(held, held["key"], buckets)
 
-    # Repeated rows count once, and each text of a document has places of its own.
-    texts = _of(docs, ids, "rep").mapInPandas(marked, f"rep {kind}, mark long, text binary")
-    texts = cut_lineage(texts.groupBy("rep", "mark").agg(F.min("text").alias("text")))
-    one = texts.mapInPandas(run, f"rep {kind}, mark long, n long, key long")
-    often = one.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    order = W.partitionBy("rep", "mark").orderBy(F.coalesce("often", F.lit(1)), "key")
-    ranked = one.join(often, "key", "left").withColumn("place", F.row_number().over(order))
-    return ranked.where("often > 1 AND place <= n - ceil(0.8 * n) + 1").select("key", "rep", "n", "place")
+    return texts.select("part", "text", "code").mapInPandas(run, "bucket int, key binary, part binary, code binary, n binary")
+
+
+def _dealt_out(values: dict[str, np.ndarray], by: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Arrays of one length, packed by bucket."""
+    bucket = (by % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return pd.DataFrame({"bucket": bucket[order][cut].astype(np.int32)} | {
+        name: pd.Series([_narrow(x, name) for x in np.split(value[order], cut[1:])] if len(cut) else [], dtype=object)
+        for name, value in values.items()})
+
+
+def _read(batch: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {name: _widened(batch[name].to_pylist()) for name in names}
 
 
 def _of(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:

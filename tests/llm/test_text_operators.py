@@ -125,6 +125,33 @@ def test_rare_shingles_count_repeated_rows_once(spark):
     assert all(r.place <= r.n - -(-8 * r.n // 10) + 1 and (r.rep, r.n) in sizes for r in got)
 
 
+def test_rare_shingles_travel_packed_and_lose_no_link(spark):
+    draw = random.Random(33)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [draw.choice(vocab) for _ in range(300)]
+    rows = []
+    for k in range(80):
+        w = list(base)
+        for _ in range(draw.choice((3, 8, 14, 40))):
+            w[draw.randrange(300)] = draw.choice(vocab)
+        rows.append((k, " ".join(w)))
+    docs = frame(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
+    ids = docs.select(F.col("doc_id").alias("rep"), (F.col("doc_id") % 7).alias("part"))
+    held = docs.select(F.lit(1).cast("long").alias("part"), "text", F.col("doc_id").alias("code")).repartition(2)
+    # One row for each bucket of a task's step, whatever the number of shingles.
+    assert jaccard._packed_shingles(held, 3).count() <= 6
+    got = jaccard._rare_shingles(docs, ids, 3).collect()
+    keys = defaultdict(set)
+    for r in got:
+        keys[r.rep].add(r.key)
+        assert r.n == len(shingles(rows[r.rep][1])) and r.place <= r.n - -(-8 * r.n // 10) + 1
+    sets = {k: shingles(t) for k, t in rows}
+    alike = [(a, b) for a, b in combinations(sets, 2) if a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(alike) > 20 and all(keys[a] & keys[b] for a, b in alike)
+    # Within one component no link is wanted, so nothing is returned.
+    assert jaccard._rare_shingles(docs, ids.withColumn("part", F.lit(0)), 3).count() == 0
+
+
 def test_repeated_rows_in_a_large_group_of_edited_copies(spark):
     draw = random.Random(32)
     vocab = [f"w{i}" for i in range(400)]
