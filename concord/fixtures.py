@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concord.functions.columns import hash_uniform
 from concord.functions.keys import word_set
+from concord.session import dealt
 
 # Total order within an order key; (l_orderkey, l_linenumber) alone is not unique.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -76,7 +77,8 @@ def seeded_predictions(spark: SparkSession, sf_dir: str, seeds: int = 4) -> Data
     """The long form once per seed, each with its own repeatable jitter."""
     jitter = (hash_uniform(F.col("seed"), F.col("item_id")) - 0.5) * 0.1
     # A seed's jitter is the same for all arms of an item, so it is made before the arms become rows.
-    wide = wide_predictions(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    # A few bytes of events become many rows, so items are dealt out first, once their props are read.
+    wide = dealt(wide_predictions(spark, sf_dir)).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     long = wide.withColumn("_jitter", jitter).unpivot(["view", "item_id", "gold", "seed", "_jitter"], ARMS, "arm", "pred")
     return long.select(
         "view", "arm", "seed", "item_id", "gold",

@@ -25,26 +25,29 @@ def _usable(df: DataFrame, y: str, p: str) -> DataFrame:
 # ---- ranking metrics -------------------------------------------------------
 
 def score_curve(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
-                weight: str | None = None) -> DataFrame:
-    """One row per distinct score with cumulative counts from the highest score down."""
+                weight: str | None = None, few: bool = False) -> DataFrame:
+    """One row per distinct score with cumulative counts from the highest score down.
+
+    ``few`` tells that ``by`` has few groups, whose tables of score ranges may be broadcast.
+    """
     w = _weight(weight)
     g = _usable(df, y, p).groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"),
         F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("neg"),
     )
-    g = spread_buckets(g, "score", by)
-    return running_sums(g, [F.col("score").desc()], ["pos", "neg"], by, descending=True).drop("_bucket")
+    g = spread_buckets(g, "score", by, few=few)
+    return running_sums(g, [F.col("score").desc()], ["pos", "neg"], by, descending=True, few=few).drop("_bucket")
 
 
 def auc_ap(df: DataFrame, y: str = "gold", p: str = "pred", by: Sequence[str] = (),
-           weight: str | None = None) -> DataFrame:
+           weight: str | None = None, few: bool = False) -> DataFrame:
     """Tie-correct ROC AUC and average precision; null where one class is missing."""
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     wins = F.sum(F.col("neg") * (tp - F.col("pos") / 2.0))
     area = F.sum(F.try_divide(F.col("pos") * tp, tp + fp))
     pos, neg = F.sum("pos"), F.sum("neg")
     both = (pos > 0) & (neg > 0)
-    return score_curve(df, y, p, by, weight).groupBy(*by).agg(
+    return score_curve(df, y, p, by, weight, few).groupBy(*by).agg(
         F.when(both, F.try_divide(wins, pos * neg)).alias("auc"),
         F.when(both, F.try_divide(area, pos)).alias("ap"),
     )

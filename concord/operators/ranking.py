@@ -62,10 +62,16 @@ def bucket_spans(df: DataFrame, value: str, by: Sequence[str] = (), rows: int =
 
 
 def with_bucket(df: DataFrame, spans: tuple[DataFrame, DataFrame, int], value: str, by: Sequence[str] = (),
-                name: str = "_bucket") -> DataFrame:
-    """``df`` with a bucket number that never falls as ``value`` rises; missing values share the highest one."""
+                name: str = "_bucket", few: bool = False) -> DataFrame:
+    """``df`` with a bucket number that never falls as ``value`` rises; missing values share the highest one.
+
+    With ``few`` groups the tables of buckets, a row for thousands of ``df``, are
+    broadcast, so that ``df`` is not shuffled to meet them.
+    """
     by = list(by)
     first, second, rows = spans
+    if few:
+        first, second = F.broadcast(first), F.broadcast(second)
     keys = by or ["_all"]
     ready = df.withColumn("_v", _squashed(F.col(value)))
     ready = ready if by else ready.withColumn("_all", F.lit(0))
@@ -76,8 +82,9 @@ def with_bucket(df: DataFrame, spans: tuple[DataFrame, DataFrame, int], value: s
     return two.select(*df.columns, F.when(missing, F.lit(1 << 62)).otherwise(number).alias(name))
 
 
-def spread_buckets(df: DataFrame, value: str, by: Sequence[str] = (), rows: int = BUCKET_ROWS) -> DataFrame:
-    return with_bucket(df, bucket_spans(df, value, by, rows), value, by)
+def spread_buckets(df: DataFrame, value: str, by: Sequence[str] = (), rows: int = BUCKET_ROWS,
+                   few: bool = False) -> DataFrame:
+    return with_bucket(df, bucket_spans(df, value, by, rows), value, by, few=few)
 
 
 def _offsets(totals: DataFrame, by: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
@@ -105,18 +112,20 @@ def _offsets(totals: DataFrame, by: Sequence[str], sums: Sequence[str], descendi
 
 def running_sums(
     df: DataFrame, order: Sequence[Column], sums: Sequence[str], by: Sequence[str] = (),
-    descending: bool = False,
+    descending: bool = False, few: bool = False,
 ) -> DataFrame:
     """Add ``cum_<c>`` (up to and with the row) and ``all_<c>`` for each column.
 
     ``df`` carries ``_bucket``, monotone in the first order column; ``order``
-    has its direction already set and must be total within a bucket.
+    has its direction already set and must be total within a bucket. With ``few``
+    groups the buckets' offsets are broadcast.
     """
     by = list(by)
     totals = df.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
     keys = by + ["_bucket"]
     inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = df.join(_offsets(totals, by, sums, descending), keys)
+    offsets = _offsets(totals, by, sums, descending)
+    joined = df.join(F.broadcast(offsets) if few else offsets, keys)
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{c}") + F.sum(c).over(inner)).alias(f"cum_{c}") for c in sums],

@@ -380,7 +380,7 @@ per as (select view, arm, seed, """ + AUC_AP + " from curve group by 1, 2, 3)"
 
 
 def _per_seed(spark, d):
-    return mt.auc_ap(fx.seeded_predictions(spark, d), by=[*BY, "seed"])
+    return mt.auc_ap(fx.seeded_predictions(spark, d), by=[*BY, "seed"], few=True)
 
 
 @query("a12_replicate_summary", rounded(with_views("seeded", f"""{SEEDS} select arm, count(*) as n_reps, avg(auc) as mean_auc, stddev_samp(auc) as sd_auc,

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from concord import fixtures as fx
 from concord.operators import audit, contracts, metrics as mt, rank_replicates as rr, ranking, replicates as rp, resample as rs
 from concord.session import ship
 
@@ -193,3 +194,17 @@ def test_items_of_one_pattern_are_not_dealt_to_one_task(spark):
     # The variant without any evidence has no rows and no parameters.
     assert len(got) == 400 and {r.variant for r in got} == {"x"} and len({r.mu for r in got}) == 2
     assert [r.variant for r in fit.params.collect()] == ["x"]
+
+
+def test_seeded_items_are_dealt_out_and_curves_agree(spark, tmp_path):
+    rows = [(i % 7, None if i % 50 == 0 else i % 400, ("purchase", "view")[i % 2], i % 13 / 3.0, '{"k": %d}' % (i % 99)) for i in range(500)]
+    schema = "user_id long, event_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    long = fx.seeded_predictions(spark, str(tmp_path), 3)
+    # One small file is one task, whatever its rows become.
+    places = long.select("view", F.spark_partition_id().alias("p")).distinct().groupBy().agg(F.count_distinct("p")).first()[0]
+    assert places > 1 and long.count() == 500 * 3 * 3
+    by = ["view", "arm", "seed"]
+    few = {tuple(r) for r in mt.auc_ap(long, by=by, few=True).select(*by, F.round("auc", 9), F.round("ap", 9)).collect()}
+    assert few == {tuple(r) for r in mt.auc_ap(long, by=by).select(*by, F.round("auc", 9), F.round("ap", 9)).collect()}
+    assert len(few) == 27
