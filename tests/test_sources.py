@@ -1,5 +1,6 @@
 """Readers and writers on files with awkward content."""
 
+import gzip
 import hashlib
 
 from concord.operators import contracts, metrics
@@ -45,6 +46,33 @@ def test_manifest_and_prediction_folders(spark, tmp_path):
     assert [r["item_id"] for r in back.collect()] == [2]
 
 
+def test_manifest_of_large_files_reads_them_in_pieces(spark, tmp_path, monkeypatch):
+    """Files over the limit are never read whole, and no byte is lost: line ends, marks, empty lines, zero bytes."""
+    data = {"a": b"x\r\n\n\xff\x00" * 50, "b": b"\n" + bytes(range(256)) * 3, "c": b"\xef\xbb\xbf" + b"id,name\n" * 40,
+            "d": b"\n" * 120, "e": b"\xef\xbb\xbf" + b"z" * 200, "f": bytes(300), "g": b"small\n"}
+    for name, body in data.items():
+        (tmp_path / f"{name}.bin").write_bytes(body)
+    (tmp_path / "h.bin.gz").write_bytes(gzip.compress(bytes(range(256))))
+    monkeypatch.setattr(files, "WHOLE_BYTES", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = {r["name"]: r for r in files.file_manifest(spark, str(tmp_path / "*"), ["a.bin", "none.bin"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not rows.pop("none.bin")["present"] and len(rows) == 8
+    for name, r in rows.items():
+        body = (tmp_path / name).read_bytes()
+        assert (r["bytes"], r["sha256"], r["present"]) == (len(body), hashlib.sha256(body).hexdigest(), True), name
+    # The binary source refuses files over its limit, whatever their memory.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "512")
+    try:
+        assert len(files.file_manifest(spark, str(tmp_path / "b.bin")).collect()) == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_compare_tables_tells_null_from_text(spark):
     a = spark.createDataFrame([(1, None), (2, "x")], "k int, v string")
     b = spark.createDataFrame([(1, "-"), (2, "x"), (3, "y")], "k int, v string")
